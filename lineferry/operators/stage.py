@@ -86,7 +86,7 @@ def staged_merge(rows: DataFrame, target: DataFrame, spec: LoadSpec, line: str =
     )
 
 
-def staged_unloaded(rows: DataFrame, target: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
+def staged_unloaded(rows: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
     """Numbers of staged lines that would not be loaded. The inner joins say what was; the rest is
     an anti join on the line number alone."""
     steps = {f.name: f.lookup for f in lookup_order(spec.fields) if f.lookup.deferred}

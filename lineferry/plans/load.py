@@ -81,6 +81,11 @@ def _with_parents(f: Field, spec: LoadSpec, found: list[Field]) -> list[Field]:
     return found
 
 
+def _data_only(value: Column, spec: LoadSpec) -> Column:
+    """Marks hold no fields: their columns stay null and they look nothing up."""
+    return F.when(~F.col("_mark"), value) if spec.headers or spec.trailers else value
+
+
 def typed_rows(lines: DataFrame, spec: LoadSpec) -> DataFrame:
     """Lines with their mark, raw texts, converted direct fields and self parameters of lookups."""
     texts = field_texts(lines.withColumn("_mark", is_mark(spec)), spec, _TEXT)
@@ -88,10 +93,10 @@ def typed_rows(lines: DataFrame, spec: LoadSpec) -> DataFrame:
     out = []
     for f in spec.fields:
         if f.lookup is not None:
-            out.append(null_default(row[f.name], f.nulls, f.default).alias(_SELF + f.name))
+            out.append(_data_only(null_default(row[f.name], f.nulls, f.default), spec).alias(_SELF + f.name))
             continue
         done = convert_field(f, row, spec.clock)
-        out.append(done.value.alias(f.name))
+        out.append(_data_only(done.value, spec).alias(f.name))
         if done.bad is not None:
             out.append(F.coalesce(done.bad, F.lit(False)).alias(_BAD + f.name))
     return texts.select("*", *out)

@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from lineferry.registry import conversions, scans
+from lineferry.registry import checking, conversions, filtering, lookups, scans, sinks
 from lineferry.registry.base import ORACLES, QUERIES
 
-flagship = None
+flagship = sinks.flagship
 
 __all__ = ["ORACLES", "QUERIES", "conversions", "flagship", "scans"]
