@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lineferry.registry import checking, conversions, filtering, lookups, scans, sinks
+from lineferry.registry import checking, conversions, extracts, filtering, lookups, scans, sinks
 from lineferry.registry.base import ORACLES, QUERIES
 
 flagship = sinks.flagship
