@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lineferry.functions.text import is_blank, is_empty, trim_text
+from lineferry.functions.text import TRIMMED_CHARS, is_blank, is_empty, trim_text
 
 
 
@@ -96,11 +96,10 @@ def null_default(text: Column, nulls, default: str | None) -> Column:
     return F.when(missing, F.lit(default).cast("string")).otherwise(text)
 
 
-def convert_field(f, row: Mapping[str, Column], clock: Column) -> Converted:
-    """Typed value of a field from the raw texts of its row."""
+def convert_field(f, text: Column, row: Mapping[str, Column], clock: Column) -> Converted:
+    """Typed value of a field from its text, nulls already replaced, and the raw texts of its row."""
     conv = conversion(f.conversion)
     ctx = Context(row, clock, f.default)
-    text = null_default(row[f.name], f.nulls, f.default)
     first = conv.to_value(text, ctx, **f.args)
     if f.default is None or conv.own_default:
         return first
@@ -133,13 +132,13 @@ def _line_break_trim(text: Column, ctx: Context) -> Column:
 
 # --- numbers --------------------------------------------------------------------------------------
 
+# Casting bad text is far dearer than looking at it first, so every cast is guarded by a pattern.
 _WHOLE = "^[+-]?[0-9]+$"
 
 
 def _whole(text: Column, spark_type: str, blank: Column) -> Converted:
-    # try_cast alone would accept surrounding blanks.
     number = F.when(text.rlike(_WHOLE), text.try_cast(spark_type))
-    return Converted(F.when(~blank, number), ~blank & number.isNull())
+    return Converted(number, number.isNull() & ~blank)
 
 
 def _integer(text: Column, ctx: Context, positive_sign: str = " ") -> Converted:
@@ -159,17 +158,21 @@ def _integer_div(text: Column, ctx: Context, by: int = 1) -> Converted:
     return Converted(((n - n % F.lit(by)) / F.lit(by)).try_cast("int"), whole.bad)
 
 
-def money_text(text: Column) -> Column:
-    """Plus signs dropped, a trailing minus moved to the front."""
-    t = trim_text(F.translate(text, "+", " "))
-    return F.when(t.endswith("-"), F.concat(F.lit("-"), trim_text(F.translate(t, "-", " ")))).otherwise(t)
+# An amount: a whole number, a minus in front or behind, plus signs counting as blanks.
+_AMOUNT = r"^[\x00-\x20+]*(-?[0-9]+|[\x00-\x20+-]*[0-9]+[\x00-\x20+-]*-)[\x00-\x20+]*$"
+# The same with a point and an exponent allowed, for amounts without implied decimals.
+_DECIMAL_AMOUNT = _AMOUNT.replace("[0-9]+", r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE]-?[0-9]+)?")
+_AMOUNT_FILL = "-+" + TRIMMED_CHARS
 
 
 def _currency(text: Column, ctx: Context, decimals: int = 2, positive_sign: str = " ") -> Column:
-    t = money_text(text)
     if decimals == 0:
-        return F.when(~is_empty(text), t.try_cast("decimal(38,6)"))
-    cents = F.when(t.rlike("^-?[0-9]+$"), t.try_cast("bigint"))
+        t = trim_text(F.translate(text, "+", " "))
+        t = F.when(t.endswith("-"), F.concat(F.lit("-"), trim_text(F.translate(t, "-", " ")))).otherwise(t)
+        return F.when(text.rlike(_DECIMAL_AMOUNT), t.try_cast("decimal(38,6)"))
+    # In an amount a minus only stands at either end, so its presence is the sign.
+    signed = F.concat(F.when(text.contains("-"), F.lit("-")).otherwise(F.lit("")), F.translate(text, _AMOUNT_FILL, ""))
+    cents = F.when(text.rlike(_AMOUNT), signed.try_cast("bigint"))
     # A decimal product is exact where a division would round to the engine's result scale.
     unit = F.lit("0." + "0" * (decimals - 1) + "1").cast(f"decimal({decimals + 1},{decimals})")
     return (cents.cast("decimal(19,0)") * unit).cast(f"decimal(38,{decimals})")
@@ -205,7 +208,8 @@ def _yn(text: Column, ctx: Context, indicator: str = "Y") -> Column:
 
 
 def _no_date(text: Column, pattern: str) -> Column:
-    return is_blank(text) | text.contains("0" * len(pattern))
+    """Zeros stand for no date. Blank text needs no check of its own: it is no date either way."""
+    return text.contains("0" * len(pattern))
 
 
 def _timestamp(text: Column, ctx: Context, pattern: str = "yyyyMMdd") -> Column:

@@ -12,8 +12,12 @@ TRIMMED_CHARS = "".join(map(chr, range(33)))
 
 
 def trim_text(c: Column) -> Column:
-    """Strip blanks and control characters on both ends (a set trim, no regular expression)."""
-    return F.trim(c, F.lit(TRIMMED_CHARS))
+    """Strip blanks and control characters on both ends.
+
+    The plain trim takes the blanks, which are nearly all there is, at a fraction of the cost of the
+    set trim; that one then has nothing left to walk over.
+    """
+    return F.trim(F.trim(c), F.lit(TRIMMED_CHARS))
 
 
 def is_blank(c: Column) -> Column:

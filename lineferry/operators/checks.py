@@ -17,14 +17,18 @@ LINE, LINE_NO = "value", "_line_no"
 def hash_total(lines: DataFrame, locations: Mapping[str, tuple[int, int]]) -> DataFrame:
     """One row: number of lines, and per field the sum of its whole numbers and the count of texts
     that are none. Lines too short for a field, and blank texts, do not count for it."""
+    texts = lines.select(*[
+        F.when(F.length(LINE) >= end, F.nullif(trim_text(cut(F.col(LINE), start, end)), F.lit(""))).alias(name)
+        for name, (start, end) in locations.items()
+    ])
     totals: list[Column] = [F.count(F.lit(1)).alias("records")]
-    for name, (start, end) in locations.items():
-        text = F.when(F.length(LINE) >= end, F.nullif(trim_text(cut(F.col(LINE), start, end)), F.lit("")))
+    for name in locations:
+        text = F.col(name)
         number = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
         # Summed as decimals: the total of many long numbers need not be a long.
         totals.append(F.coalesce(F.sum(number.cast("decimal(19,0)")), F.lit(0)).alias(f"sum_{name}"))
         totals.append(F.count_if(text.isNotNull() & number.isNull()).alias(f"bad_{name}"))
-    return lines.agg(*totals)
+    return texts.agg(*totals)
 
 
 def key_fields(spec: LoadSpec) -> list[str]:
@@ -117,10 +121,9 @@ def multiply(lines: DataFrame, field: tuple[int, int], n: int, key: tuple[int, i
         before = F.rpad(F.substring(line, 1, start - 1), start - 1, " ") if start > 1 else F.lit("")
         return F.concat(before, F.rpad(text, width, "0"), F.substring(line, end + 1, 2**31 - 1))
 
-    marked = starts_with_any(F.col(LINE), marks)
-    copies = F.sequence(F.lit(1), F.when(marked, F.lit(1)).otherwise(F.lit(n)))
-    out = lines.select("*", F.explode(copies).alias("_copy"))
-    changed = digested(F.col(LINE), *field, F.col("_copy"))
-    if key is not None and key != field:
-        changed = digested(changed, *key, F.col("_copy"))
-    return out.withColumn(LINE, F.when(marked, F.col(LINE)).otherwise(changed))
+    copies = F.sequence(F.lit(1), F.when(F.col("_marked"), F.lit(1)).otherwise(F.lit(n)))
+    out = lines.withColumn("_marked", starts_with_any(F.col(LINE), marks)).select("*", F.explode(copies).alias("_copy"))
+    for start, end in [field] if key is None or key == field else [field, key]:
+        changed = digested(F.col(LINE), start, end, F.col("_copy"))
+        out = out.withColumn(LINE, F.when(F.col("_marked"), F.col(LINE)).otherwise(changed))
+    return out.drop("_marked")

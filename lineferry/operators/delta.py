@@ -54,8 +54,11 @@ def sort_by_key(lines: DataFrame, keys: list[tuple[int, int]], headers=(), trail
             lines.groupBy(LINE).agg(F.min(LINE_NO).alias(LINE_NO)) if LINE_NO in lines.columns
             else lines.select(LINE).distinct()
         )
-    last = F.col(LINE_NO if LINE_NO in lines.columns else LINE)
-    return lines.orderBy(*sort_order(keys, headers, trailers), last)
+    # Keys become columns first: an expression would be evaluated anew for every comparison.
+    order = sort_order(keys, headers, trailers)
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = lines.select("*", *[o.alias(n) for n, o in zip(names, order)])
+    return keyed.orderBy(*names, LINE_NO if LINE_NO in lines.columns else LINE).drop(*names)
 
 
 def verify_sorted(lines: DataFrame, keys: list[tuple[int, int]], headers=(), trailers=()) -> DataFrame:

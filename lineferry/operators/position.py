@@ -5,8 +5,8 @@ Three shapes, by what is known about the order:
 * :func:`index_by_line` - a unique whole-number column (a line number). Rows are grouped into
   fixed ranges of that number, so a group never holds more than ``RANGE`` rows whatever the data,
   and the result depends on the rows alone, not on how they happened to be partitioned.
-* :func:`index_by_order` - any total order. One range-partitioned sort, written to the checkpoint
-  folder, then positions from the sorted partitions.
+* :func:`index_by_order` - any total order. One range-partitioned sort, written once with every
+  row's partition and place in it, then positions from the sizes of the partitions.
 * :func:`index_within` - the position inside a group that may be arbitrarily large.
 """
 
@@ -57,16 +57,16 @@ def index_by_order(df: DataFrame, *order: str | Column, out: str = "_pos") -> Da
     The order must be total for the positions to be repeatable. The sort splits ties too when the
     last order column is distinctive, so equal leading keys do not end up in one task.
     """
-    ranked = materialize(df.orderBy(*order))
-    placed = ranked.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    # Keys become columns first: an expression would be evaluated anew for every comparison.
+    keys = {f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    ranked = df.withColumns(keys).orderBy(*keys).drop(*keys)
+    at = [F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")]
+    placed = materialize(ranked.select("*", *at))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    offsets = counts.select(
-        "_part",
-        (F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-         - F.col("_first")).alias("_shift"),
-    )
-    # One row per sorted partition: their number is known before anything runs.
-    if ranked.rdd.getNumPartitions() * 64 <= BROADCAST_BYTES:
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", (before - F.col("_first")).alias("_shift"))
+    # One row per sorted partition, at most as many as the session makes of a shuffle.
+    if _most_partitions(df) * 64 <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
     return (
         placed.join(offsets, "_part")
@@ -75,6 +75,14 @@ def index_by_order(df: DataFrame, *order: str | Column, out: str = "_pos") -> Da
     )
 
 
+def _most_partitions(df: DataFrame) -> int:
+    """Upper bound of the partitions of a sort: runtime re-planning only merges them."""
+    conf = df.sparkSession.conf
+    most = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    first = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(most, int(first)) if first else most
+
+
 def index_within(df: DataFrame, keys: list[str], *order: str | Column, out: str = "_nth") -> DataFrame:
     """0-based position of every row inside its key group, groups of any size.
 

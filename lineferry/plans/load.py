@@ -7,7 +7,7 @@ and reason; the sinks, the reject output and the summary are filters and aggrega
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,9 @@ from lineferry.functions.convert import conversion, convert_field, null_default
 from lineferry.functions.text import all_of
 from lineferry.operators.filters import cross_field_match, value_filter
 from lineferry.operators.lookup import global_flag, join_lookup, new_dimension_rows
+from lineferry.operators.merge import merge, merge_plan
 from lineferry.operators.position import index_by_line
+from lineferry.session import materialize
 from lineferry.sources.lines import LINE, LINE_NO, field_texts, is_mark, too_short
 from lineferry.spec import Field, LoadSpec, Lookup, lookup_order
 
@@ -39,7 +41,7 @@ class _Verdict:
 
     def column(self) -> Column:
         def outcome(status: str, reason: str) -> Column:
-            return F.struct(F.lit(status).alias("status"), F.lit(reason or None).cast("string").alias("reason"))
+            return F.struct(F.lit(status).alias("_status"), F.lit(reason or None).cast("string").alias("_reason"))
 
         case = None
         for when, status, reason in self._checks:
@@ -90,16 +92,18 @@ def typed_rows(lines: DataFrame, spec: LoadSpec) -> DataFrame:
     """Lines with their mark, raw texts, converted direct fields and self parameters of lookups."""
     texts = field_texts(lines.withColumn("_mark", is_mark(spec)), spec, _TEXT)
     row = {f.name: F.col(_TEXT + f.name) for f in spec.fields}
+    # A projection of its own: conversions look at their text several times.
+    filled = texts.select("*", *[
+        _data_only(null_default(row[f.name], f.nulls, f.default), spec).alias(_SELF + f.name) for f in spec.fields
+    ])
     out = []
     for f in spec.fields:
-        if f.lookup is not None:
-            out.append(_data_only(null_default(row[f.name], f.nulls, f.default), spec).alias(_SELF + f.name))
-            continue
-        done = convert_field(f, row, spec.clock)
-        out.append(_data_only(done.value, spec).alias(f.name))
-        if done.bad is not None:
-            out.append(F.coalesce(done.bad, F.lit(False)).alias(_BAD + f.name))
-    return texts.select("*", *out)
+        if f.lookup is None:
+            done = convert_field(f, F.col(_SELF + f.name), row, spec.clock)
+            out.append(_data_only(done.value, spec).alias(f.name))
+            if done.bad is not None:
+                out.append(F.coalesce(done.bad, F.lit(False)).alias(_BAD + f.name))
+    return filled.select("*", *out)
 
 
 def _params(f: Field) -> Mapping[str, str]:
@@ -113,7 +117,7 @@ def _early_verdict(spec: LoadSpec, have: set[str]) -> Column:
     _bad_checks([f for f in spec.fields if f.lookup is None], have, early)
     for g in spec.filters:
         early.add(F.col(f"_g_{g.name}"), FILTERED, g.name)
-    return early.column()["status"]
+    return early.column()["_status"]
 
 
 def route_with_inserts(
@@ -165,11 +169,9 @@ def route_with_inserts(
         if not f.optional and not conversion(f.conversion).positional:
             verdict.add(F.col(f.name).isNull(), PARSE, f"{f.name}: required")
 
-    judged = df.withColumn("_verdict", verdict.column())
-    routed = judged.select(
-        LINE, LINE_NO, *[f.name for f in spec.fields],
-        F.col("_verdict.status").alias("_status"), F.col("_verdict.reason").alias("_reason"),
-    )
+    # The verdict comes out of a one-element generator. As a plain column, a later filter on the
+    # status would be pushed below it and repeat the parsing of a field for every check on it.
+    routed = df.select(LINE, LINE_NO, *[f.name for f in spec.fields], F.inline(F.array(verdict.column())))
     for f in spec.fields:
         if conversion(f.conversion).positional and f.lookup is None:
             routed = index_by_line(routed.drop(f.name), LINE_NO, "_at", F.col("_status") == OK).select(
@@ -187,6 +189,33 @@ def route(lines: DataFrame, spec: LoadSpec, defer: bool = False) -> DataFrame:
     return route_with_inserts(lines, spec, defer)[0]
 
 
+@dataclass(frozen=True)
+class LoadResult:
+    """A load that has been judged: the written routed rows, and what follows from them, still lazy."""
+
+    routed: DataFrame
+    plan: DataFrame
+    target: DataFrame
+    summary: DataFrame
+    rejects: DataFrame
+    new_dimension_rows: Mapping[str, DataFrame]
+
+
+def load(lines: DataFrame, spec: LoadSpec, target: DataFrame) -> LoadResult:
+    """Route a file and merge it into ``target``.
+
+    The routed rows feed the merge, the rejects and the summary, so they are written once to the
+    shared folder; the file is parsed and its lookups are made a single time.
+    """
+    routed, new_rows = route_with_inserts(lines, spec)
+    routed = materialize(routed)
+    rows = loaded(routed, spec)
+    return LoadResult(
+        routed, merge_plan(rows, target, spec.keys, spec.mode), merge(target, rows, spec), load_summary(routed),
+        rejects(routed), new_rows,
+    )
+
+
 def loaded(routed: DataFrame, spec: LoadSpec) -> DataFrame:
     """The good rows: line number and all fields, external ones included."""
     return routed.filter(F.col("_status") == OK).select(LINE_NO, *[f.name for f in spec.fields])

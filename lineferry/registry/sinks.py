@@ -12,10 +12,11 @@ from lineferry.operators.merge import (
     refresh_delete, refresh_update, target_presence, update_rows, upsert_rows, with_generated_key,
 )
 from lineferry.operators.stage import stage_lines, staged_merge, staged_unloaded
-from lineferry.plans.load import load_summary, loaded, rejects, route
+from lineferry.plans.load import load, load_summary, loaded, rejects, route
 from lineferry.registry import fixtures as fx
 from lineferry.registry.base import query, table
 from lineferry.registry.fixtures import ORDER_COLUMNS as COLUMNS
+from lineferry.session import materialize
 from lineferry.spec import MIXED, Field, Lookup
 
 KEYS = ["ORDER_ID"]
@@ -46,14 +47,10 @@ def reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order file routed, merged into its target, and counted per status and action."""
     spec = fx.full_order_spec(spark, sf_dir)
-    routed = route(fx.order_file(spark, sf_dir), spec)
-    target = fx.merge_target(spark, sf_dir)
-    plan = merge_plan(loaded(routed, spec), target, spec.keys)
-    actions = plan.groupBy(F.col("_action").alias("outcome")).agg(F.count(F.lit(1)).alias("lines"))
-    others = routed.filter(F.col("_status") != "ok").groupBy(F.col("_status").alias("outcome")).agg(
-        F.count(F.lit(1)).alias("lines")
-    )
-    return actions.unionByName(others)
+    done = load(fx.order_file(spark, sf_dir), spec, fx.merge_target(spark, sf_dir))
+    others = done.routed.filter(F.col("_status") != "ok").select(F.col("_status").alias("outcome"))
+    outcomes = done.plan.select(F.col("_action").alias("outcome")).unionByName(others)
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("load_orders", f"""
@@ -79,7 +76,7 @@ SELECT * FROM good UNION ALL SELECT * FROM target WHERE ORDER_ID NOT IN (SELECT
 def load_orders_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same load as the target's next snapshot."""
     spec = fx.full_order_spec(spark, sf_dir)
-    return merge(fx.merge_target(spark, sf_dir), loaded(route(fx.order_file(spark, sf_dir), spec), spec), spec)
+    return load(fx.order_file(spark, sf_dir), spec, fx.merge_target(spark, sf_dir)).target
 
 
 @query("target_presence", f"""
@@ -249,12 +246,12 @@ SELECT _line_no, CASE WHEN _status = 'ok' THEN o_custkey END AS CUST_ID,
 FROM routed WHERE _status IN ('ok', 'integrity')""")
 def staged_merge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _staged_spec(spark, sf_dir)
-    rows = loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec)
+    rows = materialize(loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec))
     return staged_merge(rows, fx.merge_target(spark, sf_dir), spec).select("_line_no", "CUST_ID", "_loaded")
 
 
 @query("staged_unloaded", f"WITH {fx.ROUTED_SQL} SELECT _line_no FROM routed WHERE _status = 'integrity'")
 def staged_unloaded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _staged_spec(spark, sf_dir)
-    rows = loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec)
+    rows = materialize(loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec))
     return staged_unloaded(rows, spec)

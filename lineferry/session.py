@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +29,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, so that both passes over ``df`` see the
-    same rows in the same partitions even when executors are lost between them.
-
-    Uses the folder named by ``spark.checkpoint.dir``; only where that is unset (tests) is a
-    temporary one taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=False)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables written between two steps."""
     sc = spark.sparkContext
@@ -50,3 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir().rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    What follows sees one fixed set of rows however often it reads them, survives lost executors
+    without going back to the source, and reads only the columns and row groups it needs. The folder
+    belongs to the cluster, which also clears it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
