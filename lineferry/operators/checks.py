@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineferry.functions.text import all_of, cut, starts_with_any, trim_text
 from lineferry.sources.lines import field_texts, is_mark
-from lineferry.spec import LoadSpec
+from lineferry.spec import LoadSpec, is_own_text
 
 LINE, LINE_NO = "value", "_line_no"
 
@@ -40,7 +40,8 @@ def key_fields(spec: LoadSpec) -> list[str]:
         if f.lookup is None:
             names.append(f.name)
         else:
-            names.extend(f.name if p.upper() in ("VALUE", "CODE") else p for p in f.lookup.on)
+            known = {x.name for x in spec.fields}
+            names.extend(f.name if is_own_text(p, known) else p for p in f.lookup.on)
     return list(dict.fromkeys(names))
 
 

@@ -34,10 +34,15 @@ def data_keys(keys: list[tuple[int, int]], headers=(), trailers=()) -> Column:
     return F.struct(rank.alias("rank"), *[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
 
-def sort_order(keys: list[tuple[int, int]], headers=(), trailers=()) -> list[Column]:
-    """The columns to order a file by."""
+def with_sort_keys(lines: DataFrame, keys: list[tuple[int, int]], headers=(), trailers=()) -> tuple[DataFrame, list[str]]:
+    """Lines with the columns to order a file by, and their names.
+
+    As expressions of the sort they would be evaluated anew for every comparison.
+    """
     rank = mark_rank(headers, trailers)
-    return [rank, *[F.when(rank == 1, k).otherwise(F.lit("")) for k in line_keys(keys)]]
+    order = [rank, *[F.when(rank == 1, k).otherwise(F.lit("")) for k in line_keys(keys)]]
+    names = [f"_o{i}" for i in range(len(order))]
+    return lines.select("*", *[o.alias(n) for n, o in zip(names, order)]), names
 
 
 def sort_by_key(lines: DataFrame, keys: list[tuple[int, int]], headers=(), trailers=(), distinct: bool = False,
@@ -54,10 +59,7 @@ def sort_by_key(lines: DataFrame, keys: list[tuple[int, int]], headers=(), trail
             lines.groupBy(LINE).agg(F.min(LINE_NO).alias(LINE_NO)) if LINE_NO in lines.columns
             else lines.select(LINE).distinct()
         )
-    # Keys become columns first: an expression would be evaluated anew for every comparison.
-    order = sort_order(keys, headers, trailers)
-    names = [f"_o{i}" for i in range(len(order))]
-    keyed = lines.select("*", *[o.alias(n) for n, o in zip(names, order)])
+    keyed, names = with_sort_keys(lines, keys, headers, trailers)
     return keyed.orderBy(*names, LINE_NO if LINE_NO in lines.columns else LINE).drop(*names)
 
 

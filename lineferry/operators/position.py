@@ -55,11 +55,10 @@ def index_by_order(df: DataFrame, *order: str | Column, out: str = "_pos") -> Da
     """0-based dense position of every row in a total order.
 
     The order must be total for the positions to be repeatable. The sort splits ties too when the
-    last order column is distinctive, so equal leading keys do not end up in one task.
+    last order column is distinctive, so equal leading keys do not end up in one task. Order by
+    columns rather than expressions, which would be evaluated anew for every comparison.
     """
-    # Keys become columns first: an expression would be evaluated anew for every comparison.
-    keys = {f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
-    ranked = df.withColumns(keys).orderBy(*keys).drop(*keys)
+    ranked = df.orderBy(*order)
     at = [F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")]
     placed = materialize(ranked.select("*", *at))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))

@@ -20,7 +20,7 @@ from lineferry.operators.merge import merge, merge_plan
 from lineferry.operators.position import index_by_line
 from lineferry.session import materialize
 from lineferry.sources.lines import LINE, LINE_NO, field_texts, is_mark, too_short
-from lineferry.spec import Field, LoadSpec, Lookup, lookup_order
+from lineferry.spec import Field, LoadSpec, Lookup, is_own_text, lookup_order
 
 OK, HEADER_TRAILER, FILTERED, PARSE, INTEGRITY, UNKNOWN = (
     "ok", "header_trailer", "filtered", "parse", "integrity", "unknown",
@@ -75,9 +75,9 @@ def _lookup_checks(fields: list[Field], verdict: _Verdict) -> None:
 
 
 def _with_parents(f: Field, spec: LoadSpec, found: list[Field]) -> list[Field]:
-    for p in f.lookup.on:
-        if p != f.name and spec.field(p).lookup is not None:
-            _with_parents(spec.field(p), spec, found)
+    for parent in spec.fields:
+        if parent.name in f.lookup.on and parent is not f and parent.lookup is not None:
+            _with_parents(parent, spec, found)
     if f not in found:
         found.append(f)
     return found
@@ -106,8 +106,10 @@ def typed_rows(lines: DataFrame, spec: LoadSpec) -> DataFrame:
     return filled.select("*", *out)
 
 
-def _params(f: Field) -> Mapping[str, str]:
-    return {p: _SELF + p if p == f.name or p.upper() in ("VALUE", "CODE") else p for p in f.lookup.on}
+def _params(f: Field, spec: LoadSpec) -> Mapping[str, str]:
+    """Columns holding a lookup's parameters: its own text, or another field's value."""
+    names = {x.name for x in spec.fields}
+    return {p: _SELF + f.name if p == f.name or is_own_text(p, names) else p for p in f.lookup.on}
 
 
 def _early_verdict(spec: LoadSpec, have: set[str]) -> Column:
@@ -141,9 +143,9 @@ def route_with_inserts(
             for done in resolved:
                 ok = ~F.col(f"_many_{done.name}")
                 reach = reach & (ok if done.lookup.optional else ok & ~F.col(f"_miss_{done.name}"))
-            new_rows[f.name] = new_dimension_rows(df.filter(reach), lk, _params(f), LINE_NO)
+            new_rows[f.name] = new_dimension_rows(df.filter(reach), lk, _params(f, spec), LINE_NO)
             lk = replace(lk, dim=lk.dim.unionByName(new_rows[f.name]))
-        df = join_lookup(df, lk, _params(f), f.name)
+        df = join_lookup(df, lk, _params(f, spec), f.name)
         resolved.append(f)
 
     verdict = _Verdict()

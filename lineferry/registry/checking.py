@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineferry.operators.checks import duplicate_keys, hash_total, multiply, reconcile, reconcile_summary
-from lineferry.operators.delta import delta_classify, delta_lines, delta_numbered, sort_by_key, sort_order, verify_sorted
+from lineferry.operators.delta import delta_classify, delta_lines, delta_numbered, sort_by_key, verify_sorted, with_sort_keys
 from lineferry.operators.position import index_by_order
 from lineferry.registry import fixtures as fx
 from lineferry.registry.base import query, table
@@ -92,8 +92,8 @@ SELECT row_number() OVER (ORDER BY CASE WHEN value LIKE 'HDR%' THEN 0 WHEN value
   substring(value, 11, 9), _line_no) - 1 AS _pos, _line_no, value FROM file""")
 def sort_by_key_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sorted file with the position of every line."""
-    lines = fx.order_file(spark, sf_dir)
-    return index_by_order(lines, *sort_order(SORT_KEYS, **MARKS), F.col("_line_no"))
+    keyed, names = with_sort_keys(fx.order_file(spark, sf_dir), SORT_KEYS, **MARKS)
+    return index_by_order(keyed, *names, "_line_no").drop(*names)
 
 
 @query("sorted_file", f"WITH {fx.ORDER_FILE_SQL} SELECT _line_no, value FROM file")

@@ -13,6 +13,7 @@ from lineferry.session import BROADCAST_BYTES
 from lineferry.spec import DELIMITED, FIXED, XML, Field, LoadSpec
 
 LINE, LINE_NO = "value", "_line_no"
+XML_TEXT = "_x_"
 
 _NAMED_DELIMITERS = {"SPACE": " ", "TAB": "\t"}
 
@@ -96,7 +97,7 @@ def field_text(spec: LoadSpec, f: Field, line: str = LINE, parts: str = "_parts"
     A fixed-width field needs no padding of the line: cut and trimmed text is the same either way.
     """
     if spec.kind == XML:
-        return F.col(f.tag or f.name)
+        return F.col(XML_TEXT + f.tag) if f.tag else F.lit("")
     if f.start == 0:
         return F.lit("")
     if spec.kind == FIXED:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineferry.sources.lines import XML_TEXT
 from lineferry.spec import LoadSpec
 
 
@@ -29,11 +30,17 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, tags: list[str], spli
 
 
 def read_xml_records(spark: SparkSession, path: str, spec: LoadSpec, split: bool = False) -> DataFrame:
-    """XML records ready for :func:`lineferry.plans.load.route`, with the record as JSON for rejects."""
-    tags = [f.tag or f.name for f in spec.fields if f.tag or f.start or f.end]
+    """XML records ready for :func:`lineferry.plans.load.route`, with the record as JSON for rejects.
+
+    Fields name their tag; one without is not in the file. Records have no lines, so their numbers
+    rise in file order with gaps.
+    """
+    tags = list(dict.fromkeys(f.tag for f in spec.fields if f.tag))
     rows = read_xml(spark, path, spec.row_tag, tags, split)
-    raw = F.to_json(F.struct(*[F.col(t) for t in tags]))
-    return rows.select(raw.alias("value"), F.monotonically_increasing_id().alias("_line_no"), *tags)
+    return rows.select(
+        F.to_json(F.struct(*tags)).alias("value"), F.monotonically_increasing_id().alias("_line_no"),
+        *[F.col(t).alias(XML_TEXT + t) for t in tags],
+    )
 
 
 def extract_source(spark: SparkSession, query: str) -> DataFrame:

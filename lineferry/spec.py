@@ -169,6 +169,14 @@ class ExtractSpec:
         return f.width if self.kind == FIXED else -1
 
 
+# Parameter names that stand for the field's own text unless a field is called so.
+OWN_TEXT = ("VALUE", "CODE")
+
+
+def is_own_text(param: str, names) -> bool:
+    return param.upper() in OWN_TEXT and param not in names
+
+
 def lookup_order(fields: Sequence[Field]) -> list[Field]:
     """Lookup fields so that every field comes after the lookups it takes parameters from."""
     by_name = {f.name: f for f in fields}
@@ -180,7 +188,7 @@ def lookup_order(fields: Sequence[Field]) -> list[Field]:
         if f in done or f.lookup is None:
             return
         for param in f.lookup.on:
-            if param != f.name:
+            if param != f.name and not is_own_text(param, by_name):
                 if param not in by_name:
                     raise SpecError(f"lookup of {f.name!r} uses undefined field {param!r}")
                 visit(by_name[param], (*path, f.name))
