@@ -21,7 +21,12 @@ SPREAD = 4096
 
 def as_key(c: Column, have: str, want: str) -> Column:
     """A parameter as the dimension column's type; text that is no such value never matches."""
-    return c if have == want else c.try_cast(want)
+    if have == want:
+        return c
+    if have == "string" and want in ("tinyint", "smallint", "int", "bigint"):
+        # Casting bad text is far dearer than looking at it first.
+        return F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), c.try_cast(want))
+    return c.try_cast(want)
 
 
 def _spread(df: DataFrame) -> Column:
@@ -111,19 +116,28 @@ def chained_lookups(df: DataFrame, steps: Mapping[str, Lookup]) -> DataFrame:
     return done.withColumn("_status", F.coalesce(status, F.lit("ok"))).drop(*helpers)
 
 
-def deferred_join(df: DataFrame, steps: Mapping[str, Lookup], inner: Mapping[str, bool]) -> DataFrame:
-    """Set-based resolution of staged rows: rows that miss an ``inner`` lookup drop out."""
-    done = df
+def deferred_lookups(df: DataFrame, steps: Mapping[str, Lookup], needed: Mapping[str, bool]) -> DataFrame:
+    """Staged raw texts resolved set by set, each lookup free to use the ones before it.
+
+    Adds ``_dropped``: whether the row would fall out of the inner joins of the ``needed`` lookups.
+    Outer joins with a flag keep every row in place, so no second join has to find the lost ones.
+    """
+    done = df.withColumn("_dropped", F.lit(False))
     for out, lk in steps.items():
         looked = join_lookup(done, lk, {p: p for p in lk.on}, f"_new_{out}")
-        if inner.get(out):
-            looked = looked.filter(~F.col(f"_miss__new_{out}"))
-        done = looked.withColumn(out, F.col(f"_new_{out}")).drop(
-            f"_new_{out}", f"_miss__new_{out}", f"_many__new_{out}"
-        )
+        lost = F.col(f"_miss__new_{out}") | F.col(f"_many__new_{out}") if needed.get(out) else F.lit(False)
+        done = looked.select(*[
+            F.col(f"_new_{out}").alias(out) if c == out else (F.col(c) | lost).alias(c) if c == "_dropped" else F.col(c)
+            for c in done.columns
+        ])
     return done
 
 
+def deferred_join(df: DataFrame, steps: Mapping[str, Lookup], needed: Mapping[str, bool]) -> DataFrame:
+    """The rows that pass :func:`deferred_lookups`: inner joins for ``needed`` lookups, outer ones else."""
+    return deferred_lookups(df, steps, needed).filter(~F.col("_dropped")).drop("_dropped")
+
+
 def global_flag(
     df: DataFrame, dim: DataFrame, on: Mapping[str, str], flag: str, out: str, params: Mapping[str, str] | None = None
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineferry.functions.convert import conversion
-from lineferry.operators.lookup import deferred_join
+from lineferry.operators.lookup import deferred_lookups
 from lineferry.operators.merge import target_presence
 from lineferry.spec import INSERT, MIXED, Field, LoadSpec, lookup_order
 
@@ -66,29 +66,22 @@ def stage_lines(rows: DataFrame, spec: LoadSpec, line: str = "_line_no") -> Data
     return rows.select(line, F.concat(number, *[staged_value(f, spec) for f in spec.fields]).alias("value"))
 
 
-def staged_merge(rows: DataFrame, target: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
+def _resolved(rows: DataFrame, spec: LoadSpec) -> DataFrame:
+    steps = {f.name: f.lookup for f in lookup_order(spec.fields) if f.lookup.deferred}
+    return deferred_lookups(rows, steps, {n: spec.field(n).key or not spec.field(n).optional for n in steps})
+
+
+def staged_merge(rows: DataFrame, target: DataFrame, spec: LoadSpec) -> DataFrame:
     """Staged rows with their deferred lookups resolved and ``_loaded``: I, U, or N where a lookup
     of a key or required field found nothing."""
-    steps = {f.name: f.lookup for f in lookup_order(spec.fields) if f.lookup.deferred}
-    needed = {n: spec.field(n).key or not spec.field(n).optional for n in steps}
-    found = deferred_join(rows, steps, needed)
+    done = _resolved(rows, spec)
+    mark = F.lit("I" if spec.mode == INSERT else "U")
     if spec.mode == MIXED:
-        found = target_presence(found, target, spec.keys)
+        done = target_presence(done, target, spec.keys)
         mark = F.when(F.col("_action") == "update", F.lit("U")).otherwise(F.lit("I"))
-        found = found.withColumn("_loaded", mark).drop("_action")
-    else:
-        found = found.withColumn("_loaded", F.lit("I" if spec.mode == INSERT else "U"))
-    marks = found.select(F.col(line).alias("_at"), "_loaded", *[F.col(n).alias(f"_r_{n}") for n in steps])
-    joined = rows.join(marks, F.col(line) == F.col("_at"), "left")
-    return joined.select(
-        *[F.col(f"_r_{c}").alias(c) if c in steps else F.col(c) for c in rows.columns],
-        F.coalesce("_loaded", F.lit("N")).alias("_loaded"),
-    )
+    return done.select(*rows.columns, F.when(F.col("_dropped"), F.lit("N")).otherwise(mark).alias("_loaded"))
 
 
 def staged_unloaded(rows: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
-    """Numbers of staged lines that would not be loaded. The inner joins say what was; the rest is
-    an anti join on the line number alone."""
-    steps = {f.name: f.lookup for f in lookup_order(spec.fields) if f.lookup.deferred}
-    needed = {n: spec.field(n).key or not spec.field(n).optional for n in steps}
-    return rows.select(line).join(deferred_join(rows, steps, needed).select(line), line, "left_anti")
+    """Numbers of the staged lines that are not loaded."""
+    return _resolved(rows, spec).filter("_dropped").select(line)

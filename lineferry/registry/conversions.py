@@ -107,7 +107,7 @@ def conv_currency_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
         "|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", fx.cents("l_extendedprice").cast("string"),
         fx.cents("l_tax").cast("string"), F.concat(fx.cents("l_discount").cast("string"), F.lit("-")),
     )
-    lines = items.select(F.xxhash64(*items.columns).alias("_line_no"), value.alias("value"))
+    lines = fx.as_file(items, F.xxhash64(*items.columns), value)
     total = Field("TOTAL", 5, convert="currency_sum", args={"fields": ("TAX", "DISCOUNT")})
     spec = delimited([
         Field("l_orderkey", 1, convert="long"), Field("l_partkey", 2, convert="long"),

@@ -75,8 +75,19 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_file(rows: DataFrame, line_no: Column | str, value: Column | str) -> DataFrame:
+    """Rows as the lines of a file.
+
+    A file's line is a column that is there, where this one is composed. It comes out of a
+    one-element generator so that it is composed once, not again in every place that reads it.
+    """
+    pick = [F.col(c) if isinstance(c, str) else c for c in (line_no, value)]
+    line = F.struct(pick[0].alias("_line_no"), pick[1].alias("value"))
+    return rows.select(F.inline(F.array(line)))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_texts(spark, sf_dir).select("_line_no", "value")
+    return as_file(order_texts(spark, sf_dir), "_line_no", "value")
 
 
 def order_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +169,7 @@ def order_delimited(spark: SparkSession, sf_dir: str, delimiter: str = "|") -> D
         cents("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyyMMdd"),
         F.when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("")).otherwise(F.col("o_orderpriority")),
     ]
-    return orders.select((F.col("o_orderkey") + 1).alias("_line_no"), F.concat_ws(delimiter, *parts).alias("value"))
+    return as_file(orders, F.col("o_orderkey") + 1, F.concat_ws(delimiter, *parts))
 
 
 # --- the day before, and the target ---------------------------------------------------------------
@@ -193,7 +204,7 @@ def previous_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("_line_no") + 900000000).alias("_line_no"),
         F.concat(digits(F.col("o_orderkey") + 900000000, 10), "cust_text", "o_orderstatus", *rest).alias("value"),
     )
-    return kept.unionByName(old)
+    return as_file(kept.unionByName(old), "_line_no", "value")
 
 
 def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,10 +262,7 @@ def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order key and line number as text. Files number their lines; the table has no number of its
     own, so a hash of the row stands in where one is needed."""
     items = table(spark, sf_dir, "lineitem")
-    return items.select(
-        F.xxhash64(*items.columns).alias("_line_no"),
-        F.concat(digits("l_orderkey", 10), digits("l_linenumber", 2)).alias("value"),
-    )
+    return as_file(items, F.xxhash64(*items.columns), F.concat(digits("l_orderkey", 10), digits("l_linenumber", 2)))
 
 
 def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,4 +288,4 @@ cust AS (
 def delimited_rows(texts: DataFrame, delimiter: str, key: str, *cols: str) -> DataFrame:
     """Columns of a table as delimited lines numbered by a whole-number key."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
-    return texts.select((F.col(key) + 1).alias("_line_no"), F.concat_ws(delimiter, *parts).alias("value"))
+    return as_file(texts, F.col(key) + 1, F.concat_ws(delimiter, *parts))

@@ -246,6 +246,7 @@ SELECT _line_no, CASE WHEN _status = 'ok' THEN o_custkey END AS CUST_ID,
 FROM routed WHERE _status IN ('ok', 'integrity')""")
 def staged_merge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _staged_spec(spark, sf_dir)
+    # Staged rows are a written table by nature.
     rows = materialize(loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec))
     return staged_merge(rows, fx.merge_target(spark, sf_dir), spec).select("_line_no", "CUST_ID", "_loaded")
 
@@ -253,5 +254,5 @@ def staged_merge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("staged_unloaded", f"WITH {fx.ROUTED_SQL} SELECT _line_no FROM routed WHERE _status = 'integrity'")
 def staged_unloaded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _staged_spec(spark, sf_dir)
-    rows = materialize(loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec))
+    rows = loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec)
     return staged_unloaded(rows, spec)
