@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineferry.functions.text import all_of, cut, starts_with_any, trim_text
+from lineferry.functions.text import cut, starts_with_any, trim_text
+from lineferry.operators.joins import join_per_key, rows_with_key
 from lineferry.sources.lines import field_texts, is_mark
 from lineferry.spec import LoadSpec, is_own_text
 
@@ -67,7 +68,7 @@ def duplicate_lines(lines: DataFrame, spec: LoadSpec) -> DataFrame:
     """Every line that shares its key with another: one row per line, so no list grows with a key."""
     keyed, names = _key_texts(lines, spec)
     twice = duplicate_keys(lines, spec).select(*names)
-    return keyed.join(twice, names, "left_semi")
+    return rows_with_key(keyed, twice, names)
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: Mapping[str, tuple[int, int]]) -> DataFrame:
@@ -91,7 +92,7 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Mapping[str, tuple[int, i
     mine = keyed(left, "_p").withColumns({
         f"_p{i}": F.when(F.length(LINE) >= longest, F.col(f"_p{i}")) for i in range(len(keys))
     })
-    joined = mine.join(firsts, all_of([F.col(f"_p{i}") == F.col(c) for i, c in enumerate(cols)]), "left")
+    joined = join_per_key(mine, firsts, {f"_p{i}": c for i, c in enumerate(cols)})
     match = (
         F.when(F.length(LINE) < longest, F.lit("too_short"))
         .when(F.col("_other").isNull(), F.lit("not_found"))

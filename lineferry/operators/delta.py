@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineferry.functions.text import all_of, padded_cut, starts_with_any
+from lineferry.functions.text import padded_cut, starts_with_any
+from lineferry.operators.joins import join_per_key
 from lineferry.operators.position import index_within, line_range
 
 LINE, LINE_NO = "value", "_line_no"
@@ -118,7 +119,7 @@ def delta_numbered(today: DataFrame, previous: DataFrame) -> DataFrame:
         both.groupBy(F.col(LINE).alias("_text")).agg(F.sum("_t").alias("_t"), F.sum("_p").alias("_p"))
         .filter(F.col("_t") > F.col("_p")).select("_text", "_p")
     )
-    kept = today.select(LINE_NO, LINE).join(more, F.col(LINE) == F.col("_text")).drop("_text")
+    kept = join_per_key(today.select(LINE_NO, LINE), more, {LINE: "_text"}).filter(F.col("_p").isNotNull()).drop("_text")
     new = kept.filter(F.col("_p") == 0).select(LINE_NO, LINE)
     again = index_within(kept.filter(F.col("_p") > 0), [LINE], LINE_NO, out="_nth")
     return new.unionByName(again.filter(F.col("_nth") >= F.col("_p")).select(LINE_NO, LINE))
@@ -130,6 +131,6 @@ def delta_classify(today: DataFrame, previous: DataFrame, keys: list[tuple[int,
     cols = [f"_k{i}" for i in range(len(line_keys(keys)))]
     known = previous.select(*[k.alias(c) for c, k in zip(cols, line_keys(keys))]).distinct().withColumn("_known", F.lit(True))
     keyed = delta.select(LINE, *[k.alias(f"_p{i}") for i, k in enumerate(line_keys(keys))])
-    same = all_of([F.col(f"_p{i}") == F.col(c) for i, c in enumerate(cols)])
     change = F.when(F.col("_known"), F.lit("changed")).otherwise(F.lit("new"))
-    return keyed.join(known, same, "left").select(LINE, change.alias("_change"))
+    joined = join_per_key(keyed, known, {f"_p{i}": c for i, c in enumerate(cols)})
+    return joined.select(LINE, change.alias("_change"))

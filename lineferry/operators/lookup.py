@@ -1,8 +1,8 @@
 """Lookups: field values resolved by joining a dimension.
 
 No side is broadcast by hand. Spark broadcasts a dimension its own statistics show to be small;
-a larger one becomes a shuffled join whose oversized partitions are split at run time. Rows
-without a key cannot match, so they are spread over all tasks instead of meeting in one.
+a larger one becomes a shuffled join whose oversized partitions are split at run time (see
+:mod:`lineferry.operators.joins`).
 """
 
 from __future__ import annotations
@@ -12,13 +12,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineferry.functions.text import all_of, any_of, is_empty
+from lineferry.functions.text import all_of, is_empty
+from lineferry.operators.joins import join_per_key
 from lineferry.operators.position import index_by_line
 from lineferry.spec import Lookup
 
-SPREAD = 4096
-
-
 def as_key(c: Column, have: str, want: str) -> Column:
     """A parameter as the dimension column's type; text that is no such value never matches."""
     if have == want:
@@ -29,15 +27,6 @@ def as_key(c: Column, have: str, want: str) -> Column:
     return c.try_cast(want)
 
 
-def _spread(df: DataFrame) -> Column:
-    """1..SPREAD from the row's own data, so that a rerun task sends every row the same way."""
-    if "_line_no" in df.columns:
-        cols = ["_line_no"]
-    else:
-        cols = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    return F.pmod(F.xxhash64(*cols), F.lit(SPREAD)) + 1
-
-
 def dimension(lk: Lookup) -> DataFrame:
     """The dimension reduced to one row per key: ``_k0..``, ``_v`` and, unless unique, ``_n``."""
     keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(lk.on.values())]
@@ -75,11 +64,7 @@ def join_lookup(df: DataFrame, lk: Lookup, params: Mapping[str, str | Column], o
         missing = F.col("_found").isNull()
     else:
         left = left.withColumns({f"_p{i}": as_key(F.col(f"_p{i}"), kinds[f"_p{i}"], wanted[f"_k{i}"]) for i in names})
-        no_key = any_of([F.col(f"_p{i}").isNull() for i in names])
-        left = left.withColumn("_spread", F.when(no_key, _spread(df)).otherwise(F.lit(0).cast("bigint")))
-        right = right.withColumn("_here", F.lit(0).cast("bigint"))
-        same = [F.col(f"_p{i}") == F.col(f"_k{i}") for i in names] + [F.col("_spread") == F.col("_here")]
-        joined = left.join(right, all_of(same), "left")
+        joined = join_per_key(left, right, {f"_p{i}": f"_k{i}" for i in names})
         missing = F.col("_v").isNull()
     many = F.coalesce(F.col("_n") > 1, F.lit(False)) if "_n" in right.columns else F.lit(False)
     return joined.select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineferry.functions.text import all_of, any_of
+from lineferry.operators.joins import join_per_key, rows_with_key
 from lineferry.operators.position import index_by_line
 from lineferry.spec import INSERT, MIXED, UPDATE, Field, LoadSpec
 
@@ -69,20 +70,12 @@ def _renamed(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns])
 
 
-def _key_match(target: DataFrame, source: DataFrame, keys: list[str], condition: Column | None) -> Column:
-    """Key equality of target columns with ``_src_`` columns; ``condition`` narrows it further."""
-    have = {f.name: f.dataType.simpleString() for f in source.schema}
-    want = {f.name: f.dataType.simpleString() for f in target.schema}
-    same = [F.col(k) == (F.col(f"_src_{k}") if have[f"_src_{k}"] == want[k] else F.col(f"_src_{k}").try_cast(want[k]))
-            for k in keys]
-    return all_of(same if condition is None else [*same, condition])
-
-
 def target_keys(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct target keys that the load touches. Filtering before the distinct means that a small
     load never shuffles the target."""
-    wanted = rows.select(*keys).dropna().distinct()
-    return target.select(*keys).join(wanted, keys, "left_semi").distinct()
+    kinds = {f.name: f.dataType for f in target.schema}
+    wanted = rows.select(*[F.col(k).try_cast(kinds[k]).alias(k) for k in keys]).dropna().distinct()
+    return rows_with_key(target.select(*keys), wanted, keys).distinct()
 
 
 def target_presence(rows: DataFrame, target: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
@@ -94,10 +87,10 @@ def target_presence(rows: DataFrame, target: DataFrame, keys: list[str], null_sa
     if null_safe:
         here = target.select(*[F.col(k).cast("string").alias(c) for k, c in zip(keys, cols)]).distinct()
         same = all_of([F.col(k).cast("string").eqNullSafe(F.col(c)) for k, c in zip(keys, cols)])
+        joined = rows.join(here.withColumn("_there", F.lit(True)), same, "left")
     else:
-        here = target_keys(target, rows, keys).toDF(*cols)
-        same = all_of([F.col(k) == F.col(c) for k, c in zip(keys, cols)])
-    joined = rows.join(here.withColumn("_there", F.lit(True)), same, "left")
+        here = target_keys(target, rows, keys).toDF(*cols).withColumn("_there", F.lit(True))
+        joined = join_per_key(rows, here, dict(zip(keys, cols)))
     action = F.when(F.col("_there"), F.lit(UPDATED)).otherwise(F.lit(INSERTED))
     return joined.select(*rows.columns, action.alias("_action"))
 
@@ -113,7 +106,7 @@ def merge_plan(rows: DataFrame, target: DataFrame, keys: list[str], mode: str =
         .join(target_keys(target, rows, keys).withColumn("_there", F.lit(True)), keys, "left")
         .select(*[F.col(k).alias(c) for k, c in zip(keys, cols)], "_first", "_there")
     )
-    joined = rows.join(firsts, all_of([F.col(k) == F.col(c) for k, c in zip(keys, cols)]), "left")
+    joined = join_per_key(rows, firsts, dict(zip(keys, cols)))
     again = F.coalesce(F.col("_there"), F.lit(False)) | F.coalesce(F.col(line) > F.col("_first"), F.lit(False))
     return joined.select(*rows.columns, F.when(again, F.lit(UPDATED)).otherwise(F.lit(INSERTED)).alias("_action"))
 
@@ -151,9 +144,10 @@ def update_rows(
     """Target with non-key columns set, also to null, where a row has the key. Rows without a match
     change nothing. ``condition`` may use target columns and ``_src_`` columns."""
     changed = [c for c in columns if c not in keys and c in target.columns]
-    last = last_per_key(rows.select(line, *keys, *changed).dropna(subset=keys), keys, line)
-    source = _renamed(last, "_src_").withColumn("_hit", F.lit(True))
-    joined = target.join(source, _key_match(target, source, keys, condition), "left")
+    kinds = {f.name: f.dataType for f in target.schema}
+    typed = rows.select(line, *[F.col(k).try_cast(kinds[k]).alias(k) for k in keys], *changed)
+    source = _renamed(last_per_key(typed.dropna(subset=keys), keys, line), "_src_").withColumn("_hit", F.lit(True))
+    joined = join_per_key(target, source, {k: f"_src_{k}" for k in keys}, condition)
     return joined.select(*[
         F.when(F.col("_hit"), F.col(f"_src_{f.name}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
         if f.name in changed else F.col(f.name)
