@@ -8,6 +8,7 @@ a larger one becomes a shuffled join whose oversized partitions are split at run
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lineferry.functions.text import all_of, is_empty
 from lineferry.operators.joins import join_per_key
 from lineferry.operators.position import index_by_line
+from lineferry.session import materialize
 from lineferry.spec import Lookup
 
 def as_key(c: Column, have: str, want: str) -> Column:
@@ -138,6 +140,8 @@ def new_dimension_rows(df: DataFrame, lk: Lookup, params: Mapping[str, str], lin
 
     Keys continue after the largest one, in the order of the first line that needs them. Parameters
     that are all null or empty make no row. Repeated values shrink to one row before the shuffle.
+    The rows are written once: what is joined now and what is added to the dimension later are the
+    same rows, and the file is not gone through again for them.
     """
     rule = lk.insert
     cols = list(lk.on.values())
@@ -155,18 +159,16 @@ def new_dimension_rows(df: DataFrame, lk: Lookup, params: Mapping[str, str], lin
     rows = index_by_line(missing, "_first", "_at")
     filled = {rule.key: (top + F.col("_at") + 1).cast(kinds[rule.key])}
     filled.update({c: F.lit(v).cast(kinds[c]) for c, v in rule.constants.items()})
-    return rows.select(
+    return materialize(rows.select(
         *[filled[c].alias(c) if c in filled
           else (F.col(c) if c in cols else F.lit(None).cast(kinds[c]).alias(c)) for c in lk.dim.columns]
-    )
+    ))
 
 
 def lookup_or_insert(
     df: DataFrame, lk: Lookup, out: str, params: Mapping[str, str] | None = None, line: str = "_line_no"
 ) -> tuple[DataFrame, DataFrame]:
     """Resolve against the dimension and the rows it is missing; returns (rows, new dimension rows)."""
-    from dataclasses import replace
-
     given = params or {p: p for p in lk.on}
     new = new_dimension_rows(df, lk, given, line)
     grown = replace(lk, dim=lk.dim.unionByName(new))

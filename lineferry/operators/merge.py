@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lineferry.functions.text import all_of, any_of
 from lineferry.operators.joins import join_per_key, rows_with_key
 from lineferry.operators.position import index_by_line
+from lineferry.session import materialize
 from lineferry.spec import INSERT, MIXED, UPDATE, Field, LoadSpec
 
 INSERTED, UPDATED = "insert", "update"
@@ -181,7 +182,8 @@ def merge(
     if spec.mode == UPDATE:
         return update_rows(target, rows, spec.keys, spec.written, line)
     if gen:
-        rows = with_generated_key(merge_plan(rows, target, spec.keys, spec.mode, line), target, gen, line)
+        # Written once: the steps below read these rows several times.
+        rows = materialize(with_generated_key(merge_plan(rows, target, spec.keys, spec.mode, line), target, gen, line))
     if spec.mode == INSERT:
         return insert_rows(target, rows, [*spec.written, *([gen] if gen else [])])
     return upsert_rows(target, rows, spec.keys, spec.written, line, gen)
