@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.llm import packing, urls
+from lineferry.llm import packing, subwords, urls
 from lineferry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,15 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
     rule = F.when(~F.col("rule").isin(BLOCKED_WORDS), F.col("rule"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict")
+
+
+@query("op10_subwords")
+def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as ids and back: how many, their checksum, and whether the text came back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = docs.withColumn("ids", subwords.encode("text", model)).withColumn("back", subwords.decode("ids", model))
+    return coded.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.size("ids").cast("bigint").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"), F.sha2("back", 256).alias("decoded_sha256"), (F.col("back") == F.col("text")).alias("same"),
+    )
