@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -33,9 +34,9 @@ BREAKS = str.maketrans("\n\r\t", "   ")
 
 
 class Chunks(dict):
-    """Token ids (little-endian 32 bits) of a text between blanks; forgets all when it is full."""
+    """Token ids (little-endian 32 bits) of a text between blanks, while fewer than ``most`` are known."""
 
-    most, longest = 600_000, 64
+    most, longest = 1_000_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,21 +45,28 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self[""] = b""
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of the chunks that are not known yet; they are remembered where there is room."""
         new = list(chunks.difference(self))
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(chunks)
-        for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(found.ids, "<u4").tobytes()
+        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+        ids = {c: np.array(f.ids, "<u4").tobytes() for c, f in zip(new, found, strict=True)}
+        if len(self) + len(ids) <= self.most:
+            self.update((c, i) for c, i in ids.items() if len(c) <= self.longest)
+        return ids
+
+
+@lru_cache(1)
+def worker_chunks(path: str) -> Chunks:
+    """A worker's chunks, which its later tasks find filled."""
+    return Chunks(path)
 
 
 def token_bytes(texts: list[str | None], chunks: Chunks) -> Iterator[bytes]:
-    """The ids of each text. A word is looked up once per task, however often it occurs."""
+    """The ids of each text. A word is looked up once per worker, however often it occurs."""
     split = [(t or "").translate(BREAKS).split(" ") for t in texts]
-    chunks.learn({c for s in split for c in s})
+    new = chunks.learn({c for s in split for c in s})
     for s in split:
-        yield b"".join(map(chunks.__getitem__, s))
+        yield b"".join([chunks.get(c) or new.get(c, b"") for c in s])
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, key: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        chunks = Chunks(tokenizer)
+        chunks = worker_chunks(tokenizer)
         for batch in batches:
             rows = []
             for k, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), chunks), strict=True):
