@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -29,14 +30,15 @@ from lineferry.llm.common import arrow_map, materialize
 #: Pieces of a group, on average; a group's largest share of padding is its last sequences.
 GROUP_PIECES = 16_384
 
-#: White space of any tokenizer here: no token crosses it.
-BREAKS = str.maketrans("\n\r\t", "   ")
-
-
 class Chunks(dict):
-    """Token ids (little-endian 32 bits) of a text between blanks, while fewer than ``most`` are known."""
+    """Token ids (little-endian 32 bits) of a text between blanks, while fewer than ``most`` are known.
 
-    most, longest = 1_000_000, 64
+    What no token crosses need not be encoded twice: a text falls apart at white space, and a full
+    stop or comma behind a letter comes apart from the word. Case makes no difference to the
+    vocabularies used here; this is relied on only for Latin-1, where lowering is plain.
+    """
+
+    most, longest = 2_000_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,15 +46,52 @@ class Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self[""] = b""
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of the chunks that are not known yet; they are remembered where there is room."""
-        new = list(chunks.difference(self))
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        ids = {c: np.array(f.ids, "<u4").tobytes() for c, f in zip(new, found, strict=True)}
-        if len(self) + len(ids) <= self.most:
-            self.update((c, i) for c, i in ids.items() if len(c) <= self.longest)
-        return ids
+        words = self.tokenizer.get_vocab()
+        # A tokenizer that marks the ends of words, and gives capitals and small letters the same
+        # ids, allows for the short cuts below; for others each chunk is encoded by itself.
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.plain = bool(self.ends.any()) and self._ids("Ab, AB.") == self._ids("ab , ab .")
+        for mark in ".,":
+            self[mark] = self._bytes([mark])[0]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _bytes(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", f.ids).tobytes() for f in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text and told apart by the marks of their ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._bytes(words)
+        text, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _plain(self, chunk: str) -> tuple[str, str]:
+        """The word of letters in a chunk, if that is what it is, and the mark behind it."""
+        mark = chunk[-1] if chunk[-1] in ".," else ""
+        word = chunk[: -len(mark)] if mark else chunk
+        if self.plain and word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+            return word.lower(), mark
+        return "", ""
+
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Adds the chunks that are not known yet; returns those that there is no room to keep."""
+        new = {c: self._plain(c) for c in chunks.difference(self)}
+        words = list({w for w, _ in new.values()}.difference(self))
+        added = dict(zip(words, self._words(words), strict=True)) if words else {}
+        other = [c for c, (w, _) in new.items() if not w]
+        added.update(zip(other, self._bytes(other), strict=True))
+        self.update(added)
+        for c, (w, mark) in new.items():
+            if w:
+                self[c] = self[w] + self[mark]
+        if len(self) <= self.most:
+            return [c for c in other if len(c) > self.longest]
+        return list({*added, *new})
 
 
 @lru_cache(1)
@@ -62,11 +101,13 @@ def worker_chunks(path: str) -> Chunks:
 
 
 def token_bytes(texts: list[str | None], chunks: Chunks) -> Iterator[bytes]:
-    """The ids of each text. A word is looked up once per worker, however often it occurs."""
-    split = [(t or "").translate(BREAKS).split(" ") for t in texts]
-    new = chunks.learn({c for s in split for c in s})
+    """The ids of each text. A word is encoded once per worker, however often it occurs."""
+    split = [(t or "").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
+    passing = chunks.learn(set().union(*split))
     for s in split:
-        yield b"".join([chunks.get(c) or new.get(c, b"") for c in s])
+        yield b"".join(map(chunks.__getitem__, s))
+    for c in passing:
+        del chunks[c]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
