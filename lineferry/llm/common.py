@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.session import configure, materialize
+from lineferry import session
+from lineferry.session import configure
 
 __all__ = [
     "Hashes", "arrow_map", "components", "link_buckets", "materialize", "mix", "prepare", "read", "shingles", "words",
@@ -44,6 +45,18 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, schema)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder; what its making left on the executors' disks can go.
+
+    Spark drops the shuffle files of plans that nobody holds any more when the driver collects its
+    garbage, which a driver with little to do would rarely come to.
+    """
+    table = session.materialize(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
 # --- words and hashes -------------------------------------------------------------------------
 
 
@@ -107,7 +120,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = edges.select("v", F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -124,42 +138,41 @@ def link_buckets(
     members: DataFrame,
     measure: Callable[[DataFrame], DataFrame],
     reach: float,
-    may: Callable[[str, str], Column] | None = None,
-    carried: tuple[str, ...] = (),
+    may: Callable[[str, str], Column],
+    carried: tuple[str, ...],
 ) -> DataFrame:
     """Links ``a, b`` between members of common buckets, enough of them for the right components.
 
-    ``members(key, id, *carried)`` has each bucket's members; ``measure(pairs)`` adds to pairs
-    ``a, b`` the columns ``dist`` (a metric) and ``linked``, which holds only where dist <= reach.
+    ``members(key, id, *carried)`` has each bucket's members, ``may`` is a condition on the carried
+    columns of two of them that every link meets, and ``measure(pairs)`` adds to pairs ``a, b`` the
+    columns ``dist`` (a metric) and ``linked``, which holds only where dist <= reach.
+
     Not all pairs of a bucket are made. First each member is measured against the bucket's smallest
-    id, which joins a group of copies whatever its size. Then the members whose component is not
-    the smallest id's are measured against all members of other components, but for those that the
-    triangle inequality rules out: both distances to the smallest id are known, and they differ by
-    no more than ``reach`` where there is a link. So no two members of a bucket that are linked end
-    in different components. ``may`` is a condition on carried columns that every link meets.
+    id, which joins a group of copies whatever its size. Then only members that this left in another
+    component than the smallest id's are measured against the members of other components, but for
+    those that ``may`` and the triangle inequality rule out: where both distances to the smallest id
+    are known, they differ by no more than ``reach`` if there is a link. So no two members of a
+    bucket that are linked end in different components.
     """
-    low = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_top")).where("a < _top").drop("_top")
-    star = materialize(members.join(low, "key"))
-    pairs = star.where("a < id").select("a", F.col("id").alias("b")).distinct()
-    first = materialize(measure(pairs).select("a", "b", "dist", "linked"))
-    comps = materialize(components(first.where("linked").select("a", "b")))
-    # What is measured of members against the smallest id, which itself is at distance 0.
-    far = star.join(first.select("a", F.col("b").alias("id"), "dist"), ["a", "id"], "left")
-    far = labelled(far, comps, "id", "comp")
-    far = labelled(far, comps, "a", "pivot_comp").select("key", "id", "comp", "pivot_comp", F.coalesce("dist", F.lit(0.0)).alias("dist"), *carried)
-    apart = far.where("comp <> pivot_comp")
-    if apart.isEmpty():
-        return first.where("linked").select("a", "b")
-    x = apart.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "comp", "dist", *carried)])
-    y = far.where("dist > 0").select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "comp", "pivot_comp", "dist", *carried)])
-    # Of two members apart from the smallest id, the pair is made once.
-    once = F.expr("y_comp = y_pivot_comp or x_id < y_id")
-    near = F.abs(F.col("x_dist") - F.col("y_dist")) <= reach
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("x_comp") != F.col("y_comp")) & once & near & (may("x_", "y_") if may else F.lit(True)))
-    rest = rest.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    second = measure(materialize(rest)).where("linked").select("a", "b")
-    return materialize(first.where("linked").select("a", "b").unionByName(second))
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+    low = members.groupBy("key").agg(F.min(F.struct("id", *carried)).alias("_low"), F.max("id").alias("_top"))
+    low = low.where("_low.id < _top").select("key", *[F.col(f"_low.{c}").alias(f"x_{c}") for c in ("id", *carried)])
+    star = materialize(members.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low, "key"))
+    pairs = star.where("x_id < y_id").where(may("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    first = materialize(measure(materialize(pairs.distinct())).select("a", "b", "dist", "linked"))
+    links = first.where("linked").select("a", "b")
+    comps = materialize(components(links))
+    known = first.select(F.col("a").alias("x_id"), F.col("b").alias("y_id"), "dist")
+    far = labelled(star.where("x_id < y_id").join(known, ["x_id", "y_id"], "left"), comps, "y_id", "comp")
+    far = labelled(far, comps, "x_id", "pivot_comp")
+    columns = ["comp", "pivot_comp", "dist", *[F.col(f"y_{c}").alias(c) for c in ("id", *carried)]]
+    far = materialize(far.select("key", *columns))
+    x = far.where("comp <> pivot_comp").select("key", *[F.col(c).alias(f"x_{c}") for c in far.columns if c != "key"])
+    y = far.select(F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in far.columns if c != "key"])
+    # Of two members that are both apart from the smallest id, the pair is made once.
+    once = F.expr("key = y_key and x_comp <> y_comp and (y_comp = y_pivot_comp or x_id < y_id)")
+    near = F.coalesce(F.abs(F.col("x_dist") - F.col("y_dist")) <= reach + 1e-9, F.lit(True))
+    rest = x.join(y, once & near & may("x_", "y_")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    rest = materialize(rest.distinct())
+    if rest.isEmpty():
+        return links
+    return links.unionByName(materialize(measure(rest)).where("linked").select("a", "b"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.llm import packing, subwords, urls
+from lineferry.llm import fingerprints, lines, minhash, packing, quality, subwords, toxicity, urls
 from lineferry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_fingerprints")
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: lines before, lines removed, and a digest of what is left."""
+    left = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -69,3 +81,35 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.size("ids").cast("bigint").alias("n_ids"),
         F.xxhash64("ids").alias("ids_hash"), F.sha2("back", 256).alias("decoded_sha256"), (F.col("back") == F.col("text")).alias("same"),
     )
+
+
+@query("op7_minhash")
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), minhash.Near(size=2))
+
+
+#: Scores from here on predict label 1.
+THRESHOLD = 0.3
+
+
+def remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def scored(docs: DataFrame, held_out) -> DataFrame:
+    predicted = (F.col("score") >= THRESHOLD).cast("int")
+    return docs.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, learn=remainder(5) != 0)
+    return scored(quality.score(docs, model), remainder(5) == 0)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, learn=remainder(4) != 2)
+    return scored(toxicity.score(docs, model), remainder(4) == 2)
