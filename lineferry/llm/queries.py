@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.llm import fingerprints, lines, minhash, packing, quality, subwords, toxicity, urls
+from lineferry.llm import fingerprints, lines, minhash, packing, passages, quality, subwords, toxicity, urls, vectors
 from lineferry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_passages")
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that a document shares with a smaller one: where it is in both, in words."""
+    found = passages.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("source").alias("source_doc_id"), "start", "words", "source_start", "source_words", "similarity")
+
+
 @query("op2_fingerprints")
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
@@ -42,6 +49,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_vectors")
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 SITE_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
