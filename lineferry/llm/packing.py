@@ -22,6 +22,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,13 @@ from lineferry.llm.common import arrow_map, materialize
 
 #: Pieces of a group, on average; a group's largest share of padding is its last sequences.
 GROUP_PIECES = 16_384
+#: Bytes of texts that are told apart into words at once.
+GATHER = 24 << 20
 
 class Chunks(dict):
     """Token ids (little-endian 32 bits) of a text between blanks, while fewer than ``most`` are known.
 
-    What no token crosses need not be encoded twice: a text falls apart at white space, and a full
+    What no token crosses need not be encoded twice: a text falls apart at ASCII blanks, and a full
     stop or comma behind a letter comes apart from the word. Case makes no difference to the
     vocabularies used here; this is relied on only for Latin-1, where lowering is plain.
     """
@@ -78,9 +81,9 @@ class Chunks(dict):
             return word.lower(), mark
         return "", ""
 
-    def learn(self, chunks: set[str]) -> list[str]:
-        """Adds the chunks that are not known yet; returns those that there is no room to keep."""
-        new = {c: self._plain(c) for c in chunks.difference(self)}
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; those not known yet are remembered where there is room."""
+        new = {c: self._plain(c) for c in chunks if c not in self}
         words = list({w for w, _ in new.values()}.difference(self))
         added = dict(zip(words, self._words(words), strict=True)) if words else {}
         other = [c for c, (w, _) in new.items() if not w]
@@ -89,9 +92,15 @@ class Chunks(dict):
         for c, (w, mark) in new.items():
             if w:
                 self[c] = self[w] + self[mark]
-        if len(self) <= self.most:
-            return [c for c in other if len(c) > self.longest]
-        return list({*added, *new})
+        out = list(map(self.__getitem__, chunks))
+        if len(self) > self.most:
+            for c in {*added, *new}:
+                del self[c]
+        else:
+            for c in other:
+                if len(c) > self.longest:
+                    del self[c]
+        return out
 
 
 @lru_cache(1)
@@ -100,30 +109,48 @@ def worker_chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
-def token_bytes(texts: list[str | None], chunks: Chunks) -> Iterator[bytes]:
-    """The ids of each text. A word is encoded once per worker, however often it occurs."""
-    split = [(t or "").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
-    passing = chunks.learn(set().union(*split))
-    for s in split:
-        yield b"".join(map(chunks.__getitem__, s))
-    for c in passing:
-        del chunks[c]
+def token_ids(texts: pa.Array, chunks: Chunks) -> Iterator[np.ndarray]:
+    """The ids of each text. A batch's distinct words are looked up once, and new ones encoded."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    found = split.flatten().dictionary_encode()
+    known = chunks.of(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+    pool = np.frombuffer(b"".join(known), "<u4")
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    starts = np.cumsum(sizes) - sizes
+    word = found.indices.to_numpy()
+    length = sizes[word]
+    ends = np.r_[0, np.cumsum(length)]
+    ids = pool[np.repeat(starts[word] - ends[:-1], length) + np.arange(ends[-1])]
+    cuts = ends[np.r_[0, np.cumsum(split.value_lengths().to_numpy())]].tolist()
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield ids[i:j]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``GATHER`` bytes: the larger, the fewer distinct words in each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    for table in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+        yield table
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows ``key, start, length, ids_crc32, doc_tokens``: full windows and the rest of each document."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         chunks = worker_chunks(tokenizer)
-        for batch in batches:
+        for batch in gathered(batches):
             rows = []
-            for k, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), chunks), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for at in range(0, total, length):
-                    part = ids[4 * at : 4 * (at + length)]
-                    rows.append((k, at, len(part) // 4, zlib.crc32(part), total))
+            for k, ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1), chunks), strict=True):
+                ids = np.concatenate([ids, end])
+                for at in range(0, len(ids), length):
+                    part = ids[at : at + length]
+                    rows.append((k, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
             yield dict(zip((key, "start", "length", "ids_crc32", "doc_tokens"), map(list, zip(*rows, strict=True)), strict=True))
 
     kind = docs.schema[key].dataType.simpleString()
