@@ -2,6 +2,8 @@
 
 A renderer takes the value, the field's width (-1 where it has none), its default and the load's
 clock. A null value gives the default as it stands, else a filler the width asks for, else null.
+Nothing is cut to the width: a text that is wider stays whole, and the extract rejects its row, as
+it does a value that is none of the renderer's type, which comes out as null.
 """
 
 from __future__ import annotations
@@ -24,7 +26,12 @@ def _or_default(value: Column, text: Column, default: str | None, filler: str |
 
 
 def pad(text: Column, width: int) -> Column:
-    return F.rpad(text, width, " ") if width > 0 else text
+    """Blanks on the right up to the width."""
+    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text) if width > 0 else text
+
+
+def pad_left(text: Column, width: int, char: str = "0") -> Column:
+    return F.when(F.length(text) < width, F.lpad(text, width, char)).otherwise(text)
 
 
 def render_text(value: Column, width: int, default: str | None, ctx: Context) -> Column:
@@ -33,7 +40,7 @@ def render_text(value: Column, width: int, default: str | None, ctx: Context) ->
 
 def render_left_trim(value: Column, width: int, default: str | None, ctx: Context, char: str = "0") -> Column:
     c = (char.strip() or "0")[0]
-    text = F.lpad(value, width, c) if width > 0 else value
+    text = pad_left(value, width, c) if width > 0 else value
     return _or_default(F.nullif(value, F.lit("")), text, default, c * width if width > 0 else None)
 
 
@@ -49,10 +56,11 @@ def _sign(positive_sign: str) -> str:
 def render_whole(value: Column, width: int, default: str | None, ctx: Context, positive_sign: str = " ") -> Column:
     sign = _sign(positive_sign)
     if width <= 0:
-        return _or_default(value, value.cast("string"), default, None)
+        return _or_default(value, F.when(value.try_cast("decimal(20,0)").isNotNull(), value.cast("string")), default, None)
     # As decimal: the smallest long has no positive counterpart.
-    digits = F.lpad(F.abs(value.cast("decimal(20,0)")).cast("string"), width - 1, "0")
-    text = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit(sign)), digits)
+    number = value.try_cast("decimal(20,0)")
+    digits = pad_left(F.abs(number).cast("string"), width - 1)
+    text = F.concat(F.when(number < 0, F.lit("-")).otherwise(F.lit(sign)), digits)
     return _or_default(value, text, default, sign + "0" * (width - 1))
 
 
@@ -62,60 +70,65 @@ def render_currency(
     """Sign and zero-padded digits with the point left out, rounded half to even."""
     sign = _sign(positive_sign)
     if width <= 0:
-        return _or_default(value, value.cast("string"), default, None)
-    rounded = F.bround(value.cast("decimal(38,6)"), decimals)
-    digits = F.lpad(F.translate(F.abs(rounded).cast(f"decimal(38,{decimals})").cast("string"), ".", ""), width - 1, "0")
+        return _or_default(value, F.when(value.try_cast("decimal(38,18)").isNotNull(), value.cast("string")), default, None)
+    rounded = F.bround(value.try_cast("decimal(38,18)"), decimals)
+    digits = F.translate(F.abs(rounded).cast(f"decimal(38,{decimals})").cast("string"), ".", "")
+    # A number below one has no digit that counts before the point.
+    digits = pad_left(F.regexp_replace(digits, f"^0+(?=[0-9]{{{max(decimals, 1)}}}$)", ""), width - 1)
     text = F.concat(F.when(rounded < 0, F.lit("-")).otherwise(F.lit(sign)), digits)
     return _or_default(value, text, default, sign + "0" * (width - 1))
 
 
 def render_date(value: Column, width: int, default: str | None, ctx: Context, pattern: str = "yyyyMMdd") -> Column:
     signs = any(s in pattern for s in PATTERN_SIGNS)
-    text = F.date_format(value, pattern)
+    text = F.date_format(value.try_cast("timestamp"), pattern)
     if width > 0:
-        text = F.rpad(text, width, " ") if signs else F.lpad(text, width, "0")
+        text = pad(text, width) if signs else pad_left(text, width)
     return _or_default(value, text, default, (" " if signs else "0") * width if width > 0 else None)
 
 
 def render_short_date(value: Column, width: int, default: str | None, ctx: Context, pattern: str = "yyyyMMdd") -> Column:
-    return _or_default(value, F.date_format(value, pattern), default, " " * width if width > 0 else None)
+    return _or_default(value, F.date_format(value.try_cast("timestamp"), pattern), default, " " * width if width > 0 else None)
 
 
 def render_julian(value: Column, width: int, default: str | None, ctx: Context) -> Column:
-    return _or_default(value, F.date_format(value, "yyyyDDD"), default, "0" * width if width > 0 else None)
+    return _or_default(value, F.date_format(value.try_cast("timestamp"), "yyyyDDD"), default, "0" * width if width > 0 else None)
 
 
 def render_time(value: Column, width: int, default: str | None, ctx: Context, pattern: str = "HHmmss") -> Column:
     """``value`` is a time of day as text ``HH:mm:ss``, or a timestamp."""
-    moment = F.try_to_timestamp(F.right(value.cast("string"), F.lit(8)), F.lit("HH:mm:ss"))
+    text = value.cast("string")
+    moment = F.coalesce(F.try_to_timestamp(text, F.lit("HH:mm:ss")), text.try_cast("timestamp"))
     return _or_default(value, F.date_format(moment, pattern), default, "0" * width if width > 0 else None)
 
 
 def render_date_roll(value: Column, width: int, default: str | None, ctx: Context, direction: str) -> Column:
     """Days from the run date to the value, counted in the direction of the roll."""
     sign = -1 if direction.upper() == "BACKWARD" else 1
-    days = F.datediff(value, ctx.clock) * F.lit(sign)
+    days = F.datediff(value.try_cast("date"), ctx.clock) * F.lit(sign)
     if width <= 0:
         return _or_default(value, days.cast("string"), default, None)
-    text = F.concat(F.when(days < 0, F.lit("-")).otherwise(F.lit(" ")), F.lpad(F.abs(days).cast("string"), width - 1, "0"))
+    text = F.concat(F.when(days < 0, F.lit("-")).otherwise(F.lit(" ")), pad_left(F.abs(days).cast("string"), width - 1))
     return _or_default(value, text, default, "0" * width)
 
 
 def render_yn(value: Column, width: int, default: str | None, ctx: Context, indicator: str = "Y") -> Column:
-    text = F.when(value.cast("int") == 1, F.lit(indicator)).otherwise(F.lit("N"))
+    flag = value.try_cast("int")
+    text = F.when(flag == 1, F.lit(indicator)).when(flag.isNotNull(), F.lit("N"))
     return _or_default(value, pad(text, width), default, " " * width if width > 0 else None)
 
 
 def render_debit_credit(value: Column, width: int, default: str | None, ctx: Context) -> Column:
     """-1 is D and 1 is C; reading these back does not give the same numbers."""
-    text = F.when(value == -1, F.lit("D")).when(value == 1, F.lit("C")).otherwise(F.lit(""))
+    side = value.try_cast("int")
+    text = F.when(side == -1, F.lit("D")).when(side == 1, F.lit("C")).when(side.isNotNull(), F.lit(""))
     return _or_default(value, pad(text, width), default, " " * width if width > 0 else None)
 
 
 def render_running_number(value: Column, width: int, default: str | None, ctx: Context, length: int = 0) -> Column:
     text = value.cast("string")
     wide = width if width > 0 else length
-    return F.lpad(text, wide, "0") if wide > 0 else text
+    return pad_left(text, wide) if wide > 0 else text
 
 
 def render_merge(value: Column, width: int, default: str | None, ctx: Context, **_) -> Column:
@@ -123,19 +136,18 @@ def render_merge(value: Column, width: int, default: str | None, ctx: Context, *
     return _or_default(value, pad(value, width), default, " " + "0" * (width - 1) if width > 0 else None)
 
 
-def _render_number(number: Column, width: int) -> Column:
-    return F.trim(F.rpad(number, width, " ")) if width > 0 else number
-
-
 def render_phone(value: Column, width: int, default: str | None, ctx: Context, strip=()) -> Column:
-    return _render_number(_phone(value.cast("string"), Context(ctx.row, ctx.clock, default), strip), width)
+    return _phone(value.cast("string"), Context(ctx.row, ctx.clock, default), strip)
 
 
 def render_phone_prefix(
     value: Column, width: int, default: str | None, ctx: Context, prefix: str = "", strip=()
 ) -> Column:
-    return _render_number(_phone_prefix(value.cast("string"), Context(ctx.row, ctx.clock, default), prefix, strip), width)
+    return _phone_prefix(value.cast("string"), Context(ctx.row, ctx.clock, default), prefix, strip)
+
 
+#: Renderers of a type: no text for a value that is there means that it is no such value.
+TYPED = frozenset("integer long currency date timestamp short_date julian_date time date_roll yn_boolean debit_credit".split())
 
 for _name, _renderer in {
     "text": render_text,

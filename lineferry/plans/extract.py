@@ -1,5 +1,8 @@
 """The extract side: query rows in, hand-off lines out.
 
+A row whose value is not of its field's type, or whose text is wider than its field, is counted as
+``unknown`` with a reason; the others are written.
+
 ``render_rows`` judges and renders every row in place; ``extract_lines`` lays the good ones out.
 Neither shuffles: lookups apart, an extract is one projection over its source.
 """
@@ -9,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import lineferry.functions.render  # noqa: F401  (adds the renderers to the registry)
 from lineferry.functions.convert import Context, conversion, merged
+from lineferry.functions.render import TYPED
 from lineferry.operators.filters import rendered_filter
 from lineferry.operators.lookup import join_lookup
 from lineferry.operators.position import index_by_line, index_by_order
@@ -45,9 +48,17 @@ def _rendered(spec: ExtractSpec, f: Field, row: dict[str, Column]) -> Column:
     return render_field(field, row[f.name], spec.width(f), Context(row, spec.clock, f.default))
 
 
+def _faults(f: Field, value: Column, text: Column, width: int) -> Column:
+    """Why the rendered text cannot be written; null where it can."""
+    reason = F.when(F.length(text) > width, F.lit(f"{f.name}: does not fit")) if width > 0 else F.lit(None).cast("string")
+    if f.convert in TYPED:
+        reason = F.when(value.isNotNull() & text.isNull(), F.lit(f"{f.name}: not a valid {f.convert}")).otherwise(reason)
+    return reason
+
+
 def render_rows(rows: DataFrame, spec: ExtractSpec, line: str | None = None) -> DataFrame:
-    """Rows with each field rendered, plus ``_status``; ``line`` (unique numbers) is kept and is
-    what running numbers follow."""
+    """Rows with each field rendered, plus ``_status`` and ``_reason``; ``line`` (unique numbers) is
+    kept and is what running numbers follow."""
     df = rows
     order = [f for f in lookup_order(spec.fields) if f.name not in rows.columns]
     for f in order:
@@ -57,7 +68,7 @@ def render_rows(rows: DataFrame, spec: ExtractSpec, line: str | None = None) ->
         bad = F.col(f"_many_{f.name}")
         if not f.lookup.optional:
             bad = bad | F.col(f"_miss_{f.name}")
-        failed = F.coalesce(failed, F.when(bad, F.lit(INTEGRITY)))
+        failed = F.coalesce(failed, F.when(bad, F.lit(f"{f.name}: lookup value missing or ambiguous")))
     numbered = [f for f in spec.fields if conversion(f.conversion).positional]
     kept = [line] if line else []
     df = df.withColumn("_failed", failed)
@@ -76,24 +87,31 @@ def render_rows(rows: DataFrame, spec: ExtractSpec, line: str | None = None) ->
     late = [f for f in spec.fields if f.conversion == MERGE]
     names = {f.name for f in spec.fields}
     parts = {n for f in late for n in f.args.get("fields", ()) if n not in names}
+    shown = {f.name: _rendered(spec, f, row) for f in plain}
+    faults = [_faults(f, row[f.name], shown[f.name], spec.width(f)).alias(f"_fault_{f.name}") for f in plain]
     done = df.select(
-        *kept, "_failed", *[_rendered(spec, f, row).alias(f.name) for f in plain], *[F.col(n) for n in sorted(parts)],
+        *kept, "_failed", *[shown[f.name].alias(f.name) for f in plain], *[F.col(n) for n in sorted(parts)], *faults,
         *[F.lit(None).cast("string").alias(f.name) for f in late],
     )
     for f in late:
         # One after the other: a merged field may be part of the next.
         text = merged([F.col(n).cast("string") for n in f.args["fields"]], f.args.get("delimiter", " "))
         done = done.withColumn(f.name, _rendered(spec, f, {**row, f.name: text}))
-    kept_out = F.lit(False)
-    for f in [*plain, *late]:
+    # The first field in order that cannot be written, or is filtered, decides.
+    outcome = F.struct(F.lit(OK).alias("_status"), F.lit(None).cast("string").alias("_reason"))
+    for f in reversed([*plain, *late]):
         if f.filter_values:
-            kept_out = kept_out | ~rendered_filter(F.col(f.name), f.filter_values, f.nulls)
-    status = F.coalesce("_failed", F.when(kept_out, F.lit(FILTERED)), F.lit(OK))
-    return done.select(*kept, *[f.name for f in spec.fields], status.alias("_status"))
+            kept_out = ~rendered_filter(F.col(f.name), f.filter_values, f.nulls)
+            outcome = F.when(kept_out, F.struct(F.lit(FILTERED).alias("_status"), F.lit(f"{f.name}: value filter").alias("_reason"))).otherwise(outcome)
+        fault = F.col(f"_fault_{f.name}") if f in plain else _faults(f, F.lit(None), F.col(f.name), spec.width(f))
+        outcome = F.when(fault.isNotNull(), F.struct(F.lit(UNKNOWN).alias("_status"), fault.alias("_reason"))).otherwise(outcome)
+    failed = F.struct(F.lit(INTEGRITY).alias("_status"), F.col("_failed").alias("_reason"))
+    outcome = F.when(F.col("_failed").isNotNull(), failed).otherwise(outcome)
+    return done.select(*kept, *[f.name for f in spec.fields], F.inline(F.array(outcome)))
 
 
 def fixed_line(spec: ExtractSpec) -> Column:
-    """Texts laid over a blank record; each is cut or padded to its place, null prints blanks."""
+    """Texts laid over a blank record, each padded to its place; null prints blanks. Wider texts never get here."""
     fields = spec.layout_fields
     end = max(f.end for f in spec.fields)
     pieces: list[Column] = []

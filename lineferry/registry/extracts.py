@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.plans.extract import extract_lines, extract_summary, render_rows, with_header_footer
+from lineferry.plans.extract import extract_lines, extract_summary, fixed_line, render_rows, with_header_footer
 from lineferry.registry import fixtures as fx
 from lineferry.registry.base import query, table
 from lineferry.spec import DELIMITED, FIXED, KEY_VALUE, XML, ExtractSpec, Field, Lookup
@@ -39,7 +39,7 @@ o AS (
 
 
 def rendered(rows: DataFrame, fields: list[Field], kind: str = FIXED, line: str = "_line_no") -> DataFrame:
-    return render_rows(rows, ExtractSpec("T", fields, kind=kind, run_ts=RUN), line)
+    return render_rows(rows, ExtractSpec("T", fields, kind=kind, run_ts=RUN), line).drop("_reason")
 
 
 @query("render_text", f"""
@@ -128,7 +128,7 @@ def render_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id AS _line_no, CASE WHEN event_type = 'error' THEN '000000' ELSE strftime(ts, '%H%M%S') END AS AT,
   strftime(ts, '%H.%M') AS SHOWN, 'ok' AS _status FROM events""")
 def render_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.date_format("ts", "HH:mm:ss")
+    at = F.col("ts")
     rows = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("_line_no"), F.when(F.col("event_type") != "error", at).alias("AT"), at.alias("SHOWN")
     )
@@ -197,37 +197,53 @@ def render_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("render_phone", """
 SELECT c_custkey AS _line_no, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS PHONE,
-  '+6' || substring('60' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 1, 6) AS CUT, '999' AS NOTHING, 'ok' AS _status FROM customer""")
+  '+660' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS PREFIXED, '999' AS NOTHING, 'ok' AS _status FROM customer""")
 def render_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     phone = F.concat(F.lit("+60-"), fx.digits("c_custkey", 9), F.lit(" x"), F.col("c_nationkey").cast("string"))
     rows = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("_line_no"), phone.alias("PHONE"), phone.alias("CUT"), F.lit(None).cast("string").alias("NOTHING")
+        F.col("c_custkey").alias("_line_no"), phone.alias("PHONE"), phone.alias("PREFIXED"), F.lit(None).cast("string").alias("NOTHING")
     )
     return rendered(rows, [
         Field("PHONE", 1, 15, convert="phone", args={"strip": ("60",)}),
-        Field("CUT", 16, 23, convert="phone_prefix", args={"prefix": "+6"}),
-        Field("NOTHING", 24, 30, convert="phone", default="999"),
+        Field("PREFIXED", 16, 30, convert="phone_prefix", args={"prefix": "+6"}),
+        Field("NOTHING", 31, 37, convert="phone", default="999"),
     ])
 
 
 def _layout(spark: SparkSession, sf_dir: str, kind: str, **more) -> tuple[DataFrame, ExtractSpec]:
     spec = ExtractSpec("orders", [
-        Field("STATUS", 12, 12), Field("ORDER_ID", 1, 10, convert="long"), Field("PRIORITY", 14, 20),
-        Field("ORDER_DATE", 21, 28, convert="date"), Field("CUST_ID", 30, 34, convert="long", external=True),
+        Field("STATUS", 12, 12), Field("ORDER_ID", 1, 10, convert="long"), Field("PRIORITY", 14, 28),
+        Field("ORDER_DATE", 29, 36, convert="date"), Field("CUST_ID", 38, 49, convert="long", external=True),
     ], kind=kind, run_ts=RUN, **more)
     return _orders(spark, sf_dir), spec
 
 
 @query("extract_fixed", f"""
 WITH {ORDERS_SQL}
-SELECT _line_no, ' ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || ' ' || o_orderstatus || ' ' || rpad(coalesce(priority, ''), 7, ' ')
-  || coalesce(strftime(day, '%Y%m%d'), '00000000') || '      ' AS value FROM o""")
+SELECT _line_no, ' ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || ' ' || o_orderstatus || ' ' || rpad(coalesce(priority, ''), 15, ' ')
+  || coalesce(strftime(day, '%Y%m%d'), '00000000') || '             ' AS value FROM o""")
 def extract_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps stay blank, long text is cut, an external field only makes the record longer."""
+    """Gaps stay blank, an external field only makes the record longer."""
     rows, spec = _layout(spark, sf_dir, FIXED)
     return extract_lines(rows, spec, "_line_no")
 
 
+@query("extract_overflow", f"""
+WITH {ORDERS_SQL},
+t AS (SELECT *, abs(cents) AS c, coalesce(priority, '') AS p FROM o),
+w AS (SELECT _line_no, CASE WHEN length(p) > 8 THEN 'PRIORITY: does not fit' WHEN length(CAST(c AS VARCHAR)) > 7 THEN 'AMOUNT: does not fit' END AS _reason,
+  rpad(p, 8, ' ') || CASE WHEN cents < 0 THEN '-' ELSE ' ' END || lpad(CAST(c AS VARCHAR), 7, '0') AS value FROM t)
+SELECT _line_no, CASE WHEN _reason IS NULL THEN 'ok' ELSE 'unknown' END AS _status, _reason,
+  CASE WHEN _reason IS NULL THEN value END AS value FROM w""")
+def extract_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities and amounts too wide for their fields: nothing is cut, such rows are not written."""
+    spec = ExtractSpec("orders", [Field("PRIORITY", 1, 8), Field("AMOUNT", 9, 16, convert="currency")], run_ts=RUN)
+    rows = _orders(spark, sf_dir)
+    return render_rows(rows, spec, "_line_no").select(
+        "_line_no", "_status", "_reason", F.when(F.col("_status") == "ok", fixed_line(spec)).alias("value")
+    )
+
+
 def _delimited_spec(kind: str) -> ExtractSpec:
     return ExtractSpec("orders", [
         Field("STATUS", 3), Field("ORDER_ID", 1, convert="long"), Field("PRIORITY", 4), Field("AMOUNT", 7, convert="currency"),
@@ -283,25 +299,28 @@ def extract_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         Field("NATION_ID", external=True, convert="integer", lookup=Lookup(customers, {"CUST_ID": "c_custkey"}, "c_nationkey")),
         Field("NATION", 3, lookup=Lookup(nations, {"NATION_ID": "n_nationkey"}, "n_name", optional=True)),
     ], kind=DELIMITED)
-    return render_rows(_orders(spark, sf_dir), spec, "_line_no").drop("CUST_ID", "NATION_ID")
+    return render_rows(_orders(spark, sf_dir), spec, "_line_no").drop("CUST_ID", "NATION_ID", "_reason")
 
 
 @query("extract_summary", """
-SELECT count(*) AS records, count(*) FILTER (known AND o_orderstatus <> 'P') AS written,
-  count(*) FILTER (known AND o_orderstatus = 'P') AS filtered, count(*) FILTER (NOT known) AS integrity, CAST(0 AS BIGINT) AS unknown
-FROM (SELECT *, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) AS known FROM orders)""")
+SELECT count(*) AS records, count(*) FILTER (known AND o_orderstatus <> 'P' AND NOT bad) AS written,
+  count(*) FILTER (known AND o_orderstatus = 'P') AS filtered, count(*) FILTER (NOT known) AS integrity,
+  count(*) FILTER (known AND o_orderstatus <> 'P' AND bad) AS unknown
+FROM (SELECT *, o_orderpriority = '2-HIGH' AS bad, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) AS known FROM orders)""")
 def extract_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Among the rows are numbers given as text that is none."""
     spec = ExtractSpec("orders", [
-        Field("CUST_ID", convert="long"), Field("STATUS", 2, filter_values=("F", "O")),
+        Field("CUST_ID", convert="long"), Field("STATUS", 2, filter_values=("F", "O")), Field("CODE", 4, convert="integer"),
         Field("NAME", 3, lookup=Lookup(fx.known_customers(spark, sf_dir), {"CUST_ID": "c_custkey"}, "c_name")),
     ], kind=DELIMITED)
-    return extract_summary(render_rows(_orders(spark, sf_dir), spec))
+    code = F.when(F.col("PRIORITY") == "2-HIGH", F.col("PRIORITY")).otherwise(F.lit("7"))
+    return extract_summary(render_rows(_orders(spark, sf_dir).withColumn("CODE", code), spec))
 
 
 @query("extract_header_footer", f"""
 WITH {ORDERS_SQL}
 SELECT 1 AS _part, _line_no, ' ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || ' ' || o_orderstatus || ' '
-  || rpad(coalesce(priority, ''), 7, ' ') || coalesce(strftime(day, '%Y%m%d'), '00000000') || '      ' AS value FROM o
+  || rpad(coalesce(priority, ''), 15, ' ') || coalesce(strftime(day, '%Y%m%d'), '00000000') || '             ' AS value FROM o
 UNION ALL SELECT 0, NULL, 'H orders 2024-02-01 12:00:00 orders.def'
 UNION ALL SELECT 2, NULL, 'T ' || count(*) FROM o""")
 def extract_header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:

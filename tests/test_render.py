@@ -51,7 +51,7 @@ def test_numbers(spark):
 def test_flags_and_text(spark):
     assert render(spark, [1, -1, 0], "int", "debit_credit", 2) == ["C ", "D ", "  "]
     assert render(spark, [True, False], "boolean", "yn_boolean", 2, indicator="J") == ["J ", "N "]
-    assert render(spark, ["abcdef", ""], "string", "text", 3) == ["abc", "   "]
+    assert render(spark, ["abc", ""], "string", "text", 3) == ["abc", "   "]
     assert render(spark, ["7", ""], "string", "left_trim", 3, char="*") == ["**7", "***"]
     assert render(spark, ["a\nb\r"], "string", "line_break_trim", 5) == ["a b  "]
 
@@ -66,6 +66,30 @@ def test_dates(spark):
     assert render(spark, ["23:59:01"], "string", "time", 6) == ["235901"]
 
 
+def faults(spark, values, sql_type, kind, width=0, **args):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i bigint, F {sql_type}")
+    spec = ExtractSpec("X", [Field("F", 1 if width else 0, width, convert=kind, args=args)], run_ts=RUN)
+    return [r._reason for r in render_rows(rows, spec, "i").orderBy("i").collect()]
+
+
+def test_nothing_is_cut(spark):
+    wide = "F: does not fit"
+    assert faults(spark, [1234567, 1234, None], "bigint", "long", 5) == [wide, None, None]
+    assert faults(spark, [D("98765.43"), D("987.65")], "decimal(9,2)", "currency", 6) == [wide, None]
+    for kind, value, width in (("text", "abcd", 3), ("left_trim", "abcd", 3), ("line_break_trim", "a\nbc", 3), ("phone", "60123", 4)):
+        assert faults(spark, [value], "string", kind, width) == [wide], kind
+    assert faults(spark, [dt.date(2024, 2, 29)], "date", "date", 7) == [wide]
+    assert faults(spark, [dt.date(2024, 2, 29)], "date", "julian_date", 6) == [wide]
+    assert faults(spark, [dt.date(2034, 2, 28)], "date", "date_roll", 4, direction="FORWARD") == [wide]
+    assert render(spark, [dt.datetime(2024, 2, 29, 10, 20, 30, 500000)], "timestamp", "time", 6) == ["102030"]
+
+
+def test_bad_values_are_row_faults(spark):
+    for kind in ("integer", "long", "currency", "date", "short_date", "julian_date", "time", "yn_boolean", "debit_credit"):
+        assert faults(spark, ["abc"], "string", kind, 14) == [f"F: not a valid {kind}"], kind
+    assert faults(spark, ["abc", "7"], "string", "long") == ["F: not a valid long", None]
+
+
 def test_no_reverse(spark):
     for kind in ("currency_sum", "century_date", "integer_div"):
         with pytest.raises(SpecError):
@@ -104,7 +128,7 @@ def layout(people, kind, *fields, **more):
 
 def test_layouts(people):
     name, n = Field("NAME", 3, 6), Field("N", 1, 1, convert="integer")
-    assert layout(people, "fixed", Field("NAME", 4, 6), Field("N", 1, 2, convert="integer")) == [" 7 Ann", " 8    ", " 0 Bo "]
+    assert layout(people, "fixed", Field("NAME", 4, 6), Field("N", 1, 2, convert="integer")) == [" 7 Ann", " 8    "]
     assert layout(people, DELIMITED, name, n, delimiter=";") == ["7;;Ann", "8;;", ";;Bo & <C>"]
     assert layout(people, DELIMITED, name, n, delimiter="TAB")[0] == "7\t\tAnn"
     assert layout(people, KEY_VALUE, name, n) == ["n=7||name=Ann", "n=8||name=", "n=||name=Bo & <C>"]
@@ -130,12 +154,12 @@ def test_filters_lookups_and_summary(spark, people):
 
 
 def test_header_footer_and_file(spark, people, tmp_path):
-    spec = ExtractSpec("people", [Field("NAME", 1, 3)], header="{name} {start}", footer="{count} of {definition}", definition="p.def", run_ts=RUN)
+    spec = ExtractSpec("people", [Field("NAME", 1, 9)], header="{name} {start}", footer="{count} of {definition}", definition="p.def", run_ts=RUN)
     whole = with_header_footer(extract_lines(people, spec, "_line_no"), spec)
     write_extract(whole, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert text == "people 2024-02-01 00:00:00\nAnn\n   \nBo \n3 of p.def\n"
-    bare = ExtractSpec("people", [Field("NAME", 1, 3)], footer="end")
+    assert text == "people 2024-02-01 00:00:00\nAnn      \n         \nBo & <C> \n3 of p.def\n"
+    bare = ExtractSpec("people", [Field("NAME", 1, 9)], footer="end")
     assert with_header_footer(extract_lines(people, bare, "_line_no"), bare).count() == 4
     xml = ExtractSpec("people", [Field("NAME", tag="n")], kind=XML, root_tag="all")
     ends = [r.value for r in with_header_footer(extract_lines(people, xml, "_line_no"), xml).orderBy("_part").collect()]
