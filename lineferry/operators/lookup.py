@@ -8,8 +8,6 @@ a larger one becomes a shuffled join whose oversized partitions are split at run
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from lineferry.operators.position import index_by_line
 from lineferry.session import materialize
 from lineferry.spec import Lookup
 
+
 def as_key(c: Column, have: str, want: str) -> Column:
     """A parameter as the dimension column's type; text that is no such value never matches."""
     if have == want:
@@ -77,12 +76,35 @@ def join_lookup(df: DataFrame, lk: Lookup, params: Mapping[str, str | Column], o
     )
 
 
+def join_new_rows(df: DataFrame, new: DataFrame, lk: Lookup, params: Mapping[str, str | Column], out: str) -> DataFrame:
+    """A joined lookup's misses resolved by the dimension rows made for them.
+
+    Rows that were there are found by SQL equality, rows made for a line by its very parameters: a
+    null parameter made a row with null and finds it again.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    wanted = {f.name: f.dataType.simpleString() for f in new.schema}
+    made = new.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(lk.on.values())], F.col(lk.value).alias("_new"))
+    left = df.select("*", *[
+        as_key(F.col(params[p]), kinds[params[p]], wanted[c]).alias(f"_p{i}") for i, (p, c) in enumerate(lk.on.items())
+    ])
+    same = all_of([F.col(f"_p{i}").eqNullSafe(F.col(f"_k{i}")) for i in range(len(lk.on))])
+    value = F.when(F.col(f"_miss_{out}"), F.col("_new"))
+    return left.join(made, same & F.col(f"_miss_{out}"), "left").select(*[
+        F.coalesce(out, value).alias(out) if c == out
+        else (F.col(c) & value.isNull()).alias(c) if c == f"_miss_{out}" else F.col(c) for c in df.columns
+    ])
+
+
 def lookup(df: DataFrame, lk: Lookup, out: str, params: Mapping[str, str | Column] | None = None) -> DataFrame:
     """A single lookup over a table: ``df`` plus ``out`` and ``_status``.
 
     Parameters are columns of ``df`` of the same name unless ``params`` says otherwise.
     """
-    joined = join_lookup(df, lk, params or {p: p for p in lk.on}, out)
+    return _with_status(join_lookup(df, lk, params or {p: p for p in lk.on}, out), lk, out)
+
+
+def _with_status(joined: DataFrame, lk: Lookup, out: str) -> DataFrame:
     status = F.when(F.col(f"_many_{out}"), F.lit("parse"))
     if not lk.optional:
         status = status.when(F.col(f"_miss_{out}"), F.lit("integrity"))
@@ -171,5 +193,5 @@ def lookup_or_insert(
     """Resolve against the dimension and the rows it is missing; returns (rows, new dimension rows)."""
     given = params or {p: p for p in lk.on}
     new = new_dimension_rows(df, lk, given, line)
-    grown = replace(lk, dim=lk.dim.unionByName(new))
-    return lookup(df, grown, out, given), new
+    joined = join_new_rows(join_lookup(df, lk, given, out), new, lk, given, out)
+    return _with_status(joined, lk, out), new

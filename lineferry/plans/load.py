@@ -7,7 +7,7 @@ and reason; the sinks, the reject output and the summary are filters and aggrega
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from lineferry.functions.convert import conversion, convert_field, null_default
 from lineferry.functions.text import all_of
 from lineferry.operators.filters import cross_field_match, value_filter
-from lineferry.operators.lookup import global_flag, join_lookup, new_dimension_rows
+from lineferry.operators.lookup import global_flag, join_lookup, join_new_rows, new_dimension_rows
 from lineferry.operators.merge import merge, merge_plan
 from lineferry.operators.position import index_by_line
-from lineferry.session import materialize
+from lineferry.session import configure, drop, materialize
 from lineferry.sources.lines import LINE, LINE_NO, field_texts, is_mark, too_short
 from lineferry.spec import Field, LoadSpec, Lookup, is_own_text, lookup_order
 
@@ -112,25 +112,66 @@ def _params(f: Field, spec: LoadSpec) -> Mapping[str, str]:
     return {p: _SELF + f.name if p == f.name or is_own_text(p, names) else p for p in f.lookup.on}
 
 
-def _early_verdict(spec: LoadSpec, have: set[str]) -> Column:
-    """What is known before any lookup; decides which rows may add dimension rows."""
+def _cross_checks(spec: LoadSpec, have: set[str], resolved: list[Field], kinds: Mapping, verdict: _Verdict, early: bool) -> None:
+    """Per cross-field filter, in field order: what its fields need, then the filter itself.
+
+    ``early`` leaves out filters that wait for a lookup which is still to be made.
+    """
+    for f in spec.fields:
+        if not f.filter_fields:
+            continue
+        others = [spec.field(n) for n in f.filter_fields]
+        if early and any(x.lookup is not None and x not in resolved for x in [f, *others]):
+            continue
+        _bad_checks([x for x in [f, *others] if x.lookup is None], have, verdict)
+        for x in [f, *others]:
+            if x in resolved:
+                _lookup_checks([p for p in _with_parents(x, spec, []) if p in resolved], verdict)
+        same = cross_field_match(F.col(f.name), [(F.col(o.name), kinds[o.name] == kinds[f.name]) for o in others])
+        if f.filter_values:
+            same = same | value_filter(F.col(_TEXT + f.name), f.filter_values, f.nulls)
+        verdict.add(~same, FILTERED, f"{f.name}: matches none of {', '.join(f.filter_fields)}")
+
+
+def _kinds(df: DataFrame) -> dict:
+    return {c.name: c.dataType for c in df.schema}
+
+
+def _early_verdict(df: DataFrame, spec: LoadSpec, have: set[str], resolved: list[Field]) -> Column:
+    """What is known before a lookup; decides which rows may add dimension rows."""
     early = _Verdict()
     text_checks(spec, early)
+    _cross_checks(spec, have, resolved, _kinds(df), early, early=True)
     _bad_checks([f for f in spec.fields if f.lookup is None], have, early)
     for g in spec.filters:
         early.add(F.col(f"_g_{g.name}"), FILTERED, g.name)
+    _lookup_checks(resolved, early)
     return early.column()["_status"]
 
 
+def _filters_first(spec: LoadSpec) -> list[Field]:
+    """Lookups in dependency order, those that a cross-field filter waits for before the others."""
+    first: list[Field] = []
+    for f in spec.fields:
+        for x in [f, *[spec.field(n) for n in f.filter_fields]] if f.filter_fields else []:
+            if x.lookup is not None:
+                _with_parents(x, spec, first)
+    return [*first, *[f for f in lookup_order(spec.fields) if f not in first]]
+
+
 def route_with_inserts(
     lines: DataFrame, spec: LoadSpec, defer: bool = False
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """``route`` plus, per inserting lookup field, the new rows of its dimension."""
+    configure(lines.sparkSession)
     df = typed_rows(lines, spec)
     for g in spec.filters:
         df = global_flag(df, g.dim, g.on, g.flag, f"_g_{g.name}")
     have = set(df.columns)
-    order = lookup_order(spec.fields)
+    order = _filters_first(spec)
+    if any(f.lookup.insert is not None and not (defer and f.lookup.deferred) for f in order):
+        # What a new dimension row is made from and the rows themselves: the file is parsed once.
+        df = materialize(df)
     new_rows: dict[str, DataFrame] = {}
     resolved: list[Field] = []
     for f in order:
@@ -138,31 +179,18 @@ def route_with_inserts(
             df = df.withColumn(f.name, F.col(_TEXT + f.name))
             continue
         lk: Lookup = f.lookup
-        if lk.insert is not None:
-            reach = _early_verdict(spec, have) == OK
-            for done in resolved:
-                ok = ~F.col(f"_many_{done.name}")
-                reach = reach & (ok if done.lookup.optional else ok & ~F.col(f"_miss_{done.name}"))
-            new_rows[f.name] = new_dimension_rows(df.filter(reach), lk, _params(f, spec), LINE_NO)
-            lk = replace(lk, dim=lk.dim.unionByName(new_rows[f.name]))
-        df = join_lookup(df, lk, _params(f, spec), f.name)
+        params = _params(f, spec)
+        if lk.insert is None:
+            df = join_lookup(df, lk, params, f.name)
+        else:
+            reach = _early_verdict(df, spec, have, resolved) == OK
+            new_rows[f.name] = new_dimension_rows(df.filter(reach), lk, params, LINE_NO)
+            df = join_new_rows(join_lookup(df, lk, params, f.name), new_rows[f.name], lk, params, f.name)
         resolved.append(f)
 
     verdict = _Verdict()
     text_checks(spec, verdict)
-    kinds = {c.name: c.dataType for c in df.schema}
-    for f in spec.fields:
-        if not f.filter_fields:
-            continue
-        others = [spec.field(n) for n in f.filter_fields]
-        _bad_checks([x for x in [f, *others] if x.lookup is None], have, verdict)
-        for x in [f, *others]:
-            if x in resolved:
-                _lookup_checks([p for p in _with_parents(x, spec, []) if p in resolved], verdict)
-        same = cross_field_match(F.col(f.name), [(F.col(o.name), kinds[o.name] == kinds[f.name]) for o in others])
-        if f.filter_values:
-            same = same | value_filter(F.col(_TEXT + f.name), f.filter_values, f.nulls)
-        verdict.add(~same, FILTERED, f"{f.name}: matches none of {', '.join(f.filter_fields)}")
+    _cross_checks(spec, have, resolved, _kinds(df), verdict, early=False)
     _bad_checks([f for f in spec.fields if f.lookup is None], have, verdict)
     for g in spec.filters:
         verdict.add(F.col(f"_g_{g.name}"), FILTERED, f"global filter {g.name}")
@@ -202,6 +230,11 @@ class LoadResult:
     rejects: DataFrame
     new_dimension_rows: Mapping[str, DataFrame]
 
+    def drop(self) -> None:
+        """Delete the tables that the load wrote between its steps; its results cannot be read after that."""
+        for table in (self.routed, *self.new_dimension_rows.values()):
+            drop(table)
+
 
 def load(lines: DataFrame, spec: LoadSpec, target: DataFrame) -> LoadResult:
     """Route a file and merge it into ``target``.

@@ -174,8 +174,19 @@ def lookup_or_insert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_or_insert(orders, _inserting(spark, sf_dir), "CUST")[0]
 
 
+def new_customers_sql(where: str) -> str:
+    """The dimension rows made for the orders that meet ``where``."""
+    return f"""
+known AS (SELECT c_custkey + 1000000 AS id, c_custkey AS code, c_name AS name FROM customer WHERE c_acctbal >= 0),
+missing AS (
+  SELECT o_custkey AS code, min(o_orderkey + 1) AS first FROM orders
+  WHERE {where} AND o_custkey NOT IN (SELECT code FROM known) GROUP BY o_custkey),
+new AS (
+  SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY first) AS id, code, 'NEW' AS name FROM missing)"""
+
+
 @query("lookup_inserted_rows", f"""
-WITH {NEW_CUSTOMERS_SQL.replace('FROM orders', "FROM orders WHERE o_totalprice >= 5000 AND o_orderstatus <> 'P'").replace("WHERE o_totalprice >= 5000 AND o_orderstatus <> 'P'" + chr(10) + '  WHERE', "WHERE o_totalprice >= 5000 AND o_orderstatus <> 'P' AND")}
+WITH {new_customers_sql("o_totalprice >= 5000 AND o_orderstatus <> 'P'")}
 SELECT id, code, name FROM new""")
 def lookup_inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New dimension rows of a routed file: only lines that reach the lookup ask for one."""
@@ -184,3 +195,36 @@ def lookup_inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         Field("STATUS", 19, 19, filter_values=("F", "O")),
     )
     return route_with_inserts(fx.order_file(spark, sf_dir), spec)[1]["CUST_ID"]
+
+
+@query("lookup_insert_filtered", f"""
+WITH {new_customers_sql("o_totalprice >= 5000 AND o_orderstatus = substr(o_orderpriority, 4, 1)")}
+SELECT id, code, name FROM new""")
+def lookup_insert_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a cross-field filter takes out make no dimension row."""
+    spec = fx.order_spec(
+        fx.ORDER_ID, Field("CUST_ID", 11, 18, lookup=_inserting(spark, sf_dir)),
+        Field("STATUS", 19, 19, filter_fields=("LETTER",)), Field("LETTER", 45, 45),
+    )
+    return route_with_inserts(fx.order_file(spark, sf_dir), spec)[1]["CUST_ID"]
+
+
+@query("lookup_insert_partial_null", """
+WITH asked AS (
+  SELECT o_orderkey + 1 AS line, o_custkey AS code, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS kind FROM orders),
+known AS (SELECT c_custkey AS id, c_custkey AS code, 'F' AS kind FROM customer WHERE c_acctbal >= 0),
+missing AS (
+  SELECT code, kind, min(line) AS first FROM asked
+  WHERE kind IS NULL OR NOT EXISTS (SELECT 1 FROM known WHERE known.code = asked.code AND known.kind = asked.kind) GROUP BY code, kind),
+every AS (
+  SELECT * FROM known UNION ALL
+  SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY first), code, kind FROM missing)
+SELECT line AS _line_no, id AS CUST, 'ok' AS _status FROM asked
+JOIN every ON asked.code = every.code AND asked.kind IS NOT DISTINCT FROM every.kind""")
+def lookup_insert_partial_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of which one is null make a row, and the line gets its key."""
+    dim = fx.known_customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("code"), F.lit("F").alias("kind"))
+    kind = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("_line_no"), F.col("o_custkey").alias("CODE"), kind.alias("KIND"))
+    lk = Lookup(dim, {"CODE": "code", "KIND": "kind"}, "id", unique=True, insert=InsertRule("id"))
+    return lookup_or_insert(rows, lk, "CUST")[0].select("_line_no", "CUST", "_status")

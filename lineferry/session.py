@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import warnings
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +33,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, for tables written between two steps."""
+    """Folder every executor can reach, for tables written between two steps.
+
+    It is the one that ``spark.checkpoint.dir`` names, or that the context was given. A local
+    master, whose one machine reads its own files, gets a temporary one; any other must name it.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="ckpt-")
+        warnings.warn(f"spark.checkpoint.dir is not set; this local session writes tables to {folder}", stacklevel=2)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -45,8 +56,23 @@ def materialize(df: DataFrame) -> DataFrame:
 
     What follows sees one fixed set of rows however often it reads them, survives lost executors
     without going back to the source, and reads only the columns and row groups it needs. The folder
-    belongs to the cluster, which also clears it.
+    belongs to the cluster, which also clears it; :func:`drop` deletes a table before that.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+#: Where written tables are, as long as their DataFrames are held.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that :func:`materialize` wrote; it cannot be read any more. Others are left alone."""
+    path = _PATHS.pop(table, None)
+    if path is not None:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
