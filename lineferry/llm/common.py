@@ -154,9 +154,12 @@ def link_buckets(
     are known, they differ by no more than ``reach`` if there is a link. So no two members of a
     bucket that are linked end in different components.
     """
-    low = members.groupBy("key").agg(F.min(F.struct("id", *carried)).alias("_low"), F.max("id").alias("_top"))
-    low = low.where("_low.id < _top").select("key", *[F.col(f"_low.{c}").alias(f"x_{c}") for c in ("id", *carried)])
-    star = materialize(members.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low, "key"))
+    # Most buckets have one member: they are told apart by two numbers each before more is moved.
+    crowded = members.groupBy("key").agg(F.min("id").alias("x_id"), F.max("id").alias("_top")).where("x_id < _top").drop("_top")
+    shared = materialize(members.join(crowded, "key"))
+    low = shared.where("id = x_id").select("key", *[F.col(c).alias(f"x_{c}") for c in carried]).dropDuplicates(["key"])
+    star = shared.select("key", "x_id", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low, "key")
+    star = materialize(star)
     pairs = star.where("x_id < y_id").where(may("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
     first = materialize(measure(materialize(pairs.distinct())).select("a", "b", "dist", "linked"))
     links = first.where("linked").select("a", "b")

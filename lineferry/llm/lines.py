@@ -44,8 +44,9 @@ class Fuzzy:
         return F.array(*[F.xxhash64(F.lit(i), *c) for i, c in enumerate(chosen)])
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def words_of(line: Column) -> Column:
+    """The words of a normalised line: runs of lower-case letters and digits."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
 def split_lines(text: Column) -> Column:
@@ -55,28 +56,49 @@ def split_lines(text: Column) -> Column:
 def _simhash() -> tuple[list[Column], Column]:
     """Aggregates over a line's words, and the SimHash from them.
 
-    A count for each bit, two to a long: 32 sums instead of 64, which cannot run into each other
-    below four thousand million words.
+    A count for each bit, three to a long: 22 sums instead of 64, which cannot run into each other
+    below two million words; of a longer line they would still depend on its words alone.
     """
-    pair = (1 << 32) + 1
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(pair))).alias(f"_s{j}") for j in range(32)]
-    n = F.col("_n")
-    bits = [F.when(2 * F.col(f"_s{j}").bitwiseAND(F.lit((1 << 32) - 1)) > n, F.lit(1 << j)).otherwise(F.lit(0)) for j in range(32)]
-    high = [F.when(2 * F.shiftrightunsigned(f"_s{j}", 32) > n, F.shiftleft(F.lit(1).cast("bigint"), 32 + j)).otherwise(F.lit(0)) for j in range(32)]
-    return [F.count("*").alias("_n"), *sums], reduce(lambda a, b: a.bitwiseOR(b), [*bits, *high])
+    lanes = sum(1 << 21 * i for i in range(3))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(lanes))).alias(f"_s{j}") for j in range(21)]
+    sums.append(F.sum(F.shiftrightunsigned("h", 63)).alias("_s63"))
+    counts = [(21 * i + j, F.shiftrightunsigned(f"_s{j}", 21 * i).bitwiseAND(F.lit((1 << 21) - 1))) for j in range(21) for i in range(3)]
+    counts.append((63, F.col("_s63")))
+    bits = [F.when(2 * c > F.col("_n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")) for b, c in counts]
+    return [F.count("*").alias("_n"), *sums], reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def line_table(docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
     """``doc, t, pos, k1, k2, chars, simhash`` for every line long enough to be compared."""
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
     lines = rows.select("doc", "t", F.posexplode(split_lines(F.col("_text"))).alias("pos", "line"))
-    lines = lines.select("doc", "t", "pos", normalised(F.col("line")).alias("norm")).where(F.length("norm") >= fuzzy.min_chars)
-    lines = lines.select("doc", "t", "pos", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), F.length("norm").alias("chars"), F.explode(F.split("norm", " ")).alias("w"))
+    lines = lines.select("doc", "t", "pos", words_of(F.col("line")).alias("ws"))
+    lines = lines.select("doc", "t", "pos", "ws", F.length(F.array_join("ws", " ")).alias("chars")).where(F.col("chars") >= fuzzy.min_chars)
+    lines = lines.select("doc", "t", "pos", F.xxhash64("ws").alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), "chars", F.explode("ws").alias("w"))
     sums, simhash = _simhash()
-    counted = lines.withColumn("h", F.xxhash64("w")).groupBy("doc", "t", "pos", "k1", "k2", "chars").agg(*sums)
+    counted = lines.select("doc", "t", "pos", "k1", "k2", "chars", F.xxhash64("w").alias("h")).groupBy("doc", "t", "pos", "k1", "k2", "chars").agg(*sums)
     return counted.select("doc", "t", "pos", "k1", "k2", "chars", simhash.alias("simhash"))
 
 
+def edits(x: str, y: str, most: str) -> Column:
+    """Character edits between two lists of words joined by blanks, -1 if more than ``most``.
+
+    What both begin and end with costs no edit, so only what lies between is compared.
+    """
+    ahead = f"coalesce(nullif(array_position(zip_with({x}, {y}, (a, b) -> a <=> b), false), 0) - 1, size({x}))"
+    behind = f"coalesce(nullif(array_position(zip_with(reverse({x}), reverse({y}), (a, b) -> a <=> b), false), 0) - 1, size({x}))"
+    short = f"least(size({x}), size({y}))"
+    head = f"cast(least({ahead}, {short}) as int)"
+    tail = f"cast(least({behind}, {short} - {head}) as int)"
+    middle = [f"array_join(slice({w}, {head} + 1, size({w}) - {head} - {tail}), ' ')" for w in (x, y)]
+    # Where one list has nothing in between, the blank beside the other's words is an edit too.
+    blank = f"if(size({x}) = {head} + {tail}, 1, 0) + if(size({y}) = {head} + {tail}, 1, 0)"
+    extra = f"if({head} + {tail} > 0 and size({x}) <> size({y}) and ({blank}) = 1, 1, 0)"
+    return F.expr(f"(case when levenshtein({middle[0]}, {middle[1]}, {most}) < 0 then -1 "
+                  f"when levenshtein({middle[0]}, {middle[1]}, {most}) + {extra} > {most} then -1 "
+                  f"else levenshtein({middle[0]}, {middle[1]}, {most}) + {extra} end)")
+
+
 def links_of(distinct: DataFrame, docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
     """Links between different lines, enough for their groups."""
     members = distinct.select(F.explode(fuzzy.keys(F.col("simhash"))).alias("key"), "id", "simhash", "chars")
@@ -91,16 +113,18 @@ def links_of(distinct: DataFrame, docs: DataFrame, fuzzy: Fuzzy, key: str, text:
         places = distinct.join(wanted, "id", "left_semi").select("id", "simhash", "first.doc", "first.t", "first.pos")
         # The lines of a document that are asked for, so that its text travels once.
         by_doc = places.groupBy("doc", "t").agg(F.collect_list(F.struct("id", "simhash", "pos")).alias("asked"))
-        found = texts.join(by_doc, ["doc", "t"]).dropDuplicates(["doc", "t"])
+        found = texts.join(by_doc.hint("shuffle_hash"), ["doc", "t"])
         lines = found.select(split_lines(F.col("_text")).alias("_lines"), F.explode("asked").alias("q"))
-        norm = normalised(F.element_at("_lines", F.col("q.pos") + 1))
-        shown = materialize(lines.select("q.id", "q.simhash", norm.alias("norm")))
-        x = shown.select(F.col("id").alias("a"), F.col("simhash").alias("sx"), F.col("norm").alias("x"))
-        y = shown.select(F.col("id").alias("b"), F.col("simhash").alias("sy"), F.col("norm").alias("y"))
+        words = words_of(F.element_at("_lines", F.col("q.pos") + 1))
+        # Rows that repeat a document show the same lines again.
+        shown = materialize(lines.select("q.id", "q.simhash", words.alias("ws")).dropDuplicates(["id"]))
+        x = shown.select(F.col("id").alias("a"), F.col("simhash").alias("sx"), F.col("ws").alias("x"))
+        y = shown.select(F.col("id").alias("b"), F.col("simhash").alias("sy"), F.col("ws").alias("y"))
         dist = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))).cast("double")
-        most = f"cast(floor({1 - fuzzy.similarity!r} * greatest(length(x), length(y)) + 1e-9) as int)"
-        edits = F.expr(f"levenshtein(x, y, {most})")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", dist.alias("dist"), ((edits >= 0) & (dist <= fuzzy.bits)).alias("linked"))
+        length = "greatest(length(array_join(x, ' ')), length(array_join(y, ' ')))"
+        most = F.expr(f"cast(floor({1 - fuzzy.similarity!r} * {length} + 1e-9) as int)")
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", dist.alias("dist"), most.alias("most"))
+        return both.select("a", "b", "dist", ((edits("x", "y", "most") >= 0) & (F.col("dist") <= fuzzy.bits)).alias("linked"))
 
     return link_buckets(members, measure, fuzzy.bits, may, ("simhash", "chars"))
 
@@ -119,7 +143,7 @@ def dedup_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), key: str = "doc_id", te
     gone = lines.join(kept, ["k1", "k2"]).where("doc <> head.doc or t <> head.t or pos <> head.pos")
     drops = gone.groupBy("doc", "t").agg(F.collect_set("pos").alias("_drops"))
     drops = materialize(drops.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "_drops"))
-    joined = docs.join(drops, (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_t")), "left")
+    joined = docs.join(drops.hint("shuffle_hash"), (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_t")), "left")
     left = F.filter(split_lines(F.col(text)), lambda line, i: ~F.array_contains("_drops", i))
     n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.size(split_lines(F.col(text)))).otherwise(0)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

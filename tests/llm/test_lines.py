@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineferry.llm.lines import Fuzzy, dedup_lines, line_table, normalised
+from lineferry.llm.lines import Fuzzy, dedup_lines, edits as spark_edits, line_table
 
 
 def edits(a, b):
@@ -98,4 +98,19 @@ def test_no_python_in_plans(spark):
     docs = spark.createDataFrame([(1, "a" * 40), (2, "a" * 40)], "doc_id int, text string")
     plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
-    assert normalised(F.lit("x")) is not None and np is not None
+
+
+def test_edits_without_what_is_shared(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(300):
+        x = [rng.choice(["a", "bb", "abc", "dcd"]) for _ in range(rng.randint(1, 7))]
+        y = list(x)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 2)] = [rng.choice(["a", "bb", "abc", "dcd"])] * rng.randint(0, 2)
+        rows.append((x, y or ["q"], rng.randint(0, 12)))
+    df = spark.createDataFrame(rows, "x array<string>, y array<string>, most int")
+    for r in df.withColumn("n", spark_edits("x", "y", "most")).collect():
+        n = edits(" ".join(r.x), " ".join(r.y))
+        assert r.n == (n if n <= r.most else -1), r
