@@ -40,7 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
     groups = minhash.near_duplicates(docs, minhash.Near(size=5, percent=80))
-    return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    others = groups.where("not kept").select("doc_id").distinct().hint("shuffle_hash")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

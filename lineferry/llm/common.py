@@ -20,6 +20,8 @@ __all__ = [
 
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short rather than wide.
 BATCH_ROWS = "512"
+#: Pairs that a bucket's members may be measured in at once: so many a row, and so many in all.
+PAIRS_A_ROW, FEW_PAIRS = 4, 50_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -151,8 +153,9 @@ def link_buckets(
     id, which joins a group of copies whatever its size. Then only members that this left in another
     component than the smallest id's are measured against the members of other components, but for
     those that ``may`` and the triangle inequality rule out: where both distances to the smallest id
-    are known, they differ by no more than ``reach`` if there is a link. So no two members of a
-    bucket that are linked end in different components.
+    are known, they differ by no more than ``reach`` if there is a link. Where that could still make
+    many pairs, one such member of each bucket is taken at a time, and what it joins leaves fewer
+    for the next round. So no two members of a bucket that are linked end in different components.
     """
     # Most buckets have one member: they are told apart by two numbers each before more is moved.
     crowded = members.groupBy("key").agg(F.min("id").alias("x_id"), F.max("id").alias("_top")).where("x_id < _top").drop("_top")
@@ -164,18 +167,35 @@ def link_buckets(
     first = materialize(measure(materialize(pairs.distinct())).select("a", "b", "dist", "linked"))
     links = first.where("linked").select("a", "b")
     comps = materialize(components(links))
-    known = first.select(F.col("a").alias("x_id"), F.col("b").alias("y_id"), "dist")
-    far = labelled(star.where("x_id < y_id").join(known, ["x_id", "y_id"], "left"), comps, "y_id", "comp")
-    far = labelled(far, comps, "x_id", "pivot_comp")
-    columns = ["comp", "pivot_comp", "dist", *[F.col(f"y_{c}").alias(c) for c in ("id", *carried)]]
-    far = materialize(far.select("key", *columns))
-    x = far.where("comp <> pivot_comp").select("key", *[F.col(c).alias(f"x_{c}") for c in far.columns if c != "key"])
-    y = far.select(F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in far.columns if c != "key"])
-    # Of two members that are both apart from the smallest id, the pair is made once.
-    once = F.expr("key = y_key and x_comp <> y_comp and (y_comp = y_pivot_comp or x_id < y_id)")
-    near = F.coalesce(F.abs(F.col("x_dist") - F.col("y_dist")) <= reach + 1e-9, F.lit(True))
-    rest = x.join(y, once & near & may("x_", "y_")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    rest = materialize(rest.distinct())
-    if rest.isEmpty():
-        return links
-    return links.unionByName(materialize(measure(rest)).where("linked").select("a", "b"))
+    known = first.select(F.col("a").alias("x_id"), F.col("b").alias("id"), "dist")
+    far = star.where("x_id < y_id").select("key", "x_id", *[F.col(f"y_{c}").alias(c) for c in ("id", *carried)])
+    far = far.join(known, ["x_id", "id"], "left").withColumn("used", F.lit(False))
+    while True:
+        apart = F.expr("comp <> pivot_comp and not used")
+        now = labelled(labelled(far, comps, "id", "comp"), comps, "x_id", "pivot_comp")
+        counts = now.groupBy("key").agg(F.count_if(apart).alias("n_apart"), F.count("*").alias("n")).where("n_apart > 0")
+        now = materialize(now.join(counts, "key"))
+        rows, most = now.agg(F.count("*"), F.sum(F.when(apart, F.col("n")).otherwise(0))).first()
+        if not rows:
+            return links
+        once = most <= PAIRS_A_ROW * rows + FEW_PAIRS
+        fields = ["id", "comp", "dist", *carried]
+        x = now.where(apart)
+        if once:
+            x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in fields])
+        else:
+            x = x.groupBy("key").agg(F.min(F.struct(*fields)).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"x_{c}") for c in fields])
+        y = now.where("not used").select(F.col("key").alias("y_key"), "pivot_comp", *[F.col(c).alias(f"y_{c}") for c in fields])
+        # Of two members that are both apart from the smallest id, the pair is made once.
+        met = F.expr("key = y_key and x_comp <> y_comp" + (" and (y_comp = pivot_comp or x_id < y_id)" if once else ""))
+        near = F.coalesce(F.abs(F.col("x_dist") - F.col("y_dist")) <= reach + 1e-9, F.lit(True))
+        rest = x.join(y, met & near & may("x_", "y_")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+        rest = materialize(rest.distinct())
+        if not rest.isEmpty():
+            links = materialize(links.unionByName(measure(rest).where("linked").select("a", "b")))
+        if once:
+            return links
+        comps = materialize(components(links))
+        taken = x.select("key", F.col("x_id").alias("id"), F.lit(True).alias("_taken"))
+        far = now.drop("comp", "pivot_comp", "n_apart", "n").join(taken, ["key", "id"], "left")
+        far = materialize(far.withColumn("used", F.col("used") | F.col("_taken").isNotNull()).drop("_taken"))

@@ -123,7 +123,7 @@ def links_of(distinct: DataFrame, docs: DataFrame, fuzzy: Fuzzy, key: str, text:
         dist = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))).cast("double")
         length = "greatest(length(array_join(x, ' ')), length(array_join(y, ' ')))"
         most = F.expr(f"cast(floor({1 - fuzzy.similarity!r} * {length} + 1e-9) as int)")
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", dist.alias("dist"), most.alias("most"))
+        both = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y", dist.alias("dist"), most.alias("most"))
         return both.select("a", "b", "dist", ((edits("x", "y", "most") >= 0) & (F.col("dist") <= fuzzy.bits)).alias("linked"))
 
     return link_buckets(members, measure, fuzzy.bits, may, ("simhash", "chars"))
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), key: str = "doc_id", te
     heads = grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
     # Only lines that repeat, or are in a group, can go: what is kept of each.
     kept = grouped.where("n > 1 or component is not null").join(heads, "component", "left").select("k1", "k2", F.coalesce("head", "first").alias("head"))
-    gone = lines.join(kept, ["k1", "k2"]).where("doc <> head.doc or t <> head.t or pos <> head.pos")
+    gone = lines.join(kept.hint("shuffle_hash"), ["k1", "k2"]).where("doc <> head.doc or t <> head.t or pos <> head.pos")
     drops = gone.groupBy("doc", "t").agg(F.collect_set("pos").alias("_drops"))
     drops = materialize(drops.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "_drops"))
     joined = docs.join(drops.hint("shuffle_hash"), (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_t")), "left")

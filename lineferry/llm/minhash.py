@@ -113,16 +113,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
     full = signed.where("n_shingles > 0 and id is not null")
     nodes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("node"))
     # A bucket's members: each distinct set once, with its size.
-    chosen = full.join(nodes.withColumnRenamed("node", "id"), ["s1", "s2", "n_shingles", "id"], "left_semi")
+    chosen = full.join(nodes.withColumnRenamed("node", "id").hint("shuffle_hash"), ["s1", "s2", "n_shingles", "id"], "left_semi")
     members = materialize(chosen.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("size")).distinct())
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def measure(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        grams = materialize(sets(texts.join(wanted, "id", "left_semi"), near))
+        # Joins are told to exchange both sides: what could be broadcast here grows with the input.
+        grams = materialize(sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi"), near))
         left, right = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
         both = F.size(F.array_intersect("x", "y")).cast("bigint")
-        counted = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+        counted = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
         union = F.col("sum") - F.col("both")
         return counted.select("a", "b", (1 - F.col("both") / union).alias("dist"), (100 * F.col("both") >= near.percent * union).alias("linked"))
 

@@ -240,9 +240,10 @@ def verify(pairs: DataFrame, texts: DataFrame, passage: Passage) -> DataFrame:
     """
     kind = texts.schema["doc"].dataType.simpleString()
     ids = pairs.select("doc").unionByName(pairs.select(F.col("source").alias("doc"))).distinct()
-    asked = materialize(texts.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
-    near = pairs.join(asked.select(F.col("doc").alias("source"), F.col("text").alias("source_text")), "source")
-    both = near.join(asked, "doc").select("doc", "source", "anchors", "text", "source_text")
+    # Joins are told to exchange both sides: what could be broadcast here grows with the input.
+    asked = materialize(texts.join(ids.hint("shuffle_hash"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
+    near = pairs.hint("merge").join(asked.select(F.col("doc").alias("source"), F.col("text").alias("source_text")), "source")
+    both = near.hint("merge").join(asked, "doc").select("doc", "source", "anchors", "text", "source_text")
     fields = ["doc", "source", "start", "words", "source_start", "source_words", "similarity", "key", "hash_no", "l", "c", "r"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -281,7 +282,7 @@ def repeated(docs: DataFrame, passage: Passage = Passage(), key: str = "doc_id",
     while True:
         # Most keys are of one document: they are told apart by two numbers each before more is moved.
         shared = left.groupBy("key").agg(F.min("doc").alias("source"), F.max("doc").alias("top")).where("source < top").select("key", "source")
-        met = materialize(left.join(shared, "key"))
+        met = materialize(left.join(shared.hint("shuffle_hash"), "key"))
         if met.isEmpty():
             break
         first = met.where("doc = source").groupBy("key").agg(F.min(F.struct("c", "l", "r")).alias("first"))
@@ -324,7 +325,7 @@ def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
             yield pd.DataFrame(out, columns=["text", "removed"])
 
     spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "words")).alias("_spans")).withColumnRenamed("doc", "_doc")
-    joined = docs.join(spans, F.col(key) == F.col("_doc"), "left")
+    joined = docs.join(spans.hint("shuffle_hash"), F.col(key) == F.col("_doc"), "left")
     names = [c for c in docs.columns if c != "words_removed"]
     cutting = joined.withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut(F.col(text), F.col("_spans"))))
     shown = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.col("_cut.text"))
