@@ -169,7 +169,7 @@ def _currency(text: Column, ctx: Context, decimals: int = 2, positive_sign: str
     if decimals == 0:
         t = trim_text(F.translate(text, "+", " "))
         t = F.when(t.endswith("-"), F.concat(F.lit("-"), trim_text(F.translate(t, "-", " ")))).otherwise(t)
-        return F.when(text.rlike(_DECIMAL_AMOUNT), t.try_cast("decimal(38,6)"))
+        return F.when(text.rlike(_DECIMAL_AMOUNT), t.try_cast("decimal(38,18)"))
     # In an amount a minus only stands at either end, so its presence is the sign.
     signed = F.concat(F.when(text.contains("-"), F.lit("-")).otherwise(F.lit("")), F.translate(text, _AMOUNT_FILL, ""))
     cents = F.when(text.rlike(_AMOUNT), signed.try_cast("bigint"))
@@ -179,7 +179,7 @@ def _currency(text: Column, ctx: Context, decimals: int = 2, positive_sign: str
 
 
 def _currency_type(decimals: int = 2, **_: Any) -> str:
-    return f"decimal(38,{decimals or 6})"
+    return f"decimal(38,{decimals or 18})"
 
 
 def _currency_sum(text: Column, ctx: Context, fields=(), decimals: int = 2) -> Column:

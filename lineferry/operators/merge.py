@@ -16,7 +16,7 @@ from lineferry.functions.text import all_of, any_of
 from lineferry.operators.joins import join_per_key, rows_with_key
 from lineferry.operators.position import index_by_line
 from lineferry.session import materialize
-from lineferry.spec import INSERT, MIXED, UPDATE, Field, LoadSpec
+from lineferry.spec import INSERT, MIXED, UPDATE, Field, LoadSpec, SpecError
 
 INSERTED, UPDATED = "insert", "update"
 
@@ -31,7 +31,8 @@ def target_schema(spec: LoadSpec) -> str:
             continue
         kind = "bigint" if f.lookup is not None and f.convert is None else conversion(f.conversion).spark_type(**f.args)
         if kind.startswith("decimal"):
-            kind = f"decimal({min(max(_money_width(f, spec), 0) + 6, 38)},6)"
+            scale = max(6, f.args.get("decimals", 2))
+            kind = f"decimal({min(_money_width(f, spec) + scale, 38)},{scale})"
         cols.append(f"{f.name} {kind}" + ("" if f.optional else " not null"))
     return ", ".join(cols)
 
@@ -40,6 +41,8 @@ def _money_width(f: Field, spec: LoadSpec) -> int:
     """Text width of an amount; a sum takes the width of its last field, one more for the point."""
     summed = f.args.get("fields")
     source = spec.field(summed[-1]) if f.conversion == "currency_sum" and summed else f
+    if source.width <= 0:
+        raise SpecError(f"amount {source.name!r} has no width: state its size")
     return source.width + 1
 
 

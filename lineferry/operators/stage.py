@@ -1,4 +1,8 @@
-"""Staged loads: fixed-width staging lines, and the set-based merge that reads them back."""
+"""Staged loads: fixed-width staging lines, and the set-based merge of the staged rows.
+
+Nothing is cut to its place. Text and amounts need a width, from the field's place in the file or
+stated as its ``size``; a value that does not fit rejects its row with a reason.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineferry.functions.convert import conversion
+from lineferry.functions.render import pad, pad_left
 from lineferry.operators.lookup import deferred_lookups
 from lineferry.operators.merge import target_presence
-from lineferry.spec import INSERT, MIXED, Field, LoadSpec, lookup_order
+from lineferry.spec import INSERT, MIXED, Field, LoadSpec, SpecError, lookup_order
 
 LINE_WIDTH = 14
 # Widths and layouts of staged values by type; fixed values of the staging format.
@@ -30,40 +35,59 @@ def staged_type(f: Field) -> str:
 
 def staged_width(f: Field, spec: LoadSpec) -> int:
     kind = staged_type(f)
-    if kind.startswith("decimal"):
-        return _summed(f, spec).width + 1
-    return STAGED_WIDTH.get(kind, max(f.width, 0))
+    if kind in STAGED_WIDTH:
+        return STAGED_WIDTH[kind]
+    width = (_summed(f, spec) if kind.startswith("decimal") else f).width
+    if width <= 0:
+        raise SpecError(f"field {f.name!r} has no width: state its size to stage it")
+    return width + 1 if kind.startswith("decimal") else width
 
 
 def _plain_decimal(value: Column) -> Column:
     """Decimal text without trailing zeros and without a zero before the point."""
-    text = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
-    text = F.regexp_replace(text, r"^(-?)0\.", "$1.")
+    text = F.regexp_replace(value.cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    text = F.regexp_replace(F.regexp_replace(text, r"\.$", ""), r"^(-?)0\.", "$1.")
     return F.when(value == 0, F.lit("0")).otherwise(text)
 
 
+def _staged_text(f: Field, width: int) -> Column:
+    kind, value = staged_type(f), F.col(f.name)
+    if kind in ("int", "bigint"):
+        return pad_left(value.cast("string"), width)
+    if kind == "boolean":
+        return F.when(value, F.lit("1")).otherwise(F.lit("0"))
+    if kind == "timestamp":
+        return F.date_format(value, TIMESTAMP_LAYOUT)
+    if kind == "date":
+        return F.date_format(value, "yyyy-MM-dd")
+    if kind.startswith("decimal"):
+        return pad_left(_plain_decimal(value), width, " ")
+    return pad(value.cast("string"), width)
+
+
 def staged_value(f: Field, spec: LoadSpec) -> Column:
     """``N`` and the value in its fixed width, or ``Y`` and blanks for null."""
-    kind, width, value = staged_type(f), staged_width(f, spec), F.col(f.name)
-    if kind in ("int", "bigint"):
-        text = F.lpad(value.cast("string"), width, "0")
-    elif kind == "boolean":
-        text = F.when(value, F.lit("1")).otherwise(F.lit("0"))
-    elif kind == "timestamp":
-        text = F.date_format(value, TIMESTAMP_LAYOUT)
-    elif kind == "date":
-        text = F.date_format(value, "yyyy-MM-dd")
-    elif kind.startswith("decimal"):
-        text = F.lpad(_plain_decimal(value), width, " ")
-    else:
-        text = F.rpad(value.cast("string"), width, " ")
-    return F.when(value.isNull(), F.rpad(F.lit("Y"), width + 1, " ")).otherwise(F.concat(F.lit("N"), text))
+    width = staged_width(f, spec)
+    return F.when(F.col(f.name).isNull(), F.lit("Y" + " " * width)).otherwise(F.concat(F.lit("N"), _staged_text(f, width)))
+
+
+def staged_rows(rows: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
+    """Per good row its staging line ``value``, or null with status ``unknown`` and the first reason."""
+    number = pad_left(F.col(line).cast("string"), LINE_WIDTH)
+    reason = F.when(F.length(number) > LINE_WIDTH, F.lit("line number: does not fit"))
+    for f in spec.fields:
+        reason = reason.when(F.length(_staged_text(f, staged_width(f, spec))) > staged_width(f, spec), F.lit(f"{f.name}: does not fit"))
+    text = F.concat(number, *[staged_value(f, spec) for f in spec.fields])
+    outcome = F.struct(reason.alias("_reason"), text.alias("_text"))
+    status = F.when(F.col("_reason").isNull(), F.lit("ok")).otherwise(F.lit("unknown"))
+    return rows.select(line, F.inline(F.array(outcome))).select(
+        line, F.when(F.col("_reason").isNull(), F.col("_text")).alias("value"), status.alias("_status"), "_reason"
+    )
 
 
 def stage_lines(rows: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
-    """One staging line per good row, in column ``value``, its line number kept beside it."""
-    number = F.lpad(F.col(line).cast("string"), LINE_WIDTH, "0")
-    return rows.select(line, F.concat(number, *[staged_value(f, spec) for f in spec.fields]).alias("value"))
+    """One staging line per good row that fits, in column ``value``, its line number kept beside it."""
+    return staged_rows(rows, spec, line).where("_status = 'ok'").select(line, "value")
 
 
 def _resolved(rows: DataFrame, spec: LoadSpec) -> DataFrame:

@@ -96,6 +96,23 @@ def conv_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("AMOUNT", F.col("AMOUNT").cast("decimal(18,2)"))
 
 
+@query("conv_currency_plain", """
+SELECT o_orderkey + 1 AS _line_no, CAST(CAST(c AS VARCHAR) || '.' || lpad(CAST(k AS VARCHAR), 8, '0') AS DECIMAL(28,8)) AS PLAIN,
+  CAST(CAST(k AS DECIMAL(19,0)) * CAST('0.00000001' AS DECIMAL(9,8)) AS DECIMAL(28,8)) AS EIGHT, 'ok' AS _status
+FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderkey * 7919 % 100000000 AS k FROM orders)""")
+def conv_currency_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts with their own point and eight places, and with eight implied ones: nothing is rounded."""
+    orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey") * 7919 % 100000000)
+    eight = F.lpad(F.col("k").cast("string"), 8, "0")
+    text = F.concat(fx.cents("o_totalprice").cast("string"), F.lit("."), eight, F.lit("|"), eight)
+    lines = fx.as_file(orders.select((F.col("o_orderkey") + 1).alias("_line_no"), text.alias("value")), "_line_no", "value")
+    spec = LoadSpec("T", [
+        Field("PLAIN", 1, convert="currency", args={"decimals": 0}), Field("EIGHT", 2, convert="currency", args={"decimals": 8}),
+    ], kind=DELIMITED, delimiter="|")
+    money = [F.col(c).cast("decimal(28,8)").alias(c) for c in ("PLAIN", "EIGHT")]
+    return route(lines, spec).select("_line_no", *money, "_status")
+
+
 @query("conv_currency_sum", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CAST((CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(round(l_tax * 100) AS BIGINT)

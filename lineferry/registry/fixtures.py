@@ -123,7 +123,7 @@ STATUS = Field("STATUS", 19, 19)
 AMOUNT = Field("AMOUNT", 20, 33, convert="currency")
 ORDER_DATE = Field("ORDER_DATE", 34, 41, convert="date")
 PRIORITY = Field("PRIORITY", 42, 56, nulls=("5-LOW",), default="LOW")
-SOURCE = Field("SOURCE", default="HOST")
+SOURCE = Field("SOURCE", default="HOST", size=4)
 
 
 def order_spec(*fields: Field, **changes) -> LoadSpec:

@@ -77,6 +77,7 @@ class Field:
     external: bool = False
     optional: bool = True
     lookup: Lookup | None = None
+    size: int = 0
 
     @property
     def conversion(self) -> str:
@@ -86,8 +87,8 @@ class Field:
 
     @property
     def width(self) -> int:
-        """Text width of a fixed-width field, -1 where it has none."""
-        return self.end - self.start + 1 if self.end > 0 else -1
+        """Text width of a fixed-width field, else its stated ``size``, -1 where it has none."""
+        return self.end - self.start + 1 if self.end > 0 else self.size or -1
 
 
 def run_clock(run_ts: dt.datetime | None) -> Column:
