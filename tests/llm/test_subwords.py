@@ -58,3 +58,10 @@ def test_round_trip_of_rows(spark):
 
 def test_empty_table(spark):
     assert spark.createDataFrame([], "text string").select(encode("text", PATH)).count() == 0
+
+
+def test_query_brings_every_text_back(spark):
+    from lineferry.llm.queries import QUERIES
+
+    rows = QUERIES["op10_subwords"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000 and all(r.same and r.n_ids > 0 for r in rows)
