@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineferry.llm.common import arrow_map, materialize, mix
+from lineferry.llm.common import arrow_map, materialize
 from lineferry.session import BROADCAST_BYTES
 
 TERM = re.compile(r"[^\W\d_]+")
@@ -36,7 +36,8 @@ TERM = re.compile(r"[^\W\d_]+")
 RAREST, COMMONEST = 0.002, 0.2
 #: Random subsets: four each that keep 1/4, 1/8, ... 1/1024 of the lexicon.
 HALVINGS = np.repeat(np.arange(2, 11), 4)
-SEEDS = np.random.default_rng(2).integers(0, 2**63, len(HALVINGS)).astype(np.uint64)
+FACTORS = np.random.default_rng(2).integers(0, 2**63, len(HALVINGS)).astype(np.uint64)[:, None] | np.uint64(1)
+SHIFTS = np.uint64(64) - HALVINGS.astype(np.uint64)[:, None]
 
 
 class Terms(dict):
@@ -114,8 +115,12 @@ def fingerprint(text: str, known: Terms, band: np.ndarray) -> Fingerprint:
     terms = every[band[np.minimum(np.searchsorted(band, every), len(band) - 1)] == every] if len(band) else every[:0]
     if not len(terms):
         terms = every if len(every) else np.array([xxhash.xxh3_64_intdigest(text)], np.uint64)
-    drawn = mix(terms[None, :] ^ SEEDS[:, None]) >> np.uint64(64) - HALVINGS.astype(np.uint64)[:, None] == 0
-    subsets = [xxhash.xxh32_intdigest(terms[d].tobytes()) or 1 if d.any() else 0 for d in drawn]
+    # A subset holds the terms whose hash, times its own factor, starts with so many zeros.
+    drawn = terms * FACTORS >> SHIFTS == 0
+    where, which = np.nonzero(drawn)
+    ends = np.searchsorted(where, np.arange(len(HALVINGS) + 1)).tolist()
+    chosen = terms[which].tobytes()
+    subsets = [xxhash.xxh32_intdigest(chosen[8 * i : 8 * j]) or 1 if j > i else 0 for i, j in zip(ends, ends[1:], strict=False)]
     return Fingerprint(xxhash.xxh3_64_intdigest(terms.tobytes()), np.array(subsets, np.uint32))
 
 
