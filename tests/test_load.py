@@ -7,12 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lineferry import Field, GlobalFilter, InsertRule, LoadSpec, Lookup, load, load_summary, loaded, rejects, route, route_with_inserts
+from lineferry import Field, GlobalFilter, InsertRule, LoadSpec, Lookup, load, load_summary, loaded, rejects, route, route_with_inserts, session
 from lineferry.operators import merge as mg
 from lineferry.operators.lookup import lookup, lookup_or_insert
-from lineferry.operators.stage import stage_lines, staged_merge, staged_unloaded
+from lineferry.operators.stage import stage_lines, staged_merge, staged_rows, staged_unloaded
 from lineferry.plans.load import write_rejects
-from lineferry.spec import DELIMITED, INSERT, UPDATE
+from lineferry.spec import DELIMITED, INSERT, UPDATE, SpecError
 
 
 def csv(*fields, **kw):
@@ -241,3 +241,38 @@ def test_staging(spark, lines, dim):
     merged = {r.K: (r.L, r._loaded) for r in staged_merge(rows, target, spec).collect()}
     assert merged == {1: ("one", "U"), 2: (None, "N"), 3: ("two", "I")}
     assert [r._line_no for r in staged_unloaded(rows, spec).collect()] == [3]
+
+
+def test_staging_cuts_nothing(spark):
+    spec = LoadSpec("T", [Field("K", 1, 3, key=True, convert="integer"), Field("S", 4, 6), Field("M", 7, 9, convert="currency"), Field("C", default="HOST", size=4)])
+    rows = spark.createDataFrame([(1, 1, "abc", 9.99, "HOST"), (2, 2, "abcd", 1.0, "HOST"), (3, 3, "a", 1234.5, "HOST")], "_line_no bigint, K int, S string, M double, C string")
+    rows = rows.withColumn("M", rows["M"].cast("decimal(38,2)"))
+    out = {r._line_no: (r.value, r._status, r._reason) for r in staged_rows(rows, spec).collect()}
+    assert out[1] == ("00000000000001" "N00000000000001" "Nabc" "N9.99" "NHOST", "ok", None)
+    assert out[2] == (None, "unknown", "S: does not fit") and out[3] == (None, "unknown", "M: does not fit")
+    assert [r._line_no for r in stage_lines(rows, spec).collect()] == [1]
+    with pytest.raises(SpecError):
+        stage_lines(rows, LoadSpec("T", [Field("K", 1, 3, key=True, convert="integer"), Field("C", default="HOST")])).count()
+
+
+def test_filtered_lines_make_no_dimension_rows(spark, lines):
+    dim = spark.createDataFrame([(1, "a", "b")], "id int, code string, kind string")
+    lk = Lookup(dim, {"C": "code", "D": "kind"}, "id", insert=InsertRule("id"))
+    spec = csv(Field("A", 1, filter_fields=("B",)), Field("B", 2), Field("C", 3, lookup=lk), Field("D", 4))
+    routed, new = route_with_inserts(lines("x,y,q,k", "x,x,p,", "x,x,a,b", "x,x,p,"), spec)
+    assert sorted((r.id, r.code, r.kind) for r in new["C"].collect()) == [(2, "p", None)]
+    assert [(r.C, r._status) for r in routed.orderBy("_line_no").collect()] == [(None, "filtered"), (2, "ok"), (1, "ok"), (2, "ok")]
+
+
+def test_tables_between_steps(spark, monkeypatch):
+    table = session.materialize(spark.range(3))
+    assert table.count() == 3
+    session.drop(table)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        table.count()
+    session.drop(table)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_folder(spark)
