@@ -47,15 +47,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, schema)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder; what its making left on the executors' disks can go.
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished steps left on the executors' disks.
 
     Spark drops the shuffle files of plans that nobody holds any more when the driver collects its
     garbage, which a driver with little to do would rarely come to.
     """
-    table = session.materialize(df)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, and nothing else left of its making."""
+    table = session.materialize(df)
+    release(df.sparkSession)
     return table
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineferry.llm.common import arrow_map, materialize
+from lineferry.llm.common import arrow_map, materialize, release
 from lineferry.session import BROADCAST_BYTES
 
 TERM = re.compile(r"[^\W\d_]+")
@@ -102,9 +102,12 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
     documents, however many there are, so the lexicon fits a task; that is checked all the same.
     """
     total = docs.count()
-    band = document_frequencies(docs, text).where(F.col("n").between(max(2, rarest * total), max(2, commonest * total)))
+    counts = document_frequencies(docs, text)
+    band = counts.where(F.col("n").between(max(2, rarest * total), max(2, commonest * total)))
     most = BROADCAST_BYTES // 8
     found = band.select("term").limit(most + 1).toArrow().column("term").to_numpy()
+    del counts, band
+    release(docs.sparkSession)
     if len(found) > most:
         raise ValueError("the band holds more terms than a task can hold; narrow it")
     return np.sort(found.view(np.uint64))
