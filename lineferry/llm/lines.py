@@ -80,23 +80,27 @@ def line_table(docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
     return counted.select("doc", "t", "pos", "k1", "k2", "chars", simhash.alias("simhash"))
 
 
-def edits(x: str, y: str, most: str) -> Column:
-    """Character edits between two lists of words joined by blanks, -1 if more than ``most``.
+def with_edits(pairs: DataFrame) -> DataFrame:
+    """``pairs(x, y, most)`` with ``edits``: character edits between the two lists of words joined
+    by blanks, -1 if more than ``most``.
 
-    What both begin and end with costs no edit, so only what lies between is compared.
+    What both begin and end with costs no edit, so only what lies between is compared. Each step is
+    a projection of its own: written as one expression, every step would be computed again wherever
+    it is used.
     """
-    ahead = f"coalesce(nullif(array_position(zip_with({x}, {y}, (a, b) -> a <=> b), false), 0) - 1, size({x}))"
-    behind = f"coalesce(nullif(array_position(zip_with(reverse({x}), reverse({y}), (a, b) -> a <=> b), false), 0) - 1, size({x}))"
-    short = f"least(size({x}), size({y}))"
-    head = f"cast(least({ahead}, {short}) as int)"
-    tail = f"cast(least({behind}, {short} - {head}) as int)"
-    middle = [f"array_join(slice({w}, {head} + 1, size({w}) - {head} - {tail}), ' ')" for w in (x, y)]
+    first_change = "coalesce(nullif(array_position(zip_with({}, {}, (a, b) -> a <=> b), false), 0) - 1, size(x))"
+    short = F.expr("least(size(x), size(y))").cast("int")
+    out = pairs.withColumn("_ahead", F.expr(first_change.format("x", "y")).cast("int"))
+    out = out.withColumn("_behind", F.expr(first_change.format("reverse(x)", "reverse(y)")).cast("int"))
+    out = out.withColumn("_head", F.least("_ahead", short)).withColumn("_tail", F.least(F.col("_behind"), short - F.col("_head")))
+    for w in ("x", "y"):
+        out = out.withColumn(f"_n{w}", F.size(w) - F.col("_head") - F.col("_tail"))
+        out = out.withColumn(f"_m{w}", F.array_join(F.slice(w, F.col("_head") + 1, F.col(f"_n{w}")), " "))
     # Where one list has nothing in between, the blank beside the other's words is an edit too.
-    blank = f"if(size({x}) = {head} + {tail}, 1, 0) + if(size({y}) = {head} + {tail}, 1, 0)"
-    extra = f"if({head} + {tail} > 0 and size({x}) <> size({y}) and ({blank}) = 1, 1, 0)"
-    return F.expr(f"(case when levenshtein({middle[0]}, {middle[1]}, {most}) < 0 then -1 "
-                  f"when levenshtein({middle[0]}, {middle[1]}, {most}) + {extra} > {most} then -1 "
-                  f"else levenshtein({middle[0]}, {middle[1]}, {most}) + {extra} end)")
+    alone = F.expr("_head + _tail > 0 and (_nx = 0) <> (_ny = 0)").cast("int")
+    out = out.withColumn("_alone", alone).withColumn("_edits", F.expr("levenshtein(_mx, _my, most)"))
+    within = (F.col("_edits") >= 0) & (F.col("_edits") + F.col("_alone") <= F.col("most"))
+    return out.select(*pairs.columns, F.when(within, F.col("_edits") + F.col("_alone")).otherwise(-1).alias("edits"))
 
 
 def links_of(distinct: DataFrame, docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
@@ -124,7 +128,7 @@ def links_of(distinct: DataFrame, docs: DataFrame, fuzzy: Fuzzy, key: str, text:
         length = "greatest(length(array_join(x, ' ')), length(array_join(y, ' ')))"
         most = F.expr(f"cast(floor({1 - fuzzy.similarity!r} * {length} + 1e-9) as int)")
         both = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y", dist.alias("dist"), most.alias("most"))
-        return both.select("a", "b", "dist", ((edits("x", "y", "most") >= 0) & (F.col("dist") <= fuzzy.bits)).alias("linked"))
+        return with_edits(both).select("a", "b", "dist", ((F.col("edits") >= 0) & (F.col("dist") <= fuzzy.bits)).alias("linked"))
 
     return link_buckets(members, measure, fuzzy.bits, may, ("simhash", "chars"))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineferry.llm.lines import Fuzzy, dedup_lines, edits as spark_edits, line_table
+from lineferry.llm.lines import Fuzzy, dedup_lines, line_table, with_edits
 
 
 def edits(a, b):
@@ -111,6 +111,6 @@ def test_edits_without_what_is_shared(spark):
             y[at : at + rng.randint(0, 2)] = [rng.choice(["a", "bb", "abc", "dcd"])] * rng.randint(0, 2)
         rows.append((x, y or ["q"], rng.randint(0, 12)))
     df = spark.createDataFrame(rows, "x array<string>, y array<string>, most int")
-    for r in df.withColumn("n", spark_edits("x", "y", "most")).collect():
+    for r in with_edits(df).collect():
         n = edits(" ".join(r.x), " ".join(r.y))
-        assert r.n == (n if n <= r.most else -1), r
+        assert r.edits == (n if n <= r.most else -1), r
