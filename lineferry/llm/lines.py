@@ -72,9 +72,12 @@ def line_table(docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
     """``doc, t, pos, k1, k2, chars, simhash`` for every line long enough to be compared."""
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
     lines = rows.select("doc", "t", F.posexplode(split_lines(F.col("_text"))).alias("pos", "line"))
-    lines = lines.select("doc", "t", "pos", words_of(F.col("line")).alias("ws"))
-    lines = lines.select("doc", "t", "pos", "ws", F.length(F.array_join("ws", " ")).alias("chars")).where(F.col("chars") >= fuzzy.min_chars)
-    lines = lines.select("doc", "t", "pos", F.xxhash64("ws").alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), "chars", F.explode("ws").alias("w"))
+    # A line's words and hashes come out of one-element generators: as plain columns they would be
+    # computed again for the filter and for each word below.
+    lines = lines.select("doc", "t", "pos", F.inline(F.array(F.struct(words_of(F.col("line")).alias("ws")))))
+    hashes = F.struct(F.xxhash64("ws").alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), F.length(F.array_join("ws", " ")).alias("chars"))
+    lines = lines.select("doc", "t", "pos", "ws", F.inline(F.array(hashes))).where(F.col("chars") >= fuzzy.min_chars)
+    lines = lines.select("doc", "t", "pos", "k1", "k2", "chars", F.explode("ws").alias("w"))
     sums, simhash = _simhash()
     counted = lines.select("doc", "t", "pos", "k1", "k2", "chars", F.xxhash64("w").alias("h")).groupBy("doc", "t", "pos", "k1", "k2", "chars").agg(*sums)
     return counted.select("doc", "t", "pos", "k1", "k2", "chars", simhash.alias("simhash"))
