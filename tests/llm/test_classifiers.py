@@ -62,7 +62,7 @@ def test_pairs_say_what_neither_term_says():
     terms, y = [], []
     for _ in range(1500):
         a, b = rng.random(2) < 0.5
-        terms.append(np.unique(np.r_[[1] * a, [2] * b, rng.integers(10, 40, 3)]).astype(np.int32))
+        terms.append(np.unique(np.r_[[1] * int(a), [2] * int(b), rng.integers(10, 40, 3)]).astype(np.int32))
         y.append(float(a and b))
     y = np.array(y)
     machine = toxicity.Machine(terms[:1000], y[:1000])
