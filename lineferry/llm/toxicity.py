@@ -28,7 +28,7 @@ from lineferry.llm.quality import SAMPLE, Share, sampled
 
 __all__ = ["SAMPLE", "Machine", "fit", "score"]
 
-SLOTS, FACTORS, EPOCHS, RATE, LEAST = 1 << 19, 8, 12, 0.1, 20
+SLOTS, FACTORS, EPOCHS, RATE, LEAST = 1 << 19, 8, 12, 0.1, 8
 DECAY = 1e-4
 #: A word's terms are the word and its beginnings of these lengths: stems of inflected insults.
 STEMS = (4, 5, 6)
