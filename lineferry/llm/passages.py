@@ -230,9 +230,6 @@ def agreeing(found: list[tuple], agree: int) -> list[bool]:
     return [len(v) >= agree for v in votes]
 
 
-ANCHOR = "struct<hash_no:int,l:int,c:int,r:int,c2:int,agreed:boolean>"
-
-
 def verify(pairs: DataFrame, texts: DataFrame, passage: Passage) -> DataFrame:
     """What comparing ``pairs(doc, source, anchors)`` shows: passages, and new keys of the windows.
 
@@ -252,7 +249,8 @@ def verify(pairs: DataFrame, texts: DataFrame, passage: Passage) -> DataFrame:
             rows: list[tuple] = []
             for doc, source, anchors, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = (shingles(known.of(words(t)), passage.size) for t in (text, other))
-                found = verified(x, y, [(a["c"], a["c2"], a["agreed"]) for a in anchors], passage)
+                agreed = agreeing([(a["hash_no"], a["l"], a["r"], a["l2"], a["r2"]) for a in anchors], passage.agree)
+                found = verified(x, y, [(a["c"], a["c2"], g) for a, g in zip(anchors, agreed, strict=True)], passage)
                 rows += [(doc, source, a, b - a, c, d - c, s, None, None, None, None, None) for a, b, c, d, s in found]
                 left = {(k, a["hash_no"], a["l"], a["c"], a["r"]) for a in anchors for k in partings(x, y, a["c"], a["c2"])}
                 rows += [(doc, None, None, None, None, None, None, *w) for w in sorted(left)]
@@ -268,16 +266,9 @@ def verify(pairs: DataFrame, texts: DataFrame, passage: Passage) -> DataFrame:
 def repeated(docs: DataFrame, passage: Passage = Passage(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Verified passages: ``doc, start, words`` and the smaller document ``source`` that has them too."""
     texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    kind = texts.schema["doc"].dataType.simpleString()
     found = materialize(windows(texts, passage))
     left = found.select(F.explode(F.array("ahead", "back")).alias("key"), "hash_no", "doc", "l", "c", "r").where("key <> 0")
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["hash_no", "c", "c2"])
-        agreed = agreeing(list(rows[["hash_no", "l", "r", "l2", "r2"]].itertuples(index=False, name=None)), passage.agree)
-        anchors = rows[["hash_no", "l", "c", "r", "c2"]].assign(agreed=agreed).to_dict("records")
-        return pd.DataFrame({"doc": rows["doc"].iloc[:1], "source": rows["source"].iloc[:1], "anchors": [anchors]})
-
     out = None
     while True:
         # Most keys are of one document: they are told apart by two numbers each before more is moved.
@@ -287,7 +278,9 @@ def repeated(docs: DataFrame, passage: Passage = Passage(), key: str = "doc_id",
             break
         first = met.where("doc = source").groupBy("key").agg(F.min(F.struct("c", "l", "r")).alias("first"))
         met = met.where("doc <> source").join(first, "key").select("doc", "source", "hash_no", "l", "c", "r", F.col("first.l").alias("l2"), F.col("first.c").alias("c2"), F.col("first.r").alias("r2"))
-        pairs = materialize(met.groupBy("doc", "source").applyInPandas(meet, f"doc {kind}, source {kind}, anchors array<{ANCHOR}>"))
+        # The windows of one document that meet those of another are at most its own.
+        anchors = F.collect_set(F.struct("hash_no", "l", "c", "r", "l2", "c2", "r2")).alias("anchors")
+        pairs = materialize(met.groupBy("doc", "source").agg(anchors))
         shown = materialize(verify(pairs, texts, passage))
         left = shown.where("key is not null").select("key", "hash_no", "doc", "l", "c", "r")
         proved = shown.where("similarity is not null").drop("key", "hash_no", "l", "c", "r")
