@@ -1,9 +1,12 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives Viterbi.
+"""SentencePiece encoding and decoding, driven by an Aho-Corasick automaton over the pieces.
 
-A text becomes the pieces whose scores have the largest sum. The automaton reads the text once; at
-each position it gives, along its output links, every piece that ends there, and each relaxes the
-best score at that position. Of equal sums the longer last piece wins. A character that is no piece
-costs ten more than the worst piece and is written as its UTF-8 bytes.
+The automaton reads the text once; at each position it gives, along its output links, every piece
+that ends there. What follows depends on the model, as in SentencePiece itself. The scores of a BPE
+model are the order of its merges: of the neighbours that are a piece together, those of the highest
+score are merged first, the leftmost of equals. The scores of a unigram model are log probabilities:
+a text becomes the pieces with the largest sum (Viterbi); of equal sums the longer last piece wins.
+A character that is no piece is written as its UTF-8 bytes; for Viterbi it costs ten more than the
+worst piece.
 
 Blanks are written as ``▁`` and one is put before the text, as SentencePiece does; a ``▁`` of the
 text itself goes through bytes, so that decoding gives back every text exactly. Null and empty
@@ -16,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -73,6 +77,33 @@ class Pieces:
         rest_class = re.escape("".join(sorted(rest)))
         return rf"{BLANK}*[^\W_{rest_class}]+|{BLANK}*(?:(?!{BLANK})[\W_{rest_class}])+|{BLANK}+"
 
+    def merged(self, text: str) -> list[int]:
+        """Ids after the merges of a BPE model, which look up the pieces that the automaton found."""
+        found: dict[tuple[int, int], tuple[float, int]] = {}
+        for last, (length, number, gain) in self.automaton.iter(text):
+            found[last + 1 - length, last + 1] = -gain, number
+        n = len(text)
+        # By start, where the part ends (0: merged into another); by end, where it starts.
+        ends, starts = list(range(1, n + 1)), list(range(-1, n))
+        queue = [(found[i, i + 2][0], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in found]
+        heapify(queue)
+        while queue:
+            _, start, middle, end = heappop(queue)
+            if ends[start] != middle or ends[middle] != end:
+                continue
+            ends[start], ends[middle], starts[end] = end, 0, start
+            if start and (starts[start], end) in found:
+                heappush(queue, (found[starts[start], end][0], starts[start], start, end))
+            if end < n and (start, ends[end]) in found:
+                heappush(queue, (found[start, ends[end]][0], start, end, ends[end]))
+        out: list[int] = []
+        at = 0
+        while at < n:
+            known = found.get((at, ends[at]))
+            out += [known[1]] if known else [self.bytes_ids[b] for b in self._bytes(text[at])]
+            at = ends[at]
+        return out
+
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation, in one pass over the text."""
         n, at, single, unknown = len(text), 0, self.single, self.unknown
@@ -110,11 +141,14 @@ class Units(dict):
         self.pieces = pieces
 
     def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.pieces.best(unit), "<i4").tobytes()
+        ids = np.array(self.segment(unit), "<i4").tobytes()
         if len(unit) <= 64 and len(self) < self.most:
             self[unit] = ids
         return ids
 
+    def segment(self, unit: str) -> list[int]:
+        return self.pieces.best(unit)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
@@ -122,10 +156,34 @@ class Units(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.pieces.unit.findall(marked))), "<i4")
 
 
+class MergedUnits(Units):
+    """Ids of a BPE model by unit of text; no merge spans two units either."""
+
+    def segment(self, unit: str) -> list[int]:
+        return self.pieces.merged(unit)
+
+
+def units_of(model: str) -> Units:
+    """Units that are segmented as the model's kind asks for."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(model, "rb") as f:
+        proto.ParseFromString(f.read())
+    kind = proto.trainer_spec.model_type
+    if kind == proto.trainer_spec.UNIGRAM:
+        return Units(Pieces(model))
+    if kind != proto.trainer_spec.BPE:
+        raise ValueError("the model is neither BPE nor unigram")
+    if any(x.type in (x.USER_DEFINED, x.UNUSED) for x in proto.pieces):
+        raise ValueError("user-defined and unused pieces of a BPE model are not merged here")
+    return MergedUnits(Pieces(model))
+
+
 @lru_cache(1)
 def worker_units(model: str) -> Units:
     """A worker's units, which its later tasks find filled."""
-    return Units(Pieces(model))
+    return units_of(model)
 
 
 def encode(text: Column | str, model: str) -> Column:

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 import pytest
 
-from lineferry.llm.subwords import BLANK, KEPT, Pieces, Units, decode, encode
+from lineferry.llm.subwords import BLANK, KEPT, Pieces, Units, decode, encode, units_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -48,6 +48,20 @@ def test_best_sum(pieces):
         assert pieces.text(Units(pieces).encode(text)) == text
 
 
+def test_ids_are_those_of_sentencepiece(spark):
+    import sentencepiece
+
+    known = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rng = random.Random(5)
+    made = ["".join(rng.choice("the in\nandréß_-'9日ation ") for _ in range(rng.randint(1, 200))) for _ in range(500)]
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    texts = [t for t in [*TEXTS, "information government", "日本語の文章です" * 500, *made, *docs] if BLANK not in t]
+    units = units_of(PATH)
+    assert [units.encode(t).tolist() for t in texts] == [known.encode(t) for t in texts]
+    rows = spark.createDataFrame([("government",)], "text string").select(encode("text", PATH).alias("ids")).collect()
+    assert rows[0].ids == known.encode("government") and len(rows[0].ids) == 1
+
+
 def test_round_trip_of_rows(spark):
     rows = [(i, t) for i, t in enumerate([*TEXTS, "", None, "same", "same", "long words " * 20000])]
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id int, text string, ids int")
