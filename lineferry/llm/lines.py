@@ -6,8 +6,8 @@ in all but ``bits`` blocks, so lines are joined on each choice of that many bloc
 whose SimHashes are near and whose edit similarity suffices are linked, and of each connected group
 of lines, and of each repeated line, the occurrence in the smallest (id, position) is kept.
 
-Lines shorter than ``min_chars`` when normalised are never compared or removed: headings and blank
-lines are not repeated passages. Null texts stay null, an empty text stays empty, and a text whose
+Every line that holds a letter or digit is compared; blank lines and rules are left as they are. A
+``min_chars`` above 1 leaves out shorter normalised lines altogether, repeated ones too. Null texts stay null, an empty text stays empty, and a text whose
 lines all go becomes empty; the row stays. Rows with a null id are left as they are. Rows of one id
 with the same text are one document; with different texts they are two. Other columns are passed
 through, whatever their names but ``n_lines`` and ``n_removed``, which the result adds.
@@ -29,12 +29,12 @@ BITS = 64
 
 @dataclass(frozen=True)
 class Fuzzy:
-    """SimHash bits that may differ, blocks of its bits, least edit similarity, shortest line."""
+    """SimHash bits that may differ, blocks of its bits, least edit similarity, shortest line in normalised characters."""
 
     bits: int = 3
     blocks: int = 5
     similarity: float = 0.9
-    min_chars: int = 30
+    min_chars: int = 1
 
     def keys(self, simhash: Column) -> Column:
         """A key for each choice of blocks that must agree."""
@@ -69,7 +69,7 @@ def _simhash() -> tuple[list[Column], Column]:
 
 
 def line_table(docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
-    """``doc, t, pos, k1, k2, chars, simhash`` for every line long enough to be compared."""
+    """``doc, t, pos, k1, k2, chars, simhash`` for every line with a letter or digit and ``min_chars``."""
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
     lines = rows.select("doc", "t", F.posexplode(split_lines(F.col("_text"))).alias("pos", "line"))
     # A line's words and hashes come out of one-element generators: as plain columns they would be

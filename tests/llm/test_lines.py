@@ -94,6 +94,14 @@ def test_nulls_repeats_and_empty_table(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_are_deduplicated_too(spark):
+    """Boilerplate of a few words, and whole sentences without blanks; blank lines and rules stay."""
+    rows = [(1, "All rights reserved.\n\n---\n今日はとても良い天気です。\nx"), (2, "mine\nall rights RESERVED\n\n---\n今日はとても良い天気です\nX!\nall rights observed")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(docs).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("mine\n\n---\nall rights observed", 3)}
+
+
 def test_no_python_in_plans(spark):
     docs = spark.createDataFrame([(1, "a" * 40), (2, "a" * 40)], "doc_id int, text string")
     plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
