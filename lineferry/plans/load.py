@@ -19,8 +19,8 @@ from lineferry.operators.lookup import global_flag, join_lookup, join_new_rows,
 from lineferry.operators.merge import merge, merge_plan
 from lineferry.operators.position import index_by_line
 from lineferry.session import configure, drop, materialize
-from lineferry.sources.lines import LINE, LINE_NO, field_texts, is_mark, too_short
-from lineferry.spec import Field, LoadSpec, Lookup, is_own_text, lookup_order
+from lineferry.sources.lines import LINE, LINE_NO, XML_CORRUPT, field_texts, is_mark, too_short
+from lineferry.spec import XML, Field, LoadSpec, Lookup, is_own_text, lookup_order
 
 OK, HEADER_TRAILER, FILTERED, PARSE, INTEGRITY, UNKNOWN = (
     "ok", "header_trailer", "filtered", "parse", "integrity", "unknown",
@@ -51,6 +51,8 @@ class _Verdict:
 
 def text_checks(spec: LoadSpec, verdict: _Verdict) -> None:
     """Marks, then per field, in field order: too short, value filter."""
+    if spec.kind == XML:
+        verdict.add(F.col(XML_CORRUPT).isNotNull(), PARSE, "record is not well-formed")
     verdict.add(F.col("_mark"), HEADER_TRAILER, "header or trailer")
     for f in spec.fields:
         short = too_short(spec, f)

@@ -14,6 +14,8 @@ from lineferry.spec import DELIMITED, FIXED, XML, Field, LoadSpec
 
 LINE, LINE_NO = "value", "_line_no"
 XML_TEXT = "_x_"
+#: Text of an XML record that is not well-formed; no tag holds a blank.
+XML_CORRUPT = "_corrupt record"
 
 _NAMED_DELIMITERS = {"SPACE": " ", "TAB": "\t"}
 

@@ -100,6 +100,19 @@ def test_split_xml_reads_one_file_in_many_tasks(spark, tmp_path, small_splits):
     assert sorted(int(r.ID) for r in rows.collect()) == list(range(2000))
 
 
+def test_split_xml_keeps_self_closing_and_corrupt_records(spark, tmp_path):
+    (tmp_path / "o.xml").write_text(
+        "<orders><order_s/><order/><order a='x>y' b=\"1\"/><order><ID>5</ID></order ><order\n><ID>6</ID></order>"
+        "<order><ID>7</NAME></order><order a='1><ID>8</ID></order><order c='2'><order_id>3</order_id><ID>9</ID></order><order /></orders>")
+    spec = LoadSpec("T", [Field("KEY", tag="ID", convert="long")], kind=XML, row_tag="order")
+    rows = route(read_xml_records(spark, str(tmp_path / "o.xml"), spec, split=True), spec).orderBy("_line_no").collect()
+    assert [(r.KEY, r._status) for r in rows] == [
+        (None, "ok"), (None, "ok"), (5, "ok"), (6, "ok"), (None, "parse"), (None, "parse"), (9, "ok"), (None, "ok")]
+    assert "<ID>7</NAME>" in rows[4].value and "<ID>8</ID>" in rows[5].value
+    (tmp_path / "dots.xml").write_text("<r><aXb><ID>1</ID></aXb><a.b><ID>2</ID></a.b></r>")
+    assert [r.ID for r in read_xml(spark, str(tmp_path / "dots.xml"), "a.b", ["ID"], split=True).collect()] == ["2"]
+
+
 def test_xml_load(spark, tmp_path):
     (tmp_path / "o.xml").write_text(XML_TEXT)
     spec = LoadSpec("T", [
