@@ -2,7 +2,9 @@
 
 A text's score is the logistic of a bias, a weight for each of its distinct terms, and the inner
 product of the factors of each two of them, so that two terms may say together what neither says
-alone. It is trained in numpy by gradient steps on at most ``SAMPLE`` labelled rows. Terms of fewer than
+alone. It is trained in numpy by gradient steps on at most ``SAMPLE`` labelled rows: first the weights
+alone, then factors and weights on what the weights leave. A pair counts alike in short and long
+texts, and each factor has its own rate, which its past gradients shrink. Terms of fewer than
 ``LEAST`` sampled documents are left out, and what a text's terms add is compared with what the
 same model says of no terms.
 
@@ -30,6 +32,8 @@ __all__ = ["SAMPLE", "Machine", "fit", "score"]
 
 SLOTS, FACTORS, EPOCHS, RATE, LEAST = 1 << 19, 8, 12, 0.1, 8
 DECAY = 1e-4
+#: Spread of the factors at the start, their rate, and that of the weights beside them.
+START, PAIR_RATE, LATE_RATE = 0.001, 0.01, 0.01
 #: A word's terms are the word and its beginnings of these lengths: stems of inflected insults.
 STEMS = (4, 5, 6)
 
@@ -60,31 +64,44 @@ class Machine:
         rng = np.random.default_rng(9)
         held = np.bincount(np.concatenate(terms), minlength=SLOTS)
         self.used = held >= LEAST
-        self.weights, self.factors = np.zeros(SLOTS), rng.normal(0, 0.01, (SLOTS, FACTORS))
+        self.weights, self.factors = np.zeros(SLOTS), rng.normal(0, START, (SLOTS, FACTORS))
         self.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         terms = [t[self.used[t]] for t in terms]
         order = np.arange(len(y))
         for epoch in range(EPOCHS):
             rng.shuffle(order)
             rate = RATE / (1 + epoch)
+            for i in order.tolist():
+                t = terms[i]
+                w = self.weights[t]
+                error = self._chance(self.bias + w.sum()) - y[i]
+                # One rate for all terms: a term moves by how often it errs, so rare ones stay small.
+                self.weights[t] = w - rate * (error + DECAY * w)
+        steps = np.full((SLOTS, FACTORS), 1e-2)
+        for _ in range(EPOCHS):
+            rng.shuffle(order)
             for i in order.tolist():
                 t = terms[i]
                 if not len(t):
                     continue
-                error = 1 / (1 + np.exp(-self._raw(t))) - y[i]
+                error = self._chance(self._raw(t)) - y[i]
                 v = self.factors[t]
-                # One rate for all terms: a term moves by how often it errs, so rare ones stay small.
-                self.weights[t] -= rate * (error + DECAY * self.weights[t])
-                self.factors[t] -= rate * (error * (v.sum(0) - v) / len(t) + DECAY * v)
+                slope = error * (v.sum(0) - v)
+                self.weights[t] -= LATE_RATE * (error + DECAY * self.weights[t])
+                steps[t] += slope * slope
+                self.factors[t] = v - PAIR_RATE * slope / np.sqrt(steps[t])
         self.weights, self.factors = self.weights.astype(np.float32), self.factors.astype(np.float32)
 
+    @staticmethod
+    def _chance(raw: float) -> float:
+        return 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
+
     def _raw(self, t: np.ndarray) -> float:
-        """Pairs are averaged over the text's terms, so that a long text is not its length alone."""
         if not len(t):
             return self.bias
         v = self.factors[t]
         total = v.sum(0)
-        pairs = (total @ total - np.einsum("ij,ij->", v, v)) / (2 * len(t))
+        pairs = (total @ total - np.einsum("ij,ij->", v, v)) / 2
         return float(np.clip(self.bias + self.weights[t].sum() + pairs, -60, 60))
 
     def score(self, terms: list[np.ndarray]) -> np.ndarray:

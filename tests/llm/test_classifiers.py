@@ -69,3 +69,17 @@ def test_pairs_say_what_neither_term_says():
     assert np.mean((machine.score(terms[1000:]) >= 0.5) == y[1000:]) > 0.95
     only = machine.score([np.array([1], np.int32), np.array([2], np.int32), np.array([1, 2], np.int32)])
     assert only[2] > max(only[0], only[1])
+
+
+@pytest.mark.parametrize(("others", "least"), [(4, 0.95), (100, 0.95), (200, 0.85)])
+def test_pairs_in_long_texts(others, least):
+    """Exactly one of terms 1 and 2, which no sum of weights can say, among many that mean nothing."""
+    rng = np.random.default_rng(0)
+    terms, y = [], []
+    for _ in range(6000):
+        a, b = rng.random(2) < 0.5
+        terms.append(np.unique(np.r_[[1] * int(a), [2] * int(b), rng.choice(np.arange(10, 410), others, replace=False)]).astype(np.int32))
+        y.append(float(a != b))
+    y = np.array(y)
+    machine = toxicity.Machine(terms[:5000], y[:5000])
+    assert np.mean((machine.score(terms[5000:]) >= 0.5) == y[5000:]) >= least
