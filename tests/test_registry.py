@@ -9,9 +9,10 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
+from lineferry.registry import ORACLES as SQL
+from lineferry.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
