@@ -15,7 +15,7 @@ from lineferry import session
 from lineferry.session import configure
 
 __all__ = [
-    "Hashes", "arrow_map", "components", "link_buckets", "materialize", "mix", "prepare", "read", "shingles", "words",
+    "Hashes", "arrow_map", "components", "link_buckets", "materialize", "mix", "named", "prepare", "read", "shingles", "unused", "words",
 ]
 
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short rather than wide.
@@ -47,6 +47,19 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> dict[str, str]:
+    """A working name for each of ``names`` that no column of ``df`` has, in upper or lower case."""
+    taken, head = {c.lower() for c in df.columns}, "_"
+    while any((head + n).lower() in taken for n in names):
+        head += "_"
+    return {n: head + n for n in names}
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of what finished steps left on the executors' disks.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.llm import fingerprints, lines, minhash, packing, passages, quality, subwords, toxicity, urls, vectors
+from lineferry.llm import fingerprints, infill, lines, minhash, packing, passages, quality, subwords, toxicity, urls, vectors
 from lineferry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, learn=remainder(4) != 2)
     return scored(toxicity.score(docs, model), remainder(4) == 2)
+
+
+@query("op13_infill", """
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id::varchar) as g from documents),
+h as (select *, ('0x' || substr(g, 1, 8))::bigint as h1, ('0x' || substr(g, 9, 8))::bigint as h2, ('0x' || substr(g, 17, 8))::bigint as h3,
+             ('0x' || substr(g, 25, 8))::bigint as h4, string_split(t, chr(10)) as parts,
+             length(t) - length(replace(t, chr(10), '')) + (t <> '' and not ends_with(t, chr(10)))::bigint as n from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+                  when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+e as (select *, case when a = n then length(t) else list_sum(list_transform(parts[:a], lambda x: length(x) + 1)) end as i,
+             case when b = n then length(t) else list_sum(list_transform(parts[:b], lambda x: length(x) + 1)) end as j from c),
+s as (select *, t[:coalesce(i, 0)] as p, t[coalesce(i, 0) + 1:coalesce(j, 0)] as m, t[coalesce(j, 0) + 1:] as x from e)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || x || '<M>' || m else '<S>' || x || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256 from s
+""")
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its middle moved to the end, and rebuilt from that."""
+    done = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = F.sha2(infill.restore(F.col("output"), F.col("form")), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256"))
