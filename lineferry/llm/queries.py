@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.llm import fingerprints, infill, lines, minhash, packing, passages, quality, subwords, toxicity, urls, vectors
+from lineferry.llm import fingerprints, infill, lines, minhash, packing, passages, periodic, quality, subwords, toxicity, urls, vectors
 from lineferry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,31 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = F.sha2(infill.restore(F.col("output"), F.col("form")), 256)
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents, drawn by a hash of their id, with the words from some place on repeating."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    # Out of one-element generators, or each word would split the text again.
+    drawn = docs.select("doc_id", "text", F.inline(F.array(F.struct(words.alias("words"), F.floor(h / 10).alias("g")))))
+    n = F.size("words")
+    a, folds = F.col("g") % n, 3 + F.col("g") % 8
+    drawn = drawn.select("doc_id", "text", "words", F.inline(F.array(F.struct(F.when(n > 0, a).cast("int").alias("a"), F.when(n > 0, folds).alias("folds")))))
+    period = (1 + F.floor((F.size("words") - F.col("a")) / F.col("folds"))).cast("int")
+    drawn = drawn.select("doc_id", "text", "words", "a", F.inline(F.array(F.struct(period.alias("p")))))
+    at = lambda i: F.col("a") + (i - F.col("a")) % F.col("p")
+    said = F.array_join(F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", at(i)))), " ")
+    return drawn.select("doc_id", F.when(F.col("a").isNotNull(), said).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic")
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its runs of repeated words, the strongest of them, and what is left without the repeats."""
+    found = periodic.periodic_runs(with_repeats(read(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
