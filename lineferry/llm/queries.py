@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.llm import fingerprints, infill, lines, minhash, packing, passages, periodic, quality, subwords, toxicity, urls, vectors
+from lineferry.llm import fingerprints, infill, lines, minhash, packing, passages, periodic, personal, quality, subwords, toxicity, urls, vectors
 from lineferry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,18 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_personal")
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: strict occurrences of each kind and their digest, and all spans, those found by context too."""
+    found = personal.find_personal(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array(*map(F.lit, personal.KINDS))
+
+    def shown(spans):
+        line = lambda x: F.concat(F.get(kinds, x["kind"]), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))
+        return F.array_join(F.transform(spans, line), ",")
+
+    counts = [F.expr(f"bigint(size(filter(base, x -> x.kind = {i})))").alias(f"n_{k}") for i, k in enumerate(personal.KINDS)]
+    spans = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(spans).alias("spans"))
