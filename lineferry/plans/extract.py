@@ -9,11 +9,13 @@ Neither shuffles: lookups apart, an extract is one projection over its source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineferry.functions.convert import Context, conversion, merged
-from lineferry.functions.render import TYPED
+from lineferry.functions.render import TYPED, Renderer
 from lineferry.operators.filters import rendered_filter
 from lineferry.operators.lookup import join_lookup
 from lineferry.operators.position import index_by_line, index_by_order
@@ -35,17 +37,36 @@ def take_skip(df: DataFrame, *order: str | Column, fetch: int, skip: int = 0, li
     return placed.filter(F.col("_at") % (fetch + skip) < fetch).drop("_at")
 
 
-def render_field(f: Field, value: Column, width: int, ctx: Context) -> Column:
+def render_steps(f: Field, value: Column, width: int, ctx: Context) -> list[Callable[[Column], Column]]:
+    """What makes a field's text of its value, one function after the other."""
     to_text = conversion(f.conversion).to_text
     if to_text is None:
         raise SpecError(f"conversion {f.conversion!r} of field {f.name!r} cannot be reversed")
-    return to_text(value, width, f.default, ctx, **f.args)
+    if isinstance(to_text, Renderer):
+        return to_text.steps(value, width, f.default, ctx, **f.args)
+    return [lambda v: to_text(v, width, f.default, ctx, **f.args)]
 
 
-def _rendered(spec: ExtractSpec, f: Field, row: dict[str, Column]) -> Column:
+def _steps(spec: ExtractSpec, f: Field, row: dict[str, Column]) -> list[Callable[[Column], Column]]:
     # A field without an explicit conversion is text, also when a lookup supplies it.
     field = f if f.convert is not None else Field(**{**f.__dict__, "convert": "text", "lookup": None})
-    return render_field(field, row[f.name], spec.width(f), Context(row, spec.clock, f.default))
+    return render_steps(field, row[f.name], spec.width(f), Context(row, spec.clock, f.default))
+
+
+def _with_texts(df: DataFrame, steps: dict[str, list[Callable[[Column], Column]]], values: dict[str, Column], prefix: str) -> DataFrame:
+    """``df`` with each field's text as ``prefix + name``.
+
+    All fields take a step together, and each step leaves a one-element generator: what it gives is
+    then a column that the next may use many times, where a projection would be folded into the next
+    one and be worked out again for every use.
+    """
+    at = dict(values)
+    for k in range(max(map(len, steps.values()), default=0)):
+        made = {n: s[k](at[n]).alias(f"{prefix}{k}_{n}") for n, s in steps.items() if k < len(s)}
+        df = df.select("*", F.inline(F.array(F.struct(*made.values()))))
+        at |= {n: F.col(f"{prefix}{k}_{n}") for n in made}
+    last = {f"{prefix}{len(s) - 1}_{n}": prefix + n for n, s in steps.items()}
+    return df.select(*[c for c in df.columns if not c.startswith(prefix)], *[F.col(c).alias(n) for c, n in last.items()])
 
 
 def _faults(f: Field, value: Column, text: Column, width: int) -> Column:
@@ -87,16 +108,19 @@ def render_rows(rows: DataFrame, spec: ExtractSpec, line: str | None = None) ->
     late = [f for f in spec.fields if f.conversion == MERGE]
     names = {f.name for f in spec.fields}
     parts = {n for f in late for n in f.args.get("fields", ()) if n not in names}
-    shown = {f.name: _rendered(spec, f, row) for f in plain}
-    faults = [_faults(f, row[f.name], shown[f.name], spec.width(f)).alias(f"_fault_{f.name}") for f in plain]
-    done = df.select(
-        *kept, "_failed", *[shown[f.name].alias(f.name) for f in plain], *[F.col(n) for n in sorted(parts)], *faults,
+    done = _with_texts(df, {f.name: _steps(spec, f, row) for f in plain}, row, "_text_")
+    texts = {f.name: F.col(f"_text_{f.name}") for f in plain}
+    faults = [_faults(f, row[f.name], texts[f.name], spec.width(f)).alias(f"_fault_{f.name}") for f in plain]
+    done = done.select(
+        *kept, "_failed", *[texts[f.name].alias(f.name) for f in plain], *[F.col(n) for n in sorted(parts)], *faults,
         *[F.lit(None).cast("string").alias(f.name) for f in late],
     )
     for f in late:
         # One after the other: a merged field may be part of the next.
         text = merged([F.col(n).cast("string") for n in f.args["fields"]], f.args.get("delimiter", " "))
-        done = done.withColumn(f.name, _rendered(spec, f, {**row, f.name: text}))
+        done = done.drop(f.name).select("*", F.inline(F.array(F.struct(text.alias("_merged")))))
+        merging = {**row, f.name: F.col("_merged")}
+        done = _with_texts(done, {f.name: _steps(spec, f, merging)}, merging, "_text_").withColumnRenamed(f"_text_{f.name}", f.name).drop("_merged")
     # The first field in order that cannot be written, or is filtered, decides.
     outcome = F.struct(F.lit(OK).alias("_status"), F.lit(None).cast("string").alias("_reason"))
     for f in reversed([*plain, *late]):
