@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lineferry.functions.text import padded_cut, starts_with_any
 from lineferry.operators.joins import join_per_key
-from lineferry.operators.position import index_within, line_range
+from lineferry.operators.position import LEVEL_BITS, index_within, line_range
 
 LINE, LINE_NO = "value", "_line_no"
 COPIES = 1 << 14
@@ -67,21 +67,29 @@ def sort_by_key(lines: DataFrame, keys: list[tuple[int, int]], headers=(), trail
 def verify_sorted(lines: DataFrame, keys: list[tuple[int, int]], headers=(), trailers=()) -> DataFrame:
     """One row: the first line whose key is lower than the line before it, null when in order.
 
-    Neighbours are compared inside fixed ranges of line numbers; across ranges the last key of one
-    meets the first key of the next, which is a table of one row per range.
+    Neighbours are compared inside fixed ranges of line numbers. Where one range follows another,
+    its first key meets the last key before it: ranges are compared within what they share at the
+    next level, that within the next, and only the last level, a bounded number of rows, as a whole.
     """
-    keyed = lines.select(
-        LINE_NO, data_keys(keys, headers, trailers).alias("_key"), line_range(LINE_NO).alias("_range")
-    )
-    inside = keyed.withColumn("_before", F.lag("_key").over(W.partitionBy("_range").orderBy(LINE_NO)))
-    broken = inside.filter(F.col("_key") < F.col("_before")).agg(F.min(LINE_NO).alias("_line"))
-    ends = keyed.groupBy("_range").agg(
-        F.min(LINE_NO).alias("_line"), F.min_by("_key", LINE_NO).alias("_first"), F.max_by("_key", LINE_NO).alias("_last")
-    )
-    # Ranges may be missing, so "next" is the next range present, not the next number.
-    joints = ends.withColumn("_before", F.lag("_last").over(W.orderBy("_range")))
-    across = joints.filter(F.col("_first") < F.col("_before")).agg(F.min("_line").alias("_line"))
-    return broken.unionByName(across).agg(F.min("_line").alias("line_no"))
+    keyed = lines.select(LINE_NO, data_keys(keys, headers, trailers).alias("_first"), line_range(LINE_NO).alias("_range"))
+    at = keyed.select(F.col(LINE_NO).alias("_low"), F.col("_range").alias("_high"), "_first", F.col("_first").alias("_last"), F.col(LINE_NO).alias("_line"))
+    broken = []
+    for bits in (*LEVEL_BITS, None, "top"):
+        within = W.orderBy("_low") if bits == "top" else W.partitionBy("_high").orderBy("_low")
+        # Ranges may be missing, so "before" is the range present before, not the number before.
+        seen = at.withColumn("_before", F.lag("_last").over(within))
+        broken.append(seen.filter(F.col("_first") < F.col("_before")).agg(F.min("_line").alias("_line")))
+        if bits == "top":
+            break
+        at = at.groupBy(F.col("_high").alias("_low")).agg(
+            F.min_by("_first", "_low").alias("_first"), F.max_by("_last", "_low").alias("_last"), F.min_by("_line", "_low").alias("_line")
+        )
+        if bits is not None:
+            at = at.withColumn("_high", F.shiftright("_low", bits))
+    out = broken[0]
+    for more in broken[1:]:
+        out = out.unionByName(more)
+    return out.agg(F.min("_line").alias("line_no"))
 
 
 def _copies(counted: DataFrame) -> DataFrame:

@@ -122,9 +122,12 @@ def merge_counts(plan: DataFrame) -> DataFrame:
     )
 
 
-def with_generated_key(plan: DataFrame, target: DataFrame, column: str = "ID", line: str = "_line_no") -> DataFrame:
-    """The next key values for inserting lines, in line order; updating lines get none."""
-    top = target.agg(F.coalesce(F.max(column), F.lit(0)).alias("top")).scalar()
+def with_generated_key(plan: DataFrame, target: DataFrame, column: str = "ID", line: str = "_line_no", top: int | None = None) -> DataFrame:
+    """The next key values for inserting lines, in line order; updating lines get none.
+
+    ``top`` is the largest value given so far, where ``target`` is not all there is.
+    """
+    top = target.agg(F.coalesce(F.max(column), F.lit(0)).alias("top")).scalar() if top is None else F.lit(top)
     placed = index_by_line(plan, line, "_at", F.col("_action") == INSERTED)
     return placed.withColumn(column, (top + F.col("_at") + 1).cast("bigint")).drop("_at")
 
@@ -178,7 +181,7 @@ def upsert_rows(
 
 
 def merge(
-    target: DataFrame, rows: DataFrame, spec: LoadSpec, line: str = "_line_no"
+    target: DataFrame, rows: DataFrame, spec: LoadSpec, line: str = "_line_no", top: int | None = None
 ) -> DataFrame:
     """The target after loading ``rows`` (the good rows of a routed file) in the spec's mode."""
     gen = spec.generated_key
@@ -186,7 +189,7 @@ def merge(
         return update_rows(target, rows, spec.keys, spec.written, line)
     if gen:
         # Written once: the steps below read these rows several times.
-        rows = materialize(with_generated_key(merge_plan(rows, target, spec.keys, spec.mode, line), target, gen, line))
+        rows = materialize(with_generated_key(merge_plan(rows, target, spec.keys, spec.mode, line), target, gen, line, top))
     if spec.mode == INSERT:
         return insert_rows(target, rows, [*spec.written, *([gen] if gen else [])])
     return upsert_rows(target, rows, spec.keys, spec.written, line, gen)

@@ -2,9 +2,10 @@
 
 Three shapes, by what is known about the order:
 
-* :func:`index_by_line` - a unique whole-number column (a line number). Rows are grouped into
-  fixed ranges of that number, so a group never holds more than ``RANGE`` rows whatever the data,
-  and the result depends on the rows alone, not on how they happened to be partitioned.
+* :func:`index_by_line` - a unique whole-number column (a line number, dense or not). Rows are
+  grouped into fixed ranges of that number, so a group never holds more than ``RANGE`` rows whatever
+  the data, and the result depends on the rows alone, not on how they happened to be partitioned.
+  What precedes a range is summed level by level, see :func:`levels`.
 * :func:`index_by_order` - any total order. One range-partitioned sort, written once with every
   row's partition and place in it, then positions from the sizes of the partitions.
 * :func:`index_within` - the position inside a group that may be arbitrarily large.
@@ -28,10 +29,34 @@ def line_range(line: str | Column) -> Column:
     return F.shiftright(F.col(line) if isinstance(line, str) else line, RANGE_BITS)
 
 
+#: Bits by which each level above the ranges is narrower than the one below: two levels leave so few
+#: numbers of 64 bits that the last one, whose window is a single task, has 128 at most.
+LEVEL_BITS = (20, 20)
+
+
+def levels(key: str) -> list[tuple[str, str]]:
+    """Columns of the levels above ranges ``key``, each with the number it is shifted to the right from.
+
+    Sparse numbers can have a range a row. A table of ranges is therefore never ordered in one task:
+    ranges are ordered within what they share at the next level, that within the next, and only the
+    last level, of a size that the width of a number bounds, is ordered as a whole.
+    """
+    names = [key, *[f"{key}_{i + 1}" for i in range(len(LEVEL_BITS))]]
+    return list(zip(names, names[1:], strict=False))
+
+
 def _offsets(counts: DataFrame, key: str) -> DataFrame:
-    """Rows before each range. One row per range or partition, so a single ordered window is small."""
-    before = F.sum("_n").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, -1))
-    return counts.select(key, F.coalesce(before, F.lit(0)).alias("_before"))
+    """Rows before each range, as the sum of those before it at each level."""
+    first = lambda order: order.rowsBetween(W.unboundedPreceding, -1)
+    parts, at = [], counts
+    for bits, (low, high) in zip(LEVEL_BITS, levels(key), strict=True):
+        at = at.withColumn(high, F.shiftright(low, bits))
+        parts.append(at.select(low, high, F.coalesce(F.sum("_n").over(first(W.partitionBy(high).orderBy(low))), F.lit(0)).alias(f"_at_{low}")))
+        at = at.groupBy(high).agg(F.sum("_n").alias("_n"))
+    out = at.select(high, F.coalesce(F.sum("_n").over(first(W.orderBy(high))), F.lit(0)).alias("_before"))
+    for part, (low, high) in reversed(list(zip(parts, levels(key), strict=True))):
+        out = part.join(out, high).select(low, (F.col(f"_at_{low}") + F.col("_before")).alias("_before"))
+    return out
 
 
 def index_by_line(df: DataFrame, line: str = "_line_no", out: str = "_pos", where: Column | None = None) -> DataFrame:

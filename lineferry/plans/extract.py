@@ -19,6 +19,7 @@ from lineferry.functions.render import TYPED, Renderer
 from lineferry.operators.filters import rendered_filter
 from lineferry.operators.lookup import join_lookup
 from lineferry.operators.position import index_by_line, index_by_order
+from lineferry.session import drop, materialize_counted
 from lineferry.sources.lines import delimiter_text
 from lineferry.spec import DELIMITED, FIXED, KEY_VALUE, XML, ExtractSpec, Field, SpecError, lookup_order
 
@@ -212,19 +213,24 @@ def _filled(template: str, spec: ExtractSpec) -> Column:
     return text
 
 
+def _head(spec: ExtractSpec) -> str | None:
+    return f"<{spec.root_tag}>" if spec.kind == XML else spec.header
+
+
+def _foot(spec: ExtractSpec) -> str | None:
+    return f"</{spec.root_tag}>" if spec.kind == XML else spec.footer
+
+
 def with_header_footer(lines: DataFrame, spec: ExtractSpec, line: str = "_line_no") -> DataFrame:
     """Header, lines and footer in one table, ordered by ``_part`` (0, 1, 2) and ``line``.
 
-    An XML extract has its root tag there. The footer's record count is a second, pruned pass.
+    An XML extract has its root tag there. The footer's record count is a second, pruned pass, as
+    nothing is written here; :func:`run_extract` counts while it writes.
     """
     body = lines.select(F.lit(1).alias("_part"), line, "value")
-    if spec.kind == XML:
-        header, footer = f"<{spec.root_tag}>", f"</{spec.root_tag}>"
-    else:
-        header, footer = spec.header, spec.footer
     out = body
     kind = dict(lines.dtypes)[line]
-    for part, template in ((0, header), (2, footer)):
+    for part, template in ((0, _head(spec)), (2, _foot(spec))):
         if template:
             counted = (
                 lines.agg(F.count(F.lit(1)).alias("_count")) if "{count}" in template
@@ -242,13 +248,29 @@ def write_extract(lines: DataFrame, path: str, line: str = "_line_no") -> None:
     lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
 
 
-def extract_summary(rendered: DataFrame) -> DataFrame:
-    """One row of counters over rendered rows."""
+def _counters() -> dict[str, Column]:
+    statuses = {"written": OK, "filtered": FILTERED, "integrity": INTEGRITY, "unknown": UNKNOWN}
+    return {"records": F.count(F.lit(1)), **{n: F.count_if(F.col("_status") == s) for n, s in statuses.items()}}
 
-    def count(status: str) -> Column:
-        return F.count_if(F.col("_status") == status)
 
-    return rendered.agg(
-        F.count(F.lit(1)).alias("records"), count(OK).alias("written"), count(FILTERED).alias("filtered"),
-        count(INTEGRITY).alias("integrity"), count(UNKNOWN).alias("unknown"),
-    )
+def run_extract(rows: DataFrame, spec: ExtractSpec, path: str, line: str = "_line_no") -> dict[str, int]:
+    """Write the extract of ``rows`` under ``path`` and return its counters (see :func:`extract_summary`).
+
+    The rows are read, rendered and counted once, while their lines go to the shared folder; the
+    footer's record count and the summary come from that. Header, body and footer are folders whose
+    names are in order, so ``path`` read recursively in name order is the file.
+    """
+    laid = render_rows(rows, spec, line).select(line, "_status", F.when(F.col("_status") == OK, layout(spec)).alias("value"))
+    body, counts = materialize_counted(laid, _counters())
+    body.filter(F.col("_status") == OK).orderBy(line).select("value").write.mode("overwrite").text(f"{path}/1-body")
+    drop(body)
+    for folder, template in (("0-header", _head(spec)), ("2-footer", _foot(spec))):
+        if template:
+            counted = rows.sparkSession.range(1).select(F.lit(counts["written"]).alias("_count"))
+            counted.select(_filled(template, spec).alias("value")).write.mode("overwrite").text(f"{path}/{folder}")
+    return counts
+
+
+def extract_summary(rendered: DataFrame) -> DataFrame:
+    """One row of counters over rendered rows."""
+    return rendered.agg(*[c.alias(n) for n, c in _counters().items()])

@@ -18,7 +18,7 @@ from lineferry.operators.filters import cross_field_match, value_filter
 from lineferry.operators.lookup import global_flag, join_lookup, join_new_rows, new_dimension_rows
 from lineferry.operators.merge import merge, merge_plan
 from lineferry.operators.position import index_by_line
-from lineferry.session import configure, drop, materialize
+from lineferry.session import configure, drop, materialize, materialize_counted
 from lineferry.sources.lines import LINE, LINE_NO, XML_CORRUPT, field_texts, is_mark, too_short
 from lineferry.spec import XML, Field, LoadSpec, Lookup, is_own_text, lookup_order
 
@@ -245,10 +245,12 @@ def load(lines: DataFrame, spec: LoadSpec, target: DataFrame) -> LoadResult:
     shared folder; the file is parsed and its lookups are made a single time.
     """
     routed, new_rows = route_with_inserts(lines, spec)
-    routed = materialize(routed)
+    # What the load counts is counted while its rows are written.
+    routed, counts = materialize_counted(routed, _counters())
     rows = loaded(routed, spec)
+    counted = lines.sparkSession.range(1).select(*[F.lit(n).cast("bigint").alias(c) for c, n in counts.items()])
     return LoadResult(
-        routed, merge_plan(rows, target, spec.keys, spec.mode), merge(target, rows, spec), load_summary(routed),
+        routed, merge_plan(rows, target, spec.keys, spec.mode), merge(target, rows, spec), _summary(counted),
         rejects(routed), new_rows,
     )
 
@@ -274,26 +276,26 @@ def write_rejects(routed: DataFrame, path: str, with_filtered: bool = True) -> N
     rejects(routed, with_filtered).write.mode("overwrite").partitionBy("_status").json(path)
 
 
-def load_summary(routed: DataFrame) -> DataFrame:
-    """One row of counters. Lines that fit no row-level failure of a file load count as zero."""
+def _counters() -> dict[str, Column]:
+    statuses = {s: F.count_if(F.col("_status") == s) for s in (HEADER_TRAILER, PARSE, FILTERED, INTEGRITY, UNKNOWN)}
+    return {"all_lines": F.count(F.lit(1)), **statuses, "loaded": F.count_if(F.col("_status") == OK)}
 
-    def count(status: str) -> Column:
-        return F.count_if(F.col("_status") == status)
 
+def _summary(counted: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    totals = routed.agg(
-        F.count(F.lit(1)).alias("all_lines"),
-        *[count(s).alias(s) for s in (HEADER_TRAILER, PARSE, FILTERED, INTEGRITY, UNKNOWN)],
-        count(OK).alias("loaded"),
-    )
     ineligible = F.col(FILTERED) + F.col(HEADER_TRAILER)
-    return totals.select(
+    return counted.select(
         "all_lines", HEADER_TRAILER, PARSE, FILTERED, INTEGRITY, UNKNOWN,
         zero.alias("too_long"), zero.alias("commit_failed"),
         ineligible.alias("ineligible"), (F.col("all_lines") - ineligible).alias("eligible"), "loaded",
     )
 
 
+def load_summary(routed: DataFrame) -> DataFrame:
+    """One row of counters. Lines that fit no row-level failure of a file load count as zero."""
+    return _summary(routed.agg(*[c.alias(n) for n, c in _counters().items()]))
+
+
 def required_fields(rows: DataFrame, names: list[str]) -> DataFrame:
     """Status of rows against columns that must not be null."""
     return rows.withColumn(

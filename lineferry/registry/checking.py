@@ -133,6 +133,19 @@ def verify_sorted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_sorted(lines, [(1, 10)])
 
 
+SPARSE_SQL = "((o_orderkey * 2654435761) % 4294967291) * 2147483647"
+
+
+@query("verify_sorted_sparse", f"""
+SELECT min(spot) AS line_no FROM (
+  SELECT spot, o_orderkey, lag(o_orderkey) OVER (ORDER BY spot) AS b FROM (SELECT {SPARSE_SQL} AS spot, o_orderkey FROM orders))
+WHERE o_orderkey < b""")
+def verify_sorted_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers spread over all of 63 bits: no two lines in one range, and not in the orders' order."""
+    lines = table(spark, sf_dir, "orders").select(F.expr(SPARSE_SQL).alias("_line_no"), fx.digits("o_orderkey", 10).alias("value"))
+    return verify_sorted(lines, [(1, 10)])
+
+
 @query("delta_lines", f"WITH {fx.PREVIOUS_SQL} SELECT value FROM texts EXCEPT ALL SELECT value FROM previous")
 def delta_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lines(fx.order_lines(spark, sf_dir), fx.previous_lines(spark, sf_dir))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineferry.plans.extract import extract_lines, extract_summary, fixed_line, render_rows, with_header_footer
+from lineferry.plans.extract import extract_lines, extract_summary, fixed_line, render_rows, run_extract, with_header_footer
 from lineferry.registry import fixtures as fx
 from lineferry.registry.base import query, table
+from lineferry.session import shared_folder
+from lineferry.sources.lines import read_lines, with_line_no
 from lineferry.spec import DELIMITED, FIXED, KEY_VALUE, XML, ExtractSpec, Field, Lookup
 
 RUN = dt.datetime(2024, 2, 1, 12, 0, 0)
@@ -328,3 +331,23 @@ def extract_header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, FIXED, header="H {name} {start} {definition}", footer="T {count}", definition="orders.def"
     )
     return with_header_footer(extract_lines(rows, spec, "_line_no"), spec)
+
+
+@query("extract_files", f"""
+WITH {ORDERS_SQL},
+body AS (
+  SELECT _line_no, ' ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || ' ' || o_orderstatus || ' '
+    || rpad(coalesce(priority, ''), 15, ' ') || coalesce(strftime(day, '%Y%m%d'), '00000000') || '             ' AS value FROM o),
+file AS (
+  SELECT 1 AS part, _line_no AS spot, value FROM body UNION ALL SELECT 0, 0, 'H orders 2024-02-01 12:00:00 orders.def'
+  UNION ALL SELECT 2, 0, 'T ' || count(*) FROM o)
+SELECT row_number() OVER (ORDER BY part, spot) AS _line_no, value, (SELECT count(*) FROM o) AS written FROM file""")
+def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extract as files, written and counted in one pass over the orders, and read back in file order."""
+    rows, spec = _layout(
+        spark, sf_dir, FIXED, header="H {name} {start} {definition}", footer="T {count}", definition="orders.def"
+    )
+    path = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}"
+    counts = run_extract(rows, spec, path)
+    lines = with_line_no(read_lines(spark, [f"{path}/{p}" for p in ("0-header", "1-body", "2-footer")]))
+    return lines.withColumn("written", F.lit(counts["written"]))

@@ -98,3 +98,13 @@ SELECT event_id, event_type FROM (
 def take_skip_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
     return take_skip(events, fetch=4, skip=3, line="event_id")
+
+
+@query("take_skip_sparse", """
+SELECT event_id, event_type FROM (
+  SELECT *, row_number() OVER (ORDER BY ((event_id * 2654435761) % 4294967291) * 2147483647) - 1 AS p FROM events) WHERE p % 7 < 4""")
+def take_skip_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample by line numbers that are spread over all of 63 bits."""
+    at = F.expr("((event_id * 2654435761) % 4294967291) * 2147483647").alias("at")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", at)
+    return take_skip(events, fetch=4, skip=3, line="at").drop("at")

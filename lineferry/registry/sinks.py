@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineferry.operators.bucketed import BucketedTarget, merge_in_place
 from lineferry.operators.merge import (
     INSERTED, UPDATED, insert_rows, merge, merge_counts, merge_plan, post_insert_rows, post_update_rows,
     refresh_delete, refresh_update, target_presence, update_rows, upsert_rows, with_generated_key,
@@ -14,9 +16,9 @@ from lineferry.operators.merge import (
 from lineferry.operators.stage import stage_lines, staged_merge, staged_rows, staged_unloaded
 from lineferry.plans.load import load, load_summary, loaded, rejects, route
 from lineferry.registry import fixtures as fx
-from lineferry.registry.base import query, table
+from lineferry.registry.base import ORACLES, query, table
 from lineferry.registry.fixtures import ORDER_COLUMNS as COLUMNS
-from lineferry.session import materialize
+from lineferry.session import materialize, shared_folder
 from lineferry.spec import MIXED, Field, Lookup
 
 KEYS = ["ORDER_ID"]
@@ -177,6 +179,17 @@ def merge_generated_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(target, fx.merge_rows(spark, sf_dir), fx.order_spec(*fields, mode=MIXED, generated_key="ID"))
 
 
+@query("merge_in_place", ORACLES["merge_mixed_mode"])
+def merge_in_place_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed merge into a target that lies in buckets, whose files it rewrites; then the target as it is read."""
+    old = fx.merge_target(spark, sf_dir)
+    target = BucketedTarget(f"{shared_folder(spark)}/target-{uuid.uuid4().hex}", old.schema, ("ORDER_ID",), 16)
+    target.create(old)
+    fields = [Field("ORDER_ID", 1, 1, key=True, convert="long"), *[Field(c, 1, 1) for c in COLUMNS[1:]]]
+    merge_in_place(fx.merge_rows(spark, sf_dir), target, fx.order_spec(*fields, mode=MIXED))
+    return target.read(spark)
+
+
 @query("refresh_delete", f"WITH {fx.MERGE_SQL} SELECT * FROM target WHERE CUST_ID > 50")
 def refresh_delete_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh_delete(fx.merge_target(spark, sf_dir), F.col("CUST_ID") <= 50)

@@ -7,8 +7,9 @@ import tempfile
 import uuid
 import warnings
 import weakref
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime settings the plans rely on. Skew-join splitting is forced because a lookup is usually
 # followed by work on other keys, where Spark would otherwise rather keep one oversized task than
@@ -51,6 +52,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def materialize_counted(df: DataFrame, counters: Mapping[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialize`, with aggregates of the rows taken while they are written.
+
+    They come from the tasks that write, each counted once however often it was tried, so no second
+    pass over the rows or the table is made for them.
+    """
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(n) for n, c in counters.items()]))
+    return table, seen.get
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 

@@ -116,6 +116,23 @@ def test_positions_over_many_ranges(spark, monkeypatch):
     assert got == {n: want.get(n) for n in numbers}
 
 
+def test_positions_and_order_of_sparse_numbers(spark):
+    rnd = random.Random(4)
+    numbers = sorted({rnd.randrange(-(2**63), 2**63) for _ in range(3000)} | {rnd.randrange(2**40) for _ in range(500)} | set(range(50)))
+    df = spark.createDataFrame([(n, n % 5 != 0) for n in numbers], "_line_no bigint, keep boolean").repartition(7)
+    want = {n: i for i, n in enumerate(n for n in numbers if n % 5)}
+    assert {r._line_no: r._pos for r in position.index_by_line(df, where=F.col("keep")).collect()} == {n: want.get(n) for n in numbers}
+    tops = {n >> position.RANGE_BITS + sum(position.LEVEL_BITS) for n in numbers}
+    assert len(tops) <= 128  # what one task orders
+    texts = [f"{i:06d}" for i in range(len(numbers))]
+    for wrong in (None, 2, 700, 2500, len(numbers) - 1):
+        rows = list(zip(numbers, texts, strict=True))
+        if wrong:
+            rows[wrong] = (rows[wrong][0], "000000")
+        lines = spark.createDataFrame(rows, "_line_no bigint, value string").repartition(5)
+        assert verify_sorted(lines, [(1, 6)]).first().line_no == (numbers[wrong] if wrong else None)
+
+
 def test_positions_by_any_order(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice("aab"), i) for i in range(2000)]

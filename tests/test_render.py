@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql.functions import pandas_udf
 
-from lineferry import ExtractSpec, Field, LoadSpec, Lookup, extract_lines, extract_summary, register_conversion, render_rows, route, with_header_footer
+from lineferry import ExtractSpec, Field, LoadSpec, Lookup, extract_lines, extract_summary, register_conversion, render_rows, route, run_extract, with_header_footer
 from lineferry.plans.extract import write_extract
 from lineferry.spec import DELIMITED, KEY_VALUE, XML, SpecError
 
@@ -174,3 +174,14 @@ def test_registered_conversion_may_use_pandas(spark, lines):
     register_conversion("text_length", lambda text, ctx: length(text), spark_type="int")
     spec = LoadSpec("T", [Field("A", 1, 5, convert="text_length")])
     assert [r.A for r in route(lines("abc", "ab"), spec).orderBy("_line_no").collect()] == [3, 2]
+
+
+def test_run_extract_counts_while_it_writes(spark, tmp_path):
+    people = spark.createDataFrame([(3, "c", 1), (1, "a", 2), (2, "longer", 3)], "_line_no bigint, NAME string, X int")
+    spec = ExtractSpec("P", [Field("NAME", 1, 3), Field("X", 4, 5, convert="integer")], header="H {name}", footer="T {count}", run_ts=RUN)
+    seen = spark.sparkContext.accumulator(0)
+    looked = people.rdd.map(lambda r: (seen.add(1), r)[1]).toDF(people.schema)
+    assert run_extract(looked, spec, str(tmp_path / "out")) == {"records": 3, "written": 2, "filtered": 0, "integrity": 0, "unknown": 1}
+    assert seen.value == 3  # every row once
+    texts = [r.value for p in ("0-header", "1-body", "2-footer") for r in spark.read.text(str(tmp_path / "out" / p)).collect()]
+    assert texts == ["H P", "a   2", "c   1", "T 2"]
