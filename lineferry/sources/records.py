@@ -6,37 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineferry.sources.lines import XML_CORRUPT, XML_TEXT
+from lineferry.sources.xmlsplit import split_records
 from lineferry.spec import LoadSpec
 
 
-def _record_pattern(row_tag: str) -> str:
-    """One record: a self-closing element, one with its end tag, or what a broken start tag begins."""
-    tag = rf"\Q{row_tag}\E"
-    start = rf"<{tag}(?:\s(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)?+"
-    rest = rf".*?(?:</{tag}\s*+>|\z)"
-    return rf"(?s){start}(?:(?<=/)>|/>|(?<!/)>{rest})|<{tag}(?=[\s/>]){rest}"
-
-
 def read_xml(spark: SparkSession, path: str, row_tag: str, tags: list[str], split: bool = False, corrupt: str | None = None) -> DataFrame:
     """One row per record element, one text column per child tag; missing and empty tags are null.
 
     A record that is not well-formed is a row of nulls; ``corrupt`` names a column for its text.
-    Spark's XML source takes a file per task. With ``split`` a file is cut at the record's end tag
-    and the records of each piece are parsed one by one, so a single large file is read by many
-    tasks; self-closing records belong to the piece of the record behind them. The record's tags
-    must then not occur inside comments or CDATA, and a file that ends within a record, just behind
-    one of its children, gives that record as if it were whole.
+    Spark's XML source takes a file per task. With ``split`` records are cut from a single large file
+    by many tasks (:mod:`xmlsplit`), whatever comments, CDATA and quotes hold, and parsed one by one.
     """
-    schema = ", ".join([f"`{t}` string" for t in tags] + ([f"`{corrupt}` string"] if corrupt else []))
-    options = {"nullValue": ""} | ({"columnNameOfCorruptRecord": corrupt} if corrupt else {})
     if not split:
+        schema, options = _columns(tags, corrupt)
         return spark.read.format("xml").option("rowTag", row_tag).options(**options).schema(schema).load(path)
-    end = f"</{row_tag}>"
-    chunks = spark.read.option("lineSep", end).text(path)
-    # What follows the last record (or precedes the first) holds no start tag.
-    records = F.regexp_extract_all(F.concat("value", F.lit(end)), F.lit(_record_pattern(row_tag)), F.lit(0))
-    parsed = chunks.select(F.explode(records).alias("_record")).select(F.from_xml("_record", schema, options).alias("_r"))
-    return parsed.select("_r.*")
+    return _parsed(split_records(spark, path, row_tag), tags, corrupt)
+
+
+def _columns(tags: list[str], corrupt: str | None) -> tuple[str, dict[str, str]]:
+    schema = ", ".join([f"`{t}` string" for t in tags] + ([f"`{corrupt}` string"] if corrupt else []))
+    return schema, {"nullValue": ""} | ({"columnNameOfCorruptRecord": corrupt} if corrupt else {})
+
+
+def _parsed(records: DataFrame, tags: list[str], corrupt: str | None) -> DataFrame:
+    schema, options = _columns(tags, corrupt)
+    return records.select(F.from_xml("record", schema, options).alias("_r")).select("_r.*")
 
 
 def read_xml_records(spark: SparkSession, path: str, spec: LoadSpec, split: bool = False) -> DataFrame:
@@ -46,7 +40,11 @@ def read_xml_records(spark: SparkSession, path: str, spec: LoadSpec, split: bool
     rise in file order with gaps. A record that is not well-formed keeps its text instead of JSON.
     """
     tags = list(dict.fromkeys(f.tag for f in spec.fields if f.tag))
-    rows = read_xml(spark, path, spec.row_tag, tags, split, XML_CORRUPT)
+    if split:
+        ordered = split_records(spark, path, spec.row_tag).orderBy("file", "block", "n")
+        rows = _parsed(ordered, tags, XML_CORRUPT)
+    else:
+        rows = read_xml(spark, path, spec.row_tag, tags, corrupt=XML_CORRUPT)
     return rows.select(
         F.coalesce(XML_CORRUPT, F.to_json(F.struct(*tags))).alias("value"), F.monotonically_increasing_id().alias("_line_no"),
         F.col(XML_CORRUPT), *[F.col(t).alias(XML_TEXT + t) for t in tags],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineferry import Field, LoadSpec, load_summary, route
 from lineferry.sources.lines import read_delimited, read_fixed, read_lines, split_marks, with_line_no
+from lineferry.sources.xmlsplit import split_records
 from lineferry.sources.records import extract_source, read_xml, read_xml_records
 from lineferry.spec import DELIMITED, XML
 
@@ -113,6 +114,54 @@ def test_split_xml_keeps_self_closing_and_corrupt_records(spark, tmp_path):
     assert [r.ID for r in read_xml(spark, str(tmp_path / "dots.xml"), "a.b", ["ID"], split=True).collect()] == ["2"]
 
 
+ODD_XML = """<?xml version="1.0"?>
+<!-- <order><ID>no</ID></order> -->
+<orders a='x>y' b="/order>">
+<order/><order note='a>b'/><order x="1 > '0'" />
+<order><ID>1</ID><NAME><![CDATA[</order><order><ID>2</ID></order>]]></NAME></order>
+</order>
+<order
+ kind="/order>"><ID>3</ID><!-- </order> --><NAME>a -- b > c</NAME></order>
+<orders_x><order_s/><orderly><ID>no</ID></orderly></orders_x>
+<order><?pi </order> ?><ID>4</ID></order >
+<order><ID>5</ID><SUB><order><ID>6</ID></order></SUB></order>
+<![CDATA[<order><ID>no</ID></order>]]>
+</orders>
+"""
+
+
+def test_split_xml_reads_markup_as_the_whole_file_does(spark, tmp_path, small_splits):
+    (tmp_path / "odd.xml").write_text(ODD_XML)
+    for end in range(60, 130, 7):  # each width moves the places where tasks begin
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(end))
+        got = [r.record for r in split_records(spark, str(tmp_path / "odd.xml"), "order").orderBy("file", "block", "n").collect()]
+        assert got == [
+            "<order/>", "<order note='a>b'/>", '<order x="1 > \'0\'" />',
+            "<order><ID>1</ID><NAME><![CDATA[</order><order><ID>2</ID></order>]]></NAME></order>",
+            '<order\n kind="/order>"><ID>3</ID><!-- </order> --><NAME>a -- b > c</NAME></order>',
+            "<order><?pi </order> ?><ID>4</ID></order >", "<order><ID>5</ID><SUB><order><ID>6</ID></order></SUB></order>"]
+    rows = read_xml(spark, str(tmp_path / "odd.xml"), "order", ["ID", "NAME"], split=True).collect()
+    assert sorted((r.ID or "", r.NAME or "") for r in rows) == [
+        ("", ""), ("", ""), ("", ""), ("1", "</order><order><ID>2</ID></order>"), ("3", "a -- b > c"), ("4", ""), ("5", "")]
+
+
+@pytest.mark.parametrize("record", ["<order/>", "<order a='>'/>", "<order><ID>1</ID><![CDATA[<order>]]></order>", "<order><ID>1</ID></order>"])
+def test_split_xml_gives_what_whole_files_give(spark, tmp_path, small_splits, record):
+    (tmp_path / "o.xml").write_text("<orders>" + record * 700 + "</orders>")
+    whole = read_xml(spark, str(tmp_path / "o.xml"), "order", ["ID"]).collect()
+    split = read_xml(spark, str(tmp_path / "o.xml"), "order", ["ID"], split=True)
+    assert split.count() == 700 and sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, whole), key=str)
+
+
+def test_split_xml_of_files_that_end_early(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<orders><order><ID>1</ID></order><order><ID>2</ID>")
+    (tmp_path / "b.xml").write_text("")
+    (tmp_path / "c.xml").write_text("<orders><!-- <order><ID>no</ID></order>")
+    spec = LoadSpec("T", [Field("KEY", tag="ID", convert="long")], kind=XML, row_tag="order")
+    rows = route(read_xml_records(spark, str(tmp_path), spec, split=True), spec).orderBy("_line_no").collect()
+    assert [(r.KEY, r._status) for r in rows] == [(1, "ok"), (None, "parse")]
+
+
 def test_xml_load(spark, tmp_path):
     (tmp_path / "o.xml").write_text(XML_TEXT)
     spec = LoadSpec("T", [
