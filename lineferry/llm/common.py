@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineferry import session
-from lineferry.session import configure
+from lineferry.session import configure, drop
 
 __all__ = [
     "Hashes", "arrow_map", "components", "link_buckets", "materialize", "mix", "named", "prepare", "read", "shingles", "unused", "words",
@@ -20,8 +20,8 @@ __all__ = [
 
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short rather than wide.
 BATCH_ROWS = "512"
-#: Pairs that a bucket's members may be measured in at once: so many a row, and so many in all.
-PAIRS_A_ROW, FEW_PAIRS = 4, 50_000
+#: Pivots that each bucket takes in the first of its later rounds, and by how many times more in each next one.
+PIVOTS, GROWTH = 4, 8
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -126,7 +126,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round moves every node's larger neighbours to the smallest node it sees, then every node
     to the smallest of its smaller neighbours, until nothing moves: a logarithmic number of rounds,
-    each an aggregation and a join that can split hot nodes, written to the shared folder.
+    each an aggregation and a join that can split hot nodes, written to the shared folder. The table
+    of the round before is deleted.
     """
     links = links.where("a is not null and b is not null and a <> b")
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -139,7 +140,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        drop(before)
     roots = edges.select("v", F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
@@ -156,64 +158,85 @@ def labelled(df: DataFrame, comps: DataFrame, node: str, out: str) -> DataFrame:
 
 def link_buckets(
     members: DataFrame,
-    measure: Callable[[DataFrame], DataFrame],
+    contents: Callable[[DataFrame], DataFrame],
+    compare: Callable[[DataFrame], DataFrame],
     reach: float,
     may: Callable[[str, str], Column],
     carried: tuple[str, ...],
 ) -> DataFrame:
     """Links ``a, b`` between members of common buckets, enough of them for the right components.
 
-    ``members(key, id, *carried)`` has each bucket's members, ``may`` is a condition on the carried
-    columns of two of them that every link meets, and ``measure(pairs)`` adds to pairs ``a, b`` the
-    columns ``dist`` (a metric) and ``linked``, which holds only where dist <= reach.
+    ``members(key, id, *carried)`` has each bucket's members. ``contents(ids)`` gives what is compared,
+    ``id`` and further columns, for the members of buckets that are shared; it is asked once and written.
+    ``may`` is a condition on the carried columns of two members that every link meets, and ``compare``
+    adds to pairs with the contents of both, as ``x_`` and ``y_`` columns, ``dist`` (a metric) and
+    ``linked``, which holds only where dist <= reach.
 
     Not all pairs of a bucket are made. First each member is measured against the bucket's smallest
     id, which joins a group of copies whatever its size. Then only members that this left in another
     component than the smallest id's are measured against the members of other components, but for
     those that ``may`` and the triangle inequality rule out: where both distances to the smallest id
-    are known, they differ by no more than ``reach`` if there is a link. Where that could still make
-    many pairs, one such member of each bucket is taken at a time, and what it joins leaves fewer
-    for the next round. So no two members of a bucket that are linked end in different components.
+    are known, they differ by no more than ``reach`` if there is a link. A round takes a few such
+    members of each bucket as pivots, drawn by a hash; what they join leaves fewer for the next round,
+    which takes several times as many. So rounds are a logarithm of the largest bucket's size, and no
+    two members of a bucket that are linked end in different components.
     """
     # Most buckets have one member: they are told apart by two numbers each before more is moved.
     crowded = members.groupBy("key").agg(F.min("id").alias("x_id"), F.max("id").alias("_top")).where("x_id < _top").drop("_top")
     shared = materialize(members.join(crowded, "key"))
+    known = materialize(contents(shared.select("id").distinct()))
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` and more columns, compared and written."""
+        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        part = known.join(asked, "id", "left_semi")
+        fields = [c for c in known.columns if c != "id"]
+        x = part.select(F.col("id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in fields])
+        y = part.select(F.col("id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in fields])
+        return materialize(compare(pairs.hint("merge").join(x, "a").hint("merge").join(y, "b")).select(*pairs.columns, "dist", "linked"))
+
     low = shared.where("id = x_id").select("key", *[F.col(c).alias(f"x_{c}") for c in carried]).dropDuplicates(["key"])
-    star = shared.select("key", "x_id", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low, "key")
-    star = materialize(star)
-    pairs = star.where("x_id < y_id").where(may("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    first = materialize(measure(materialize(pairs.distinct())).select("a", "b", "dist", "linked"))
-    links = first.where("linked").select("a", "b")
-    comps = materialize(components(links))
-    known = first.select(F.col("a").alias("x_id"), F.col("b").alias("id"), "dist")
-    far = star.where("x_id < y_id").select("key", "x_id", *[F.col(f"y_{c}").alias(c) for c in ("id", *carried)])
-    far = far.join(known, ["x_id", "id"], "left").withColumn("used", F.lit(False))
+    star = shared.where("id <> x_id").select("key", "x_id", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low, "key")
+    pairs = materialize(star.where(may("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct())
+    first = measure(pairs)
+    drop(pairs)
+    links = [first.where("linked").select("a", "b")]
+    comps = materialize(components(links[0]))
+    # An id may have several contents; then its distance rules nothing out.
+    dists = first.groupBy(F.col("a").alias("x_id"), F.col("b").alias("id")).agg(F.when(F.count("*") == 1, F.min("dist")).alias("dist"))
+    far = shared.where("id <> x_id").join(dists, ["x_id", "id"], "left").withColumn("used", F.lit(False))
+    far = labelled(labelled(far, comps, "id", "comp"), comps, "x_id", "main").drop("x_id")
+    before, pivots = [shared, comps], PIVOTS
     while True:
-        apart = F.expr("comp <> pivot_comp and not used")
-        now = labelled(labelled(far, comps, "id", "comp"), comps, "x_id", "pivot_comp")
-        counts = now.groupBy("key").agg(F.count_if(apart).alias("n_apart"), F.count("*").alias("n")).where("n_apart > 0")
-        now = materialize(now.join(counts, "key"))
-        rows, most = now.agg(F.count("*"), F.sum(F.when(apart, F.col("n")).otherwise(0))).first()
-        if not rows:
-            return links
-        once = most <= PAIRS_A_ROW * rows + FEW_PAIRS
+        # Buckets in which nothing is apart any more have been done with.
+        apart = F.expr("comp <> main and not used")
+        left = far.groupBy("key").agg(F.count_if(apart).alias("n_apart")).where("n_apart > 0")
+        drawn = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 20)) * F.col("n_apart") < F.lit(pivots << 20)
+        now = materialize(far.join(left, "key").withColumn("pivot", apart & drawn).drop("n_apart"))
+        for table in before:
+            drop(table)
+        if now.isEmpty():
+            break
         fields = ["id", "comp", "dist", *carried]
-        x = now.where(apart)
-        if once:
-            x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in fields])
-        else:
-            x = x.groupBy("key").agg(F.min(F.struct(*fields)).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"x_{c}") for c in fields])
-        y = now.where("not used").select(F.col("key").alias("y_key"), "pivot_comp", *[F.col(c).alias(f"y_{c}") for c in fields])
-        # Of two members that are both apart from the smallest id, the pair is made once.
-        met = F.expr("key = y_key and x_comp <> y_comp" + (" and (y_comp = pivot_comp or x_id < y_id)" if once else ""))
+        x = now.where("pivot").select("key", *[F.col(c).alias(f"x_{c}") for c in fields])
+        y = now.where("not used").select("key", *[F.col(c).alias(f"y_{c}") for c in fields])
         near = F.coalesce(F.abs(F.col("x_dist") - F.col("y_dist")) <= reach + 1e-9, F.lit(True))
-        rest = x.join(y, met & near & may("x_", "y_")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-        rest = materialize(rest.distinct())
+        ends = [F.when(F.col("x_id") < F.col("y_id"), F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")) for p, q in ("xy", "yx") for c in ("id", "comp")]
+        rest = x.join(y, "key").where(near & may("x_", "y_") & F.expr("x_comp <> y_comp"))
+        rest = materialize(rest.select(*[e.alias(n) for e, n in zip(ends, ("a", "ca", "b", "cb"), strict=True)]).distinct())
+        far = now.withColumn("used", F.expr("used or pivot")).drop("pivot")
+        before = [now, rest]
         if not rest.isEmpty():
-            links = materialize(links.unionByName(measure(rest).where("linked").select("a", "b")))
-        if once:
-            return links
-        comps = materialize(components(links))
-        taken = x.select("key", F.col("x_id").alias("id"), F.lit(True).alias("_taken"))
-        far = now.drop("comp", "pivot_comp", "n_apart", "n").join(taken, ["key", "id"], "left")
-        far = materialize(far.withColumn("used", F.col("used") | F.col("_taken").isNotNull()).drop("_taken"))
+            done = measure(rest)
+            links.append(done.where("linked").select("a", "b"))
+            # Only what the new links join changes its component.
+            moved = materialize(components(done.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+            far = labelled(labelled(far, moved, "comp", "_comp"), moved, "main", "_main")
+            far = far.drop("comp", "main").withColumnsRenamed({"_comp": "comp", "_main": "main"})
+            before.append(moved)
+        pivots *= GROWTH
+    drop(known)
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out

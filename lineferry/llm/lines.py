@@ -1,16 +1,21 @@
 """Fuzzy line dedup with DataFrame functions alone: SimHash, pigeonhole blocks, edit similarity.
 
-A line is compared by its lower-case letters and digits with single blanks between words. The
-SimHash of its words has 64 bits in blocks; two lines that differ in at most ``bits`` of them agree
-in all but ``bits`` blocks, so lines are joined on each choice of that many blocks. Joined lines
-whose SimHashes are near and whose edit similarity suffices are linked, and of each connected group
-of lines, and of each repeated line, the occurrence in the smallest (id, position) is kept.
+A line is compared by its lower-case letters and digits with single blanks between words. Repeated
+lines shrink to one each; the SimHash of its words has 64 bits in blocks, and lines are joined on each
+choice of ``agree`` blocks, which finds all that differ in so few bits that as many blocks are left. An
+edit in a line of few words changes more bits than that, so the words have pigeonhole blocks of their
+own: the first and the second half, of which an edit in one place leaves the other as it was. Joined
+lines whose lengths allow it and whose SimHashes differ in at most ``bits`` bits, far more than an edit
+changes and fewer than unrelated lines do, are compared; their edit similarity alone decides. Of each
+connected group of lines, and of each repeated line, the occurrence in the smallest (id, position) is
+kept.
 
 Every line that holds a letter or digit is compared; blank lines and rules are left as they are. A
-``min_chars`` above 1 leaves out shorter normalised lines altogether, repeated ones too. Null texts stay null, an empty text stays empty, and a text whose
-lines all go becomes empty; the row stays. Rows with a null id are left as they are. Rows of one id
-with the same text are one document; with different texts they are two. Other columns are passed
-through, whatever their names but ``n_lines`` and ``n_removed``, which the result adds.
+``min_chars`` above 1 leaves out shorter normalised lines altogether, repeated ones too. Null texts
+stay null, an empty text stays empty, and a text whose lines all go becomes empty; the row stays. Rows
+with a null id are left as they are. Rows of one id with the same text are one document; with different
+texts they are two. Other columns are passed through, whatever their names but ``n_lines`` and
+``n_removed`` in upper or lower case, which the result replaces.
 """
 
 from __future__ import annotations
@@ -22,26 +27,41 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineferry.llm.common import components, link_buckets, materialize
+from lineferry.llm.common import components, link_buckets, materialize, named, unused
+from lineferry.session import drop
 
 BITS = 64
+#: Words that one sum of eight counters goes over, a byte each; the highest has the sign of the sum.
+CHUNK = 127
+LANES = sum(1 << 8 * i for i in range(8))
 
 
 @dataclass(frozen=True)
 class Fuzzy:
-    """SimHash bits that may differ, blocks of its bits, least edit similarity, shortest line in normalised characters."""
+    """Bits of a SimHash that may differ at all, its blocks and how many of them must agree, fewest
+    words of a half to be joined on, least edit similarity, shortest line in normalised characters."""
 
-    bits: int = 3
-    blocks: int = 5
+    bits: int = 24
+    blocks: int = 4
+    agree: int = 2
+    half: int = 3
     similarity: float = 0.9
     min_chars: int = 1
 
-    def keys(self, simhash: Column) -> Column:
-        """A key for each choice of blocks that must agree."""
+    def keys(self, simhash: Column, words: Column) -> Column:
+        """A key for each choice of blocks that must agree, and for each half.
+
+        Halves are cut at n/2 and at (n-1)/2 words, one of which stays as it is when a word comes or
+        goes in the other half.
+        """
         edges = [BITS * i // self.blocks for i in range(self.blocks + 1)]
         parts = [(F.shiftrightunsigned(simhash, lo)).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
-        chosen = combinations(parts, self.blocks - self.bits)
-        return F.array(*[F.xxhash64(F.lit(i), *c) for i, c in enumerate(chosen)])
+        keys = [F.xxhash64(F.lit(i), *c) for i, c in enumerate(combinations(parts, self.agree))]
+        for less in (0, 1):
+            n = F.floor((F.size(words) - less) / 2).cast("int")
+            for side, part in enumerate((F.slice(words, 1, n), F.slice(words, -n, n))):
+                keys.append(F.when(n >= self.half, F.xxhash64(F.lit(1000 + side), part)))
+        return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
 def words_of(line: Column) -> Column:
@@ -53,34 +73,37 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _simhash() -> tuple[list[Column], Column]:
-    """Aggregates over a line's words, and the SimHash from them.
+def with_simhash(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``simhash`` from their words ``ws``, worked out in place.
 
-    A count for each bit, three to a long: 22 sums instead of 64, which cannot run into each other
-    below two million words; of a longer line they would still depend on its words alone.
+    Eight bits are counted in one long, a byte each, over at most ``CHUNK`` words at a time.
     """
-    lanes = sum(1 << 21 * i for i in range(3))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(lanes))).alias(f"_s{j}") for j in range(21)]
-    sums.append(F.sum(F.shiftrightunsigned("h", 63)).alias("_s63"))
-    counts = [(21 * i + j, F.shiftrightunsigned(f"_s{j}", 21 * i).bitwiseAND(F.lit((1 << 21) - 1))) for j in range(21) for i in range(3)]
-    counts.append((63, F.col("_s63")))
-    bits = [F.when(2 * c > F.col("_n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")) for b, c in counts]
-    return [F.count("*").alias("_n"), *sums], reduce(lambda x, y: x.bitwiseOR(y), bits)
+    step = lines.select("*", F.inline(F.expr("array(struct(transform(ws, w -> xxhash64(w)) as h))")))
+    sums = ", ".join(f"'a{j}', s.a{j} + (shiftrightunsigned(x, {j}) & {LANES}L)" for j in range(8))
+    zero = ", ".join(f"'a{j}', 0L" for j in range(8))
+    chunks = f"transform(sequence(0, greatest(0, size(h) - 1) div {CHUNK}), k -> slice(h, k * {CHUNK} + 1, {CHUNK}))"
+    lanes = f"transform({chunks}, c -> aggregate(c, named_struct({zero}), (s, x) -> named_struct({sums})))"
+    step = step.select("*", F.inline(F.expr(f"array(struct({lanes} as lanes))")))
+    bits = []
+    for b in range(BITS):
+        i, j = divmod(b, 8)
+        one = f"(shiftrightunsigned(lanes[0].a{j}, {8 * i}) & 255L)"
+        more = f"aggregate(lanes, 0L, (s, c) -> s + (shiftrightunsigned(c.a{j}, {8 * i}) & 255L))"
+        count = F.expr(f"case when size(lanes) = 1 then {one} else {more} end")
+        bits.append(F.when(2 * count > F.size("ws"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+    simhash = reduce(lambda x, y: x.bitwiseOR(y), bits)
+    return step.select(*lines.columns, simhash.alias("simhash"))
 
 
 def line_table(docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
-    """``doc, t, pos, k1, k2, chars, simhash`` for every line with a letter or digit and ``min_chars``."""
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
+    """``doc, t, pos, k1, k2, norm`` for every line with a letter or digit and ``min_chars``."""
+    whole = named(text)
+    rows = docs.where(named(key).isNotNull() & whole.isNotNull()).select(named(key).alias("doc"), F.xxhash64(whole).alias("t"), whole.alias("_text"))
     lines = rows.select("doc", "t", F.posexplode(split_lines(F.col("_text"))).alias("pos", "line"))
-    # A line's words and hashes come out of one-element generators: as plain columns they would be
-    # computed again for the filter and for each word below.
-    lines = lines.select("doc", "t", "pos", F.inline(F.array(F.struct(words_of(F.col("line")).alias("ws")))))
-    hashes = F.struct(F.xxhash64("ws").alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), F.length(F.array_join("ws", " ")).alias("chars"))
-    lines = lines.select("doc", "t", "pos", "ws", F.inline(F.array(hashes))).where(F.col("chars") >= fuzzy.min_chars)
-    lines = lines.select("doc", "t", "pos", "k1", "k2", "chars", F.explode("ws").alias("w"))
-    sums, simhash = _simhash()
-    counted = lines.select("doc", "t", "pos", "k1", "k2", "chars", F.xxhash64("w").alias("h")).groupBy("doc", "t", "pos", "k1", "k2", "chars").agg(*sums)
-    return counted.select("doc", "t", "pos", "k1", "k2", "chars", simhash.alias("simhash"))
+    # A line's words come out of a one-element generator: as a plain column they would be computed
+    # again for each use.
+    lines = lines.select("doc", "t", "pos", F.inline(F.array(F.struct(F.array_join(words_of(F.col("line")), " ").alias("norm")))))
+    return lines.where(F.length("norm") >= fuzzy.min_chars).select("doc", "t", "pos", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
 
 
 def with_edits(pairs: DataFrame) -> DataFrame:
@@ -106,56 +129,57 @@ def with_edits(pairs: DataFrame) -> DataFrame:
     return out.select(*pairs.columns, F.when(within, F.col("_edits") + F.col("_alone")).otherwise(-1).alias("edits"))
 
 
-def links_of(distinct: DataFrame, docs: DataFrame, fuzzy: Fuzzy, key: str, text: str) -> DataFrame:
-    """Links between different lines, enough for their groups."""
-    members = distinct.select(F.explode(fuzzy.keys(F.col("simhash"))).alias("key"), "id", "simhash", "chars")
-    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
+def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
+    """Links between different lines ``id, norm, simhash``, enough for their groups."""
+    ws = F.split("norm", " ")
+    members = distinct.select(F.explode(fuzzy.keys(F.col("simhash"), ws)).alias("key"), "id", "simhash", F.length("norm").alias("chars"))
 
     def may(x: str, y: str) -> Column:
         near = F.bit_count(F.col(x + "simhash").bitwiseXOR(F.col(y + "simhash"))) <= fuzzy.bits
         return near & (F.least(x + "chars", y + "chars") >= fuzzy.similarity * F.greatest(x + "chars", y + "chars"))
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        places = distinct.join(wanted, "id", "left_semi").select("id", "simhash", "first.doc", "first.t", "first.pos")
-        # The lines of a document that are asked for, so that its text travels once.
-        by_doc = places.groupBy("doc", "t").agg(F.collect_list(F.struct("id", "simhash", "pos")).alias("asked"))
-        found = texts.join(by_doc.hint("shuffle_hash"), ["doc", "t"])
-        lines = found.select(split_lines(F.col("_text")).alias("_lines"), F.explode("asked").alias("q"))
-        words = words_of(F.element_at("_lines", F.col("q.pos") + 1))
-        # Rows that repeat a document show the same lines again.
-        shown = materialize(lines.select("q.id", "q.simhash", words.alias("ws")).dropDuplicates(["id"]))
-        x = shown.select(F.col("id").alias("a"), F.col("simhash").alias("sx"), F.col("ws").alias("x"))
-        y = shown.select(F.col("id").alias("b"), F.col("simhash").alias("sy"), F.col("ws").alias("y"))
-        dist = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))).cast("double")
-        length = "greatest(length(array_join(x, ' ')), length(array_join(y, ' ')))"
-        most = F.expr(f"cast(floor({1 - fuzzy.similarity!r} * {length} + 1e-9) as int)")
-        both = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y", dist.alias("dist"), most.alias("most"))
-        return with_edits(both).select("a", "b", "dist", ((F.col("edits") >= 0) & (F.col("dist") <= fuzzy.bits)).alias("linked"))
-
-    return link_buckets(members, measure, fuzzy.bits, may, ("simhash", "chars"))
+    def contents(ids: DataFrame) -> DataFrame:
+        return distinct.select("id", "norm").hint("merge").join(ids, "id", "left_semi")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        most = F.floor((1 - fuzzy.similarity) * F.greatest(F.length("x_norm"), F.length("y_norm")) + 1e-9).cast("int")
+        both = pairs.select("*", F.inline(F.array(F.struct(F.split("x_norm", " ").alias("x"), F.split("y_norm", " ").alias("y"), most.alias("most")))))
+        # The similarity is no metric: it rules out no pair by what is known of two others.
+        return with_edits(both.drop("x_norm", "y_norm")).withColumns({"dist": F.lit(0.0), "linked": F.col("edits") >= 0})
+
+    return link_buckets(members, contents, compare, 0.0, may, ("simhash", "chars"))
 
 
 def dedup_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, with ``n_lines`` (before) and ``n_removed``."""
     lines = materialize(line_table(docs, fuzzy, key, text))
-    place = F.struct("doc", "t", "pos")
-    distinct = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("chars").alias("chars"))
-    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()))
-    comps = materialize(components(links_of(distinct, docs, fuzzy, key, text)))
-    grouped = distinct.join(comps.withColumnRenamed("node", "id"), "id", "left")
+    # The smallest place of a line has its text with it.
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "t", "pos", "norm")).alias("first"), F.count("*").alias("n"))
+    flat = first.select("k1", "k2", "n", "first", F.split("first.norm", " ").alias("ws"))
+    distinct = with_simhash(flat).select(
+        F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", F.struct("first.doc", "first.t", "first.pos").alias("first"),
+        F.col("first.norm").alias("norm"), "simhash",
+    )
+    distinct = materialize(distinct)
+    comps = materialize(components(links_of(distinct, fuzzy)))
+    grouped = distinct.select("id", "k1", "k2", "n", "first").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    grouped = materialize(grouped.where("n > 1 or component is not null"))
     heads = grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
     # Only lines that repeat, or are in a group, can go: what is kept of each.
-    kept = grouped.where("n > 1 or component is not null").join(heads, "component", "left").select("k1", "k2", F.coalesce("head", "first").alias("head"))
-    gone = lines.join(kept.hint("shuffle_hash"), ["k1", "k2"]).where("doc <> head.doc or t <> head.t or pos <> head.pos")
-    drops = gone.groupBy("doc", "t").agg(F.collect_set("pos").alias("_drops"))
-    drops = materialize(drops.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "_drops"))
-    joined = docs.join(drops.hint("shuffle_hash"), (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_t")), "left")
-    left = F.filter(split_lines(F.col(text)), lambda line, i: ~F.array_contains("_drops", i))
-    n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.size(split_lines(F.col(text)))).otherwise(0)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    shown = F.when(F.col("_drops").isNull(), F.col(text)).otherwise(F.concat_ws("\n", left))
+    kept = materialize(grouped.join(heads, "component", "left").select("k1", "k2", F.coalesce("head", "first").alias("head")))
+    gone = lines.select("doc", "t", "pos", "k1", "k2").hint("merge").join(kept, ["k1", "k2"]).where("doc <> head.doc or t <> head.t or pos <> head.pos")
+    drops = materialize(gone.groupBy("doc", "t").agg(F.collect_set("pos").alias("drops")))
+    for table in (lines, distinct, comps, grouped, kept):
+        drop(table)
+    work = unused(docs, "doc", "t", "drops")
+    out, at = F.col(work["drops"]), [F.col(work[c]) for c in ("doc", "t")]
+    renamed = drops.toDF(work["doc"], work["t"], work["drops"])
+    joined = docs.hint("merge").join(renamed, (named(key) == at[0]) & (F.xxhash64(named(text)) == at[1]), "left")
+    left = F.filter(split_lines(named(text)), lambda line, i: ~F.array_contains(out, i))
+    n_lines = F.when(F.coalesce(F.length(named(text)), F.lit(0)) > 0, F.size(split_lines(named(text)))).otherwise(0)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    shown = F.when(out.isNull(), named(text)).otherwise(F.concat_ws("\n", left))
     return joined.select(
-        *[shown.alias(c) if c == text else F.col(c) for c in names], n_lines.alias("n_lines"),
-        F.coalesce(F.size("_drops"), F.lit(0)).alias("n_removed"),
+        *[shown.alias(c) if c == text else named(c) for c in names], n_lines.alias("n_lines"),
+        F.coalesce(F.size(out), F.lit(0)).alias("n_removed"),
     )

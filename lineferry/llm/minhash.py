@@ -117,21 +117,20 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
     members = materialize(chosen.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("size")).distinct())
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def contents(ids: DataFrame) -> DataFrame:
         # Joins are told to exchange both sides: what could be broadcast here grows with the input.
-        grams = materialize(sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi"), near))
-        left, right = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-        both = F.size(F.array_intersect("x", "y")).cast("bigint")
-        counted = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-        union = F.col("sum") - F.col("both")
-        return counted.select("a", "b", (1 - F.col("both") / union).alias("dist"), (100 * F.col("both") >= near.percent * union).alias("linked"))
+        return sets(texts.hint("merge").join(ids, "id", "left_semi"), near)
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("x_grams", "y_grams")).cast("bigint")
+        counted = pairs.withColumn("_both", both).withColumn("_union", F.size("x_grams") + F.size("y_grams") - F.col("_both"))
+        return counted.withColumns({"dist": 1 - F.col("_both") / F.col("_union"), "linked": 100 * F.col("_both") >= near.percent * F.col("_union")})
 
     def may(x: str, y: str) -> Column:
         small, large = F.least(x + "size", y + "size"), F.greatest(x + "size", y + "size")
         return 100 * small >= near.percent * large
 
-    links = link_buckets(members, measure, 1 - near.percent / 100, may, ("size",))
+    links = link_buckets(members, contents, compare, 1 - near.percent / 100, may, ("size",))
     # Rows of one id may hold different sets: they are one document.
     same = full.join(nodes, ["s1", "s2", "n_shingles"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
     comps = components(links.unionByName(same))

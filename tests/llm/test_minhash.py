@@ -80,9 +80,9 @@ def made(seed=5):
 @pytest.mark.parametrize("size", [2, 5])
 @pytest.mark.parametrize("rounds", [False, True])
 def test_groups_by_hand(spark, size, rounds, monkeypatch):
-    if rounds:  # one member of a bucket at a time
-        monkeypatch.setattr(common, "PAIRS_A_ROW", -1)
-        monkeypatch.setattr(common, "FEW_PAIRS", 0)
+    if rounds:  # a member of a bucket, then two, four and so on
+        monkeypatch.setattr(common, "PIVOTS", 1)
+        monkeypatch.setattr(common, "GROWTH", 2)
     rows = [*made(), (2, None), (5, ""), (8, " \n"), (11, "One"), (14, "one"), (17, "É one"), (20, "é one"), (23, "x " * 30000), (26, "X " * 29000), (None, "one")]
     docs = spark.createDataFrame([(i, t, 1, True) for i, t in rows], "doc_id bigint, text string, n_shingles int, kept boolean")
     got = near_duplicates(docs, Near(size)).collect()
