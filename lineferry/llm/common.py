@@ -21,7 +21,7 @@ __all__ = [
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short rather than wide.
 BATCH_ROWS = "512"
 #: Pivots that each bucket takes in the first of its later rounds, and by how many times more in each next one.
-PIVOTS, GROWTH = 4, 8
+PIVOTS, GROWTH = 2, 4
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -136,10 +136,10 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         drop(before)
     roots = edges.select("v", F.col("v").alias("component")).distinct()
@@ -153,7 +153,7 @@ def _digest(edges: DataFrame) -> tuple:
 def labelled(df: DataFrame, comps: DataFrame, node: str, out: str) -> DataFrame:
     """``df`` with each node's component, the node itself where it has no link."""
     named = comps.select(F.col("node").alias(node), F.col("component").alias("_c"))
-    return df.join(named, node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
+    return df.join(named.hint("merge"), node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
 
 
 def link_buckets(
@@ -177,26 +177,29 @@ def link_buckets(
     component than the smallest id's are measured against the members of other components, but for
     those that ``may`` and the triangle inequality rule out: where both distances to the smallest id
     are known, they differ by no more than ``reach`` if there is a link. A round takes a few such
-    members of each bucket as pivots, drawn by a hash; what they join leaves fewer for the next round,
-    which takes several times as many. So rounds are a logarithm of the largest bucket's size, and no
-    two members of a bucket that are linked end in different components.
+    members of each bucket as pivots, drawn by a hash of their ids, so that members of the same buckets
+    have the same pivots; what they join leaves fewer for the next round, which takes several times as
+    many. So rounds are a logarithm of the largest bucket's size, and no two members of a bucket that
+    are linked end in different components. Joins exchange both sides at every size. A written table of
+    ``members`` is deleted when it has been read.
     """
     # Most buckets have one member: they are told apart by two numbers each before more is moved.
     crowded = members.groupBy("key").agg(F.min("id").alias("x_id"), F.max("id").alias("_top")).where("x_id < _top").drop("_top")
-    shared = materialize(members.join(crowded, "key"))
+    shared = materialize(members.join(crowded.hint("merge"), "key"))
+    drop(members)
     known = materialize(contents(shared.select("id").distinct()))
 
     def measure(pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b`` and more columns, compared and written."""
         asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        part = known.join(asked, "id", "left_semi")
+        part = known.join(asked.hint("merge"), "id", "left_semi")
         fields = [c for c in known.columns if c != "id"]
         x = part.select(F.col("id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in fields])
         y = part.select(F.col("id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in fields])
         return materialize(compare(pairs.hint("merge").join(x, "a").hint("merge").join(y, "b")).select(*pairs.columns, "dist", "linked"))
 
     low = shared.where("id = x_id").select("key", *[F.col(c).alias(f"x_{c}") for c in carried]).dropDuplicates(["key"])
-    star = shared.where("id <> x_id").select("key", "x_id", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low, "key")
+    star = shared.where("id <> x_id").select("key", "x_id", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low.hint("merge"), "key")
     pairs = materialize(star.where(may("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct())
     first = measure(pairs)
     drop(pairs)
@@ -204,15 +207,15 @@ def link_buckets(
     comps = materialize(components(links[0]))
     # An id may have several contents; then its distance rules nothing out.
     dists = first.groupBy(F.col("a").alias("x_id"), F.col("b").alias("id")).agg(F.when(F.count("*") == 1, F.min("dist")).alias("dist"))
-    far = shared.where("id <> x_id").join(dists, ["x_id", "id"], "left").withColumn("used", F.lit(False))
+    far = shared.where("id <> x_id").join(dists.hint("merge"), ["x_id", "id"], "left").withColumn("used", F.lit(False))
     far = labelled(labelled(far, comps, "id", "comp"), comps, "x_id", "main").drop("x_id")
     before, pivots = [shared, comps], PIVOTS
     while True:
         # Buckets in which nothing is apart any more have been done with.
         apart = F.expr("comp <> main and not used")
         left = far.groupBy("key").agg(F.count_if(apart).alias("n_apart")).where("n_apart > 0")
-        drawn = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 20)) * F.col("n_apart") < F.lit(pivots << 20)
-        now = materialize(far.join(left, "key").withColumn("pivot", apart & drawn).drop("n_apart"))
+        drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("n_apart") < F.lit(pivots << 20)
+        now = materialize(far.join(left.hint("merge"), "key").withColumn("pivot", apart & drawn).drop("n_apart"))
         for table in before:
             drop(table)
         if now.isEmpty():
@@ -222,7 +225,7 @@ def link_buckets(
         y = now.where("not used").select("key", *[F.col(c).alias(f"y_{c}") for c in fields])
         near = F.coalesce(F.abs(F.col("x_dist") - F.col("y_dist")) <= reach + 1e-9, F.lit(True))
         ends = [F.when(F.col("x_id") < F.col("y_id"), F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")) for p, q in ("xy", "yx") for c in ("id", "comp")]
-        rest = x.join(y, "key").where(near & may("x_", "y_") & F.expr("x_comp <> y_comp"))
+        rest = x.join(y.hint("merge"), "key").where(near & may("x_", "y_") & F.expr("x_comp <> y_comp"))
         rest = materialize(rest.select(*[e.alias(n) for e, n in zip(ends, ("a", "ca", "b", "cb"), strict=True)]).distinct())
         far = now.withColumn("used", F.expr("used or pivot")).drop("pivot")
         before = [now, rest]

@@ -42,7 +42,7 @@ class Fuzzy:
     words of a half to be joined on, least edit similarity, shortest line in normalised characters."""
 
     bits: int = 24
-    blocks: int = 4
+    blocks: int = 3
     agree: int = 2
     half: int = 3
     similarity: float = 0.9
@@ -132,7 +132,8 @@ def with_edits(pairs: DataFrame) -> DataFrame:
 def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """Links between different lines ``id, norm, simhash``, enough for their groups."""
     ws = F.split("norm", " ")
-    members = distinct.select(F.explode(fuzzy.keys(F.col("simhash"), ws)).alias("key"), "id", "simhash", F.length("norm").alias("chars"))
+    keys = distinct.select("id", "simhash", F.length("norm").alias("chars"), fuzzy.keys(F.col("simhash"), ws).alias("keys"))
+    members = materialize(keys.select(F.explode("keys").alias("key"), "id", "simhash", "chars"))
 
     def may(x: str, y: str) -> Column:
         near = F.bit_count(F.col(x + "simhash").bitwiseXOR(F.col(y + "simhash"))) <= fuzzy.bits
@@ -152,24 +153,24 @@ def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, with ``n_lines`` (before) and ``n_removed``."""
-    lines = materialize(line_table(docs, fuzzy, key, text))
-    # The smallest place of a line has its text with it.
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "t", "pos", "norm")).alias("first"), F.count("*").alias("n"))
+    every = line_table(docs, fuzzy, key, text)
+    # The smallest place of a line has its text with it. The other lines keep only their places.
+    first = every.groupBy("k1", "k2").agg(F.min(F.struct("doc", "t", "pos", "norm")).alias("first"), F.count("*").alias("n"))
     flat = first.select("k1", "k2", "n", "first", F.split("first.norm", " ").alias("ws"))
-    distinct = with_simhash(flat).select(
+    distinct = materialize(with_simhash(flat).select(
         F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", F.struct("first.doc", "first.t", "first.pos").alias("first"),
         F.col("first.norm").alias("norm"), "simhash",
-    )
-    distinct = materialize(distinct)
+    ))
     comps = materialize(components(links_of(distinct, fuzzy)))
     grouped = distinct.select("id", "k1", "k2", "n", "first").join(comps.withColumnRenamed("node", "id"), "id", "left")
     grouped = materialize(grouped.where("n > 1 or component is not null"))
+    drop(distinct)
     heads = grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
     # Only lines that repeat, or are in a group, can go: what is kept of each.
     kept = materialize(grouped.join(heads, "component", "left").select("k1", "k2", F.coalesce("head", "first").alias("head")))
-    gone = lines.select("doc", "t", "pos", "k1", "k2").hint("merge").join(kept, ["k1", "k2"]).where("doc <> head.doc or t <> head.t or pos <> head.pos")
+    gone = every.select("doc", "t", "pos", "k1", "k2").hint("merge").join(kept, ["k1", "k2"]).where("doc <> head.doc or t <> head.t or pos <> head.pos")
     drops = materialize(gone.groupBy("doc", "t").agg(F.collect_set("pos").alias("drops")))
-    for table in (lines, distinct, comps, grouped, kept):
+    for table in (comps, grouped, kept):
         drop(table)
     work = unused(docs, "doc", "t", "drops")
     out, at = F.col(work["drops"]), [F.col(work[c]) for c in ("doc", "t")]
