@@ -22,6 +22,8 @@ __all__ = [
 BATCH_ROWS = "512"
 #: Pivots that each bucket takes in the first of its later rounds, and by how many times more in each next one.
 PIVOTS, GROWTH = 2, 4
+#: One in so many buckets is looked at before all are.
+FEW = 16
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -173,7 +175,8 @@ def link_buckets(
     ``linked``, which holds only where dist <= reach.
 
     Not all pairs of a bucket are made. First each member is measured against the bucket's smallest
-    id, which joins a group of copies whatever its size. Then only members that this left in another
+    id, which joins a group of copies whatever its size; first in a sixteenth of the buckets, then in all
+    those where that left a member in another component than the smallest id's. Then only members that this left in another
     component than the smallest id's are measured against the members of other components, but for
     those that ``may`` and the triangle inequality rule out: where both distances to the smallest id
     are known, they differ by no more than ``reach`` if there is a link. A round takes a few such
@@ -198,18 +201,54 @@ def link_buckets(
         y = part.select(F.col("id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in fields])
         return materialize(compare(pairs.hint("merge").join(x, "a").hint("merge").join(y, "b")).select(*pairs.columns, "dist", "linked"))
 
-    low = shared.where("id = x_id").select("key", *[F.col(c).alias(f"x_{c}") for c in carried]).dropDuplicates(["key"])
-    star = shared.where("id <> x_id").select("key", "x_id", *[F.col(c).alias(f"y_{c}") for c in ("id", *carried)]).join(low.hint("merge"), "key")
-    pairs = materialize(star.where(may("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct())
-    first = measure(pairs)
-    drop(pairs)
-    links = [first.where("linked").select("a", "b")]
-    comps = materialize(components(links[0]))
-    # An id may have several contents; then its distance rules nothing out.
-    dists = first.groupBy(F.col("a").alias("x_id"), F.col("b").alias("id")).agg(F.when(F.count("*") == 1, F.min("dist")).alias("dist"))
-    far = shared.where("id <> x_id").join(dists.hint("merge"), ["x_id", "id"], "left").withColumn("used", F.lit(False))
-    far = labelled(labelled(far, comps, "id", "comp"), comps, "x_id", "main").drop("x_id")
-    before, pivots = [shared, comps], PIVOTS
+    low = materialize(shared.where("id = x_id").select("key", *[F.col(c).alias(f"x_{c}") for c in carried]).dropDuplicates(["key"]))
+    links: list[DataFrame] = []
+    comps = None
+    # Members of a group meet in many buckets. A few of these join nearly all of it, after which the
+    # others have little left to compare.
+    few = F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(FEW)) == 0
+    for part in (shared.where(few), shared):
+        far = part.withColumn("comp", F.col("id")).withColumn("main", F.col("x_id"))
+        if comps is not None:
+            far = labelled(labelled(part, comps, "id", "comp"), comps, "x_id", "main")
+        far = materialize(far.where("id <> x_id"))
+        star = far.where("comp <> main").select("key", F.col("x_id").alias("a"), F.col("id").alias("b"), F.col("main").alias("ca"), F.col("comp").alias("cb"), *[F.col(c).alias(f"y_{c}") for c in carried])
+        pairs = materialize(star.join(low.hint("merge"), "key").where(may("x_", "y_")).select("a", "ca", "b", "cb").distinct())
+        first = measure(pairs)
+        links.append(first.where("linked").select("a", "b"))
+        moved = materialize(components(first.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        # An id may have several contents; then its distance rules nothing out.
+        dists = first.groupBy(F.col("a").alias("x_id"), F.col("b").alias("id")).agg(F.when(F.count("*") == 1, F.min("dist")).alias("dist"))
+        before = [far, pairs, moved]
+        far = far.join(dists.hint("merge"), ["x_id", "id"], "left").withColumn("used", F.lit(False)).drop("x_id")
+        links += _rounds(_moved(far, moved), before, measure, reach, may, carried)
+        if comps is None:
+            comps = materialize(components(_union(links)))
+    for table in (shared, known, low, comps):
+        drop(table)
+    return _union(links)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _moved(far: DataFrame, moved: DataFrame) -> DataFrame:
+    """``far`` with the components that ``moved`` gives its old ones."""
+    far = labelled(labelled(far, moved, "comp", "_comp"), moved, "main", "_main")
+    return far.drop("comp", "main").withColumnsRenamed({"_comp": "comp", "_main": "main"})
+
+
+def _rounds(
+    far: DataFrame, before: list[DataFrame], measure: Callable[[DataFrame], DataFrame], reach: float,
+    may: Callable[[str, str], Column], carried: tuple[str, ...],
+) -> list[DataFrame]:
+    """Links of the members ``far(key, id, comp, main, dist, used)`` that are apart from their bucket's
+    smallest, by the rounds that :func:`link_buckets` tells of. ``before`` is deleted when it has been read."""
+    links, pivots = [], PIVOTS
     while True:
         # Buckets in which nothing is apart any more have been done with.
         apart = F.expr("comp <> main and not used")
@@ -219,7 +258,7 @@ def link_buckets(
         for table in before:
             drop(table)
         if now.isEmpty():
-            break
+            return links
         fields = ["id", "comp", "dist", *carried]
         x = now.where("pivot").select("key", *[F.col(c).alias(f"x_{c}") for c in fields])
         y = now.where("not used").select("key", *[F.col(c).alias(f"y_{c}") for c in fields])
@@ -234,12 +273,6 @@ def link_buckets(
             links.append(done.where("linked").select("a", "b"))
             # Only what the new links join changes its component.
             moved = materialize(components(done.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-            far = labelled(labelled(far, moved, "comp", "_comp"), moved, "main", "_main")
-            far = far.drop("comp", "main").withColumnsRenamed({"_comp": "comp", "_main": "main"})
+            far = _moved(far, moved)
             before.append(moved)
         pivots *= GROWTH
-    drop(known)
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
