@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineferry.llm.common import Hashes, arrow_map, materialize, mix, shingles, words
+from lineferry.llm.common import Hashes, arrow_map, materialize, mix, named, shingles, unused, words
 
 #: What separates words, as in :func:`common.words`.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -317,9 +317,11 @@ def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
                 out.append(("".join([*parts, t[at:]]).strip() if len(edges) else t, int(gone.sum())))
             yield pd.DataFrame(out, columns=["text", "removed"])
 
-    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "words")).alias("_spans")).withColumnRenamed("doc", "_doc")
-    joined = docs.join(spans.hint("shuffle_hash"), F.col(key) == F.col("_doc"), "left")
-    names = [c for c in docs.columns if c != "words_removed"]
-    cutting = joined.withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut(F.col(text), F.col("_spans"))))
-    shown = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.col("_cut.text"))
-    return cutting.select(*[shown.alias(c) if c == text else F.col(c) for c in names], F.coalesce("_cut.removed", F.lit(0)).alias("words_removed"))
+    work = unused(docs, "spans", "doc", "cut")
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "words")).alias("spans")).toDF(work["doc"], work["spans"])
+    joined = docs.join(spans.hint("merge"), named(key) == F.col(work["doc"]), "left")
+    names = [c for c in docs.columns if c.lower() != "words_removed"]
+    there, done = F.col(work["spans"]).isNotNull(), F.col(work["cut"])
+    cutting = joined.withColumn(work["cut"], F.when(there, cut(named(text), F.col(work["spans"]))))
+    shown = F.when(there, done["text"]).otherwise(named(text))
+    return cutting.select(*[shown.alias(c) if c == text else named(c) for c in names], F.coalesce(done["removed"], F.lit(0)).alias("words_removed"))

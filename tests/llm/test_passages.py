@@ -138,3 +138,11 @@ def test_repeated_ids_and_empty_table(spark):
     assert sorted((r.doc_id, r.text) for r in without_passages(docs, found).collect())[:4] == [(1, p), (1, p), (2, ""), (2, "")]
     none = docs.limit(0)
     assert repeated(none).count() == 0 and without_passages(none, repeated(none)).count() == 0
+
+
+def test_cutting_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", 7, 8), (2, "a b c", "x", "y", 7, 8)], "doc_id int, text string, _spans string, _doc string, _cut int, WORDS_REMOVED int")
+    found = spark.createDataFrame([(2, 1, 0, 2)], "doc int, source int, start bigint, words bigint")
+    got = without_passages(docs, found)
+    assert got.columns == ["doc_id", "text", "_spans", "_doc", "_cut", "words_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c", "x", "y", 7, 0), (2, "c", "x", "y", 7, 2)]
