@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineferry.llm import lines, minhash, packing, passages, quality
-from lineferry.llm.common import materialize, prepare, read
+from lineferry.llm.common import materialize, named, prepare, read, unused
 from lineferry.llm.queries import THRESHOLD, remainder
 
 #: The stages cannot be expressed in SQL; tests compare them with brute force.
@@ -29,7 +29,8 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on four fifths of the labels, does not reject."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"), learn=remainder(5) != 0)
-    return quality.score(docs, model, out="_score").where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    score = unused(docs, "score")["score"]
+    return quality.score(docs, model, out=score).where(F.col(score) >= THRESHOLD).select(*map(named, docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
     groups = minhash.near_duplicates(docs, minhash.Near(size=5, percent=80))
-    others = groups.where("not kept").select("doc_id").distinct().hint("shuffle_hash")
+    others = groups.where("not kept").select("doc_id").distinct().hint("merge")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
