@@ -9,6 +9,7 @@ import corpus_pipeline as P
 from lineferry.llm.lines import Fuzzy
 from lineferry.llm.queries import QUERIES
 from test_lines import by_hand as lines_by_hand
+from test_lines import candidates
 from test_minhash import by_hand as groups_by_hand
 from test_passages import Passage, plain_repeated
 
@@ -38,7 +39,8 @@ def test_quality_rejects_what_its_query_rejects(spark, steps):
 
 
 def test_lines(spark, steps):
-    want, _ = lines_by_hand(spark, list(texts(steps[1]).items()), Fuzzy())
+    rows = list(texts(steps[1]).items())
+    want, _ = lines_by_hand(spark, rows, Fuzzy(), candidates(spark, rows, Fuzzy()))
     assert texts(steps[2]) == want
 
 
