@@ -3,10 +3,12 @@
 Every token class has a fixed sparse random index vector. A class's word vector is the sum of the
 index vectors of its neighbours, over all tokens of all documents: whole-number sums, so they are
 the same however the rows were dealt. Classes are hash buckets, so the table of vectors has one
-fixed size whatever the vocabulary. A document's features are the mean word vector of its tokens and
-of its distinct tokens, and a few shares that the means hide. The network is trained in numpy on at
+fixed size whatever the vocabulary. Nothing but these vectors tells the network of a document; they
+are pooled in four ways: the mean over its tokens, their sum and the sum over its distinct tokens (as
+signed logarithms, so that length and variety show), and the mean product of neighbouring tokens'
+vectors, which is how alike neighbours are in each direction. The network is trained in numpy on at
 most ``SAMPLE`` labelled rows, and a temperature fitted on a part of them that training did not see
-makes its output a probability.
+makes its output a probability. Texts are worked through ``PIECE`` tokens at a time.
 
 Null texts count as empty; an empty text gets the score that the network gives to no tokens. Rows
 are scored one by one, so repeated rows and null ids need no care. Labels that are null or belong to
@@ -31,8 +33,10 @@ from lineferry.llm.common import arrow_map
 #: Labelled rows that the network is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 BUCKETS, WIDTH, BLOCK, NONZERO, WINDOW = 8192, 32, 128, 4, 2
+POOLS = 4
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 256, 3e-3, 1e-4
-SHARES = 6
+#: Tokens of one text whose vectors are held at a time; partial tables that are added in a first step.
+PIECE, PARTS = 1 << 16, 256
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 
@@ -63,11 +67,12 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def neighbour_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
+def neighbour_sums(docs: DataFrame, text: str = "text", piece: int = PIECE) -> np.ndarray:
     """Word vectors: the sum of the index vectors within two tokens, over all documents.
 
-    A task adds up its own table and hands out its blocks; blocks are added by their number. Only
-    the one summed table, of a fixed two megabytes, reaches the driver.
+    A task adds up its own table and hands out its blocks, which are added in two steps: by block
+    and one of ``PARTS`` parts, then by block, each task reading on from row to row with one table in
+    memory. Only the one summed table, of a fixed two megabytes, reaches the driver.
     """
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -75,47 +80,64 @@ def neighbour_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 ids = known.of(t)
-                if len(ids) < 2:
-                    continue
-                near = np.zeros((len(ids), WIDTH), np.int32)
-                for d in range(1, WINDOW + 1):
-                    near[d:] += index[ids[:-d]]
-                    near[:-d] += index[ids[d:]]
-                order = np.argsort(ids, kind="stable")
-                kinds, first = np.unique(ids[order], return_index=True)
-                table[kinds] += np.add.reduceat(near[order], first, axis=0)
+                for at in range(0, len(ids) if len(ids) > 1 else 0, piece):
+                    here = ids[at : at + piece]
+                    # With the neighbours on both sides, whose own sums belong to other pieces.
+                    lead = min(at, WINDOW)
+                    around = ids[at - lead : at + piece + WINDOW]
+                    near = np.zeros((len(around), WIDTH), np.int32)
+                    for d in range(1, WINDOW + 1):
+                        near[d:] += index[around[:-d]]
+                        near[:-d] += index[around[d:]]
+                    near = near[lead : lead + len(here)]
+                    order = np.argsort(here, kind="stable")
+                    kinds, first = np.unique(here[order], return_index=True)
+                    table[kinds] += np.add.reduceat(near[order], first, axis=0)
+        yield blocks(table)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        table = np.zeros((BUCKETS, WIDTH), np.int64)
         parts = table.reshape(-1, BLOCK, WIDTH)
-        used = [i for i in range(len(parts)) if parts[i].any()]
-        yield {"block": pa.array(used, pa.int32()), "sums": pa.array([parts[i].tobytes() for i in used], pa.binary())}
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        added = sum(np.frombuffer(x, np.int64) for x in rows["sums"])
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "sums": [added.tobytes()]})
+        for batch in batches:
+            for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                parts[block] += np.frombuffer(sums, np.int64).reshape(BLOCK, WIDTH)
+        yield blocks(table)
 
-    parts = arrow_map(docs.select(text), add_up, "block int, sums binary")
+    schema = "block int, sums binary"
+    tasks = arrow_map(docs.select(text), add_up, schema).withColumn("part", F.spark_partition_id() % PARTS)
+    first = arrow_map(tasks.repartition("block", "part").select("block", "sums"), added, schema)
     out = np.zeros((BUCKETS // BLOCK, BLOCK, WIDTH))
-    for row in parts.groupBy("block").applyInPandas(total, "block int, sums binary").collect():
+    for row in arrow_map(first.repartition("block"), added, schema).collect():
         out[row["block"]] = np.frombuffer(row["sums"], np.int64).reshape(BLOCK, WIDTH)
     out = out.reshape(BUCKETS, WIDTH)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
+def blocks(table: np.ndarray) -> dict:
+    """The rows of a table of vectors in blocks, without those that are all zero."""
+    parts = table.reshape(-1, BLOCK, WIDTH)
+    used = [i for i in range(len(parts)) if parts[i].any()]
+    return {"block": pa.array(used, pa.int32()), "sums": pa.array([parts[i].tobytes() for i in used], pa.binary())}
+
+
 def features(text: str | None, known: Buckets, vectors: np.ndarray) -> np.ndarray:
-    """Pooled word vectors, then: length, distinct share, largest share, runs, capitals, symbols."""
+    """Word vectors pooled: mean, sum, sum of distinct tokens', mean product of neighbours'."""
     ids = known.of(text)
-    if not len(ids):
-        return np.zeros(2 * WIDTH + SHARES, np.float32)
+    n = len(ids)
+    if not n:
+        return np.zeros(POOLS * WIDTH, np.float32)
     counts = np.bincount(ids, minlength=BUCKETS)
     kinds = np.flatnonzero(counts)
-    n = len(ids)
-    pooled = counts[kinds].astype(np.float32) @ vectors[kinds] / n
-    upper, letters = sum(map(str.isupper, text)), sum(map(str.isalpha, text))
-    shares = [
-        np.log1p(n) / 10, len(kinds) / n, counts.max() / n, np.mean(ids[1:] == ids[:-1]) if n > 1 else 0.0,
-        upper / max(letters, 1), 1 - letters / len(text),
-    ]
-    return np.concatenate([pooled, vectors[kinds].mean(0), shares]).astype(np.float32)
+    total, distinct, products = counts[kinds] @ vectors[kinds], vectors[kinds].sum(0), np.zeros(WIDTH)
+    for at in range(0, n - 1, PIECE):
+        v = vectors[ids[at : at + PIECE + 1]]
+        products += np.einsum("ij,ij->j", v[1:], v[:-1])
+    return np.concatenate([total / n, _signed_log(total), _signed_log(distinct), products / max(n - 1, 1)]).astype(np.float32)
+
+
+def _signed_log(x: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.log1p(np.abs(x))
 
 
 class Network:

@@ -56,6 +56,50 @@ def test_neighbour_sums_by_hand(spark):
     assert np.allclose(quality.neighbour_sums(docs), want / np.where(norm > 0, norm, 1), atol=1e-6)
 
 
+def test_long_texts_by_pieces(spark, monkeypatch):
+    """The pieces that a text is worked through in change neither sums nor features."""
+    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("max_by(text, length(text)) t").first().t
+    known, index = quality.Buckets(), quality.index_vectors().astype(float)
+    whole = quality.features(text, known, index)
+    ids = known.of(text)
+    v = index[ids]
+    want = [v.mean(0), v.sum(0), index[np.unique(ids)].sum(0), (v[1:] * v[:-1]).mean(0)]
+    want[1:3] = [np.sign(x) * np.log1p(np.abs(x)) for x in want[1:3]]
+    assert np.allclose(whole, np.concatenate(want), atol=1e-5)
+    monkeypatch.setattr(quality, "PIECE", 7)
+    assert len(ids) > 100 and np.allclose(quality.features(text, known, index), whole, atol=1e-5)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_pieces_of_neighbour_sums(spark, size):
+    """Whatever the piece, neighbours across its ends count."""
+    docs = spark.createDataFrame([("a b c b d e a a f g h i b",), ("x y",)], "text string")
+    whole = quality.neighbour_sums(docs)
+    known, index, want = quality.Buckets(), quality.index_vectors(), np.zeros((quality.BUCKETS, quality.WIDTH))
+    for text in ("a b c b d e a a f g h i b", "x y"):
+        ids = known.of(text)
+        for i, w in enumerate(ids):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if j != i:
+                    want[w] += index[ids[j]]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    want = want / np.where(norm > 0, norm, 1)
+    assert np.allclose(whole, want, atol=1e-6) and np.allclose(quality.neighbour_sums(docs, piece=size), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("noise", [0.1, 0.3])
+def test_temperature_makes_scores_probabilities(noise):
+    """Labels turned over at random, which training overfits: over new rows no other temperature does much better."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 20))
+    y = ((x[:, 0] > 0) ^ (rng.random(6000) < noise)).astype(float)
+    network = quality.Network(x[:3000], y[:3000])
+    logits, new = network.logit(x[3000:]), y[3000:]
+    loss = lambda t: np.mean(np.logaddexp(0, logits / t) - new * logits / t)
+    assert network.temperature > 1 and loss(network.temperature) < loss(1.0)
+    assert loss(network.temperature) <= 1.02 * min(loss(t) for t in np.exp(np.linspace(-1.4, 2.1, 200)))
+
+
 def test_pairs_say_what_neither_term_says():
     """Terms 1 and 2 are harmless alone and harmful together, among terms that mean nothing."""
     rng = np.random.default_rng(0)
