@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding, driven by an Aho-Corasick automaton over the pieces.
 
 The automaton reads the text once; at each position it gives, along its output links, every piece
-that ends there. What follows depends on the model, as in SentencePiece itself. The scores of a BPE
-model are the order of its merges: of the neighbours that are a piece together, those of the highest
-score are merged first, the leftmost of equals. The scores of a unigram model are log probabilities:
-a text becomes the pieces with the largest sum (Viterbi); of equal sums the longer last piece wins.
-A character that is no piece is written as its UTF-8 bytes; for Viterbi it costs ten more than the
-worst piece.
+that ends there, and each of them may extend the best path to where it begins. Only the best path to
+each position is kept, by its last piece. What is best depends on the model, as in SentencePiece
+itself. The scores of a unigram model are log probabilities: the best path has the largest sum, of
+equal sums the one with the longer last piece. The scores of a BPE model are the order of its merges:
+the best path is the one that the merges leave. A path is that one if and only if each two of its
+neighbours are what the merges leave of them alone, since a merge across two pieces would have come
+up in those two as well; so a piece extends a path if it may follow its last piece, and exactly one
+does. Whether a piece may follow another is worked out once, while there is room to keep it.
+A character that is no piece is written as its UTF-8 bytes; in a unigram model it costs ten more
+than the worst piece, in a BPE model it may stand beside anything.
 
 Blanks are written as ``▁`` and one is put before the text, as SentencePiece does; a ``▁`` of the
 text itself goes through bytes, so that decoding gives back every text exactly. Null and empty
@@ -35,13 +39,15 @@ UNKNOWN_PENALTY = 10.0
 class Pieces:
     """A model's pieces and the automaton over them."""
 
+    most_pairs = 1_000_000
+
     def __init__(self, model: str):
         import ahocorasick
         import sentencepiece
 
         known = sentencepiece.SentencePieceProcessor(model_file=model)
         n = known.get_piece_size()
-        names = [known.id_to_piece(i) for i in range(n)]
+        names = self.names = [known.id_to_piece(i) for i in range(n)]
         self.bytes_ids = {int(names[i][3:5], 16): i for i in range(n) if known.is_byte(i)}
         if len(self.bytes_ids) != 256:
             raise ValueError("the model has no piece for each byte")
@@ -53,6 +59,7 @@ class Pieces:
         self.single = {names[i] for i in plain if len(names[i]) == 1}
         self.unknown = min(known.get_score(i) for i in plain) - UNKNOWN_PENALTY
         self.unit = re.compile(self._units([names[i] for i in plain]))
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.spelled: list[bytes] = [b""] * n
         for i in plain:
             self.spelled[i] = names[i].replace(BLANK, " ").encode()
@@ -78,7 +85,7 @@ class Pieces:
         return rf"{BLANK}*[^\W_{rest_class}]+|{BLANK}*(?:(?!{BLANK})[\W_{rest_class}])+|{BLANK}+"
 
     def merged(self, text: str) -> list[int]:
-        """Ids after the merges of a BPE model, which look up the pieces that the automaton found."""
+        """Ids after the merges of a BPE model, one after another: the rule that :meth:`follows` applies to two pieces."""
         found: dict[tuple[int, int], tuple[float, int]] = {}
         for last, (length, number, gain) in self.automaton.iter(text):
             found[last + 1 - length, last + 1] = -gain, number
@@ -104,6 +111,32 @@ class Pieces:
             at = ends[at]
         return out
 
+    def follows(self, left: int, right: int) -> bool:
+        """Whether the merges of a BPE model leave two pieces side by side; ``left`` -1 for none."""
+        pair = left, right
+        known = self.pairs.get(pair)
+        if known is None:
+            before = [] if left < 0 else [left]
+            known = self.merged("".join(self.names[i] for i in (*before, right))) == [*before, right]
+            if len(self.pairs) < self.most_pairs:
+                self.pairs[pair] = known
+        return known
+
+    def lasting(self, text: str) -> list[int]:
+        """Ids that a BPE model's merges leave, in one pass over the text."""
+        n, at, single, follows = len(text), 0, self.single, self.follows
+        start, piece = [-1] * (n + 1), [-1] * (n + 1)
+        start[0] = 0
+        for last, (length, number, _) in self.automaton.iter(text):
+            end = last + 1
+            while at < end:  # a character that is no piece stands alone
+                if text[at] not in single:
+                    start[at + 1] = at
+                at += 1
+            if start[end] < 0 and start[end - length] >= 0 and follows(piece[end - length], number):
+                start[end], piece[end] = end - length, number
+        return self._back(text, start, piece)
+
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation, in one pass over the text."""
         n, at, single, unknown = len(text), 0, self.single, self.unknown
@@ -117,8 +150,13 @@ class Pieces:
             total = score[end - length] + gain
             if total > score[end]:
                 score[end], start[end], piece[end] = total, end - length, number
+        return self._back(text, start, piece)
+
+    def _back(self, text: str, start: list[int], piece: list[int]) -> list[int]:
+        """The best path to the end, read backwards; what follows the last match is unknown too."""
         out: list[int] = []
-        while n:  # what follows the last match is unknown too
+        n = len(text)
+        while n:
             at = start[n] if piece[n] >= 0 else n - 1
             out += [piece[n]] if piece[n] >= 0 else [self.bytes_ids[b] for b in reversed(self._bytes(text[at]))]
             n = at
@@ -135,7 +173,7 @@ class Pieces:
 class Units(dict):
     """Ids by unit of text; a unit is segmented once per worker, while fewer than ``most`` are known."""
 
-    most = 700_000
+    most = 500_000
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -160,7 +198,7 @@ class MergedUnits(Units):
     """Ids of a BPE model by unit of text; no merge spans two units either."""
 
     def segment(self, unit: str) -> list[int]:
-        return self.pieces.merged(unit)
+        return self.pieces.lasting(unit)
 
 
 def units_of(model: str) -> Units:

@@ -62,6 +62,19 @@ def test_ids_are_those_of_sentencepiece(spark):
     assert rows[0].ids == known.encode("government") and len(rows[0].ids) == 1
 
 
+def test_one_pass_leaves_what_the_merges_leave(pieces):
+    rng = random.Random(8)
+    pool = [n for n in pieces.names if n[0] != "<"]
+    made = ["".join(rng.choice("aenrst" + BLANK) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    made += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 8))) for _ in range(3000)]
+    made += [c * k for c in "aelo-=_0 日" for k in (2, 3, 4, 5, 7, 8, 15, 16, 17, 33, 101)] + [KEPT * 3 + "a" + KEPT, "🎉x🎉🎉"]
+    for text in made:
+        assert pieces.lasting(text) == pieces.merged(text)
+    few = Pieces(PATH)
+    few.most_pairs = 10  # what is not kept is worked out again
+    assert all(few.lasting(t) == pieces.merged(t) for t in made[:300]) and len(few.pairs) == 10
+
+
 def test_round_trip_of_rows(spark):
     rows = [(i, t) for i, t in enumerate([*TEXTS, "", None, "same", "same", "long words " * 20000])]
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id int, text string, ids int")
