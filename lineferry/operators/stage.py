@@ -6,6 +6,8 @@ stated as its ``size``; a value that does not fit rejects its row with a reason.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lineferry.functions.convert import conversion
 from lineferry.functions.render import pad, pad_left
 from lineferry.operators.lookup import deferred_lookups
 from lineferry.operators.merge import target_presence
+from lineferry.session import drop, materialize
 from lineferry.spec import INSERT, MIXED, Field, LoadSpec, SpecError, lookup_order
 
 LINE_WIDTH = 14
@@ -65,22 +68,28 @@ def _staged_text(f: Field, width: int) -> Column:
     return pad(value.cast("string"), width)
 
 
-def staged_value(f: Field, spec: LoadSpec) -> Column:
-    """``N`` and the value in its fixed width, or ``Y`` and blanks for null."""
-    width = staged_width(f, spec)
-    return F.when(F.col(f.name).isNull(), F.lit("Y" + " " * width)).otherwise(F.concat(F.lit("N"), _staged_text(f, width)))
+def staged_value(text: Column, width: int) -> Column:
+    """``N`` and the value's text in its fixed width, or ``Y`` and blanks for null."""
+    return F.when(text.isNull(), F.lit("Y" + " " * width)).otherwise(F.concat(F.lit("N"), text))
 
 
 def staged_rows(rows: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
-    """Per good row its staging line ``value``, or null with status ``unknown`` and the first reason."""
-    number = pad_left(F.col(line).cast("string"), LINE_WIDTH)
-    reason = F.when(F.length(number) > LINE_WIDTH, F.lit("line number: does not fit"))
-    for f in spec.fields:
-        reason = reason.when(F.length(_staged_text(f, staged_width(f, spec))) > staged_width(f, spec), F.lit(f"{f.name}: does not fit"))
-    text = F.concat(number, *[staged_value(f, spec) for f in spec.fields])
+    """Per good row its staging line ``value``, or null with status ``unknown`` and the first reason.
+
+    The texts leave a generator of one element, so each is made once, not again for its length and
+    for the line.
+    """
+    widths = {f"_text_{i}": staged_width(f, spec) for i, f in enumerate(spec.fields)}
+    made = [F.when(F.col(f.name).isNotNull(), _staged_text(f, w)).alias(t) for f, (t, w) in zip(spec.fields, widths.items(), strict=True)]
+    number = pad_left(F.col(line).cast("string"), LINE_WIDTH).alias("_number")
+    texts = rows.select(line, F.inline(F.array(F.struct(number, *made))))
+    reason = F.when(F.length("_number") > LINE_WIDTH, F.lit("line number: does not fit"))
+    for f, (t, w) in zip(spec.fields, widths.items(), strict=True):
+        reason = reason.when(F.length(t) > w, F.lit(f"{f.name}: does not fit"))
+    text = F.concat("_number", *[staged_value(F.col(t), w) for t, w in widths.items()])
     outcome = F.struct(reason.alias("_reason"), text.alias("_text"))
     status = F.when(F.col("_reason").isNull(), F.lit("ok")).otherwise(F.lit("unknown"))
-    return rows.select(line, F.inline(F.array(outcome))).select(
+    return texts.select(line, F.inline(F.array(outcome))).select(
         line, F.when(F.col("_reason").isNull(), F.col("_text")).alias("value"), status.alias("_status"), "_reason"
     )
 
@@ -109,3 +118,25 @@ def staged_merge(rows: DataFrame, target: DataFrame, spec: LoadSpec) -> DataFram
 def staged_unloaded(rows: DataFrame, spec: LoadSpec, line: str = "_line_no") -> DataFrame:
     """Numbers of the staged lines that are not loaded."""
     return _resolved(rows, spec).filter("_dropped").select(line)
+
+
+@dataclass(frozen=True)
+class StagedLoad:
+    """A staged merge whose lookups were resolved once, into a table in the shared folder."""
+
+    report: DataFrame
+    line: str
+
+    @property
+    def unloaded(self) -> DataFrame:
+        """Numbers of the staged lines that are not loaded."""
+        return self.report.filter("_loaded = 'N'").select(self.line)
+
+    def drop(self) -> None:
+        """Deletes the table; ``report`` and ``unloaded`` cannot be read any more."""
+        drop(self.report)
+
+
+def staged_load(rows: DataFrame, target: DataFrame, spec: LoadSpec, line: str = "_line_no") -> StagedLoad:
+    """:func:`staged_merge` and :func:`staged_unloaded` of one resolution, which is written once."""
+    return StagedLoad(materialize(staged_merge(rows, target, spec)), line)

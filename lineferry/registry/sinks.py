@@ -13,7 +13,7 @@ from lineferry.operators.merge import (
     INSERTED, UPDATED, insert_rows, merge, merge_counts, merge_plan, post_insert_rows, post_update_rows,
     refresh_delete, refresh_update, target_presence, update_rows, upsert_rows, with_generated_key,
 )
-from lineferry.operators.stage import stage_lines, staged_merge, staged_rows, staged_unloaded
+from lineferry.operators.stage import stage_lines, staged_load, staged_merge, staged_rows, staged_unloaded
 from lineferry.plans.load import load, load_summary, loaded, rejects, route
 from lineferry.registry import fixtures as fx
 from lineferry.registry.base import ORACLES, query, table
@@ -283,3 +283,19 @@ def staged_unloaded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _staged_spec(spark, sf_dir)
     rows = loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec)
     return staged_unloaded(rows, spec)
+
+
+@query("staged_load", f"""
+WITH {fx.ROUTED_SQL},
+n AS (SELECT _line_no, CASE WHEN _status = 'integrity' THEN 'N' WHEN order_day < DATE '{fx.BEFORE_DAY}' THEN 'U' ELSE 'I' END AS _loaded
+      FROM routed WHERE _status IN ('ok', 'integrity'))
+SELECT _loaded, count(*) AS lines, min(_line_no) AS first_line, max(_line_no) AS last_line FROM n GROUP BY _loaded
+UNION ALL SELECT 'unloaded', count(*), min(_line_no), max(_line_no) FROM n WHERE _loaded = 'N'""")
+def staged_load_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge report and unloaded list of one resolution, counted."""
+    spec = _staged_spec(spark, sf_dir)
+    rows = materialize(loaded(route(fx.order_file(spark, sf_dir), spec, defer=True), spec))
+    done = staged_load(rows, fx.merge_target(spark, sf_dir), spec)
+    counted = [F.count(F.lit(1)).alias("lines"), F.min("_line_no").alias("first_line"), F.max("_line_no").alias("last_line")]
+    return done.report.groupBy("_loaded").agg(*counted).unionByName(
+        done.unloaded.agg(*counted).withColumn("_loaded", F.lit("unloaded")))

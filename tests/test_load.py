@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lineferry import Field, GlobalFilter, InsertRule, LoadSpec, Lookup, load, load_summary, loaded, rejects, route, route_with_inserts, session
 from lineferry.operators import merge as mg
 from lineferry.operators.lookup import lookup, lookup_or_insert
-from lineferry.operators.stage import stage_lines, staged_merge, staged_rows, staged_unloaded
+from lineferry.operators.stage import stage_lines, staged_load, staged_merge, staged_rows, staged_unloaded
 from lineferry.plans.load import write_rejects
 from lineferry.spec import DELIMITED, INSERT, UPDATE, SpecError
 
@@ -241,6 +241,12 @@ def test_staging(spark, lines, dim):
     merged = {r.K: (r.L, r._loaded) for r in staged_merge(rows, target, spec).collect()}
     assert merged == {1: ("one", "U"), 2: (None, "N"), 3: ("two", "I")}
     assert [r._line_no for r in staged_unloaded(rows, spec).collect()] == [3]
+    done = staged_load(rows, target, spec)
+    assert sorted(map(tuple, done.report.collect())) == sorted(map(tuple, staged_merge(rows, target, spec).collect()))
+    assert [r._line_no for r in done.unloaded.collect()] == [3]
+    # Both come from the written table: no lookup is made again.
+    assert all("Join" not in x._jdf.queryExecution().executedPlan().toString() for x in (done.report, done.unloaded))
+    done.drop()
 
 
 def test_staging_cuts_nothing(spark):
