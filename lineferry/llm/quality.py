@@ -85,10 +85,10 @@ def neighbour_sums(docs: DataFrame, text: str = "text", piece: int = PIECE) -> n
                     # With the neighbours on both sides, whose own sums belong to other pieces.
                     lead = min(at, WINDOW)
                     around = ids[at - lead : at + piece + WINDOW]
-                    near = np.zeros((len(around), WIDTH), np.int32)
+                    told, near = index[around], np.zeros((len(around), WIDTH), np.int32)
                     for d in range(1, WINDOW + 1):
-                        near[d:] += index[around[:-d]]
-                        near[:-d] += index[around[d:]]
+                        near[d:] += told[:-d]
+                        near[:-d] += told[d:]
                     near = near[lead : lead + len(here)]
                     order = np.argsort(here, kind="stable")
                     kinds, first = np.unique(here[order], return_index=True)
