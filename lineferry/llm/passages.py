@@ -33,17 +33,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineferry.llm.common import Hashes, arrow_map, materialize, mix, named, shingles, unused, words
+from lineferry.llm.common import Hashes, arrow_map, drop, materialize, mix, named, shingles, unused, words
 
 #: What separates words, as in :func:`common.words`.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words that an edit may change, and shift the rest by, for a run to go on behind it.
-GAP, SHIFT = 12, 3
-#: Words of a bucket's run: more than common phrases have, and at most half of a passage.
-RUN = 20
+#: Shingles that an edit may take in each text beside a quarter of what is matched, and those that must be equal behind it.
+EDIT, SURE = 16, 3
+#: Words of a bucket's run: one word changed in the middle of the shortest passage leaves one before or behind each other place.
+RUN = 12
 
 
 @dataclass(frozen=True)
@@ -145,70 +145,164 @@ def windows(docs: DataFrame, passage: Passage) -> DataFrame:
 # --- verification -----------------------------------------------------------------------------
 
 
-def equal_run(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """How far shingles are equal before and from positions i, j on."""
-    n = min(i, j)
-    before = np.flatnonzero(x[i - n : i] != y[j - n : j])
-    m = min(len(x) - i, len(y) - j)
-    after = np.flatnonzero(x[i : i + m] != y[j : j + m])
-    return (n - 1 - int(before[-1]) if len(before) else n), (int(after[0]) if len(after) else m)
-
-
-def follow(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int, int] | None:
-    """The stretch of x and of y, as shingle positions, that an equal shingle at i, j grows into."""
-    before, after = equal_run(x, y, i, j)
-    if not after:
-        return None
-    i0, j0, i1, j1 = i - before, j - before, i + after, j + after
-    while step := _resume(x, y, i1, j1):
-        _, after = equal_run(x, y, *step)
-        i1, j1 = step[0] + after, step[1] + after
-    flipped_x, flipped_y = x[::-1], y[::-1]
-    while step := _resume(flipped_x, flipped_y, len(x) - i0, len(y) - j0):
-        _, after = equal_run(flipped_x, flipped_y, *step)
-        i0, j0 = len(x) - step[0] - after, len(y) - step[1] - after
-    return i0, i1, j0, j1
-
-
-def _resume(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int] | None:
-    """The nearest equal shingle behind an edit at i, j, followed by as many as an edit breaks."""
-    need = 5
-    for gap in range(1, GAP + 1):
-        for shift in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-            p, q = i + gap, j + gap + shift
-            if q >= j and p + need <= len(x) and q + need <= len(y) and (x[p : p + need] == y[q : q + need]).all():
-                return p, q
-    return None
-
-
-def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int, bool]], passage: Passage) -> list[tuple]:
+class Pair:
+    """Two texts as shingles, with the equal runs between them that have been looked at."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, order: np.ndarray | None = None):
+        self.x, self.y = x, y
+        #: Places of y by shingle.
+        self.order = np.argsort(y, kind="stable") if order is None else order
+        self.known: dict[int, list[tuple[int, int]]] = {}
+
+    def run(self, i: int, j: int) -> tuple[int, int]:
+        """Start and end, in x, of the equal run around the equal shingles at i, j."""
+        runs_ = self.known.setdefault(j - i, [])
+        for run in runs_:
+            if run[0] <= i < run[1]:
+                return run
+        run = i - equal(self.x[:i][::-1], self.y[:j][::-1]), i + equal(self.x[i:], self.y[j:])
+        runs_.append(run)
+        return run
+
+    def places(self, i: int) -> np.ndarray:
+        """Where y has the shingle i of x."""
+        lo, hi = (np.searchsorted(self.y, self.x[i], side, sorter=self.order) for side in ("left", "right"))
+        return self.order[lo:hi]
+
+    def chain(self, i: int, j: int) -> list[tuple[int, int, int]]:
+        """Equal runs (place in x, in y, length) that follow one another over edits, around i, j."""
+        lo, hi = self.run(i, j)
+        shift, matched = j - i, hi - lo
+        ahead = resumed(self.x[hi:], self.y[hi + shift :], matched)
+        back = resumed(self.x[:lo][::-1], self.y[: lo + shift][::-1], matched)
+        left = [(lo - p - n, lo + shift - q - n, n) for p, q, n in back]
+        return [*left[::-1], (lo, lo + shift, matched), *((hi + p, hi + shift + q, n) for p, q, n in ahead)]
+
+
+def equal(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles are equal from the beginning on, looked at in growing pieces."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        end = min(n, at + step)
+        differ = x[at:end] != y[at:end]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = end, step * 2
+    return n
+
+
+def resumed(x: np.ndarray, y: np.ndarray, matched: int) -> list[tuple[int, int, int]]:
+    """Equal runs behind the edits that x and y begin with, as far as they can belong to one passage.
+
+    An edit may be as long as a passage of what is matched so far can hold at a similarity of 0.8, and
+    a few words more. Of the places where the texts are equal again the nearest is taken at which
+    they stay so for ``SURE`` shingles, or to the end.
+    """
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        reach = EDIT + matched // 4
+        _, p, q = np.intersect1d(x[i : i + reach], y[j : j + reach], return_indices=True)
+        for n in np.argsort(p + q, kind="stable").tolist():
+            a, b = i + int(p[n]), j + int(q[n])
+            long = equal(x[a:], y[b:])
+            if long >= min(SURE, len(x) - a, len(y) - b):
+                break
+        else:
+            break
+        out.append((a, b, long))
+        i, j, matched = a + long, b + long, matched + long
+    return out
+
+
+def stretches(chain: list[tuple[int, int, int]], percent: int) -> list[tuple[int, int]]:
+    """First and last run of the longest stretch of a chain that is similar enough, then of what is left of it on either side.
+
+    A stretch is similar enough if its equal shingles outweigh the others: a sum over its runs and
+    edits that is not negative. The longest one is found by one pass over prefix sums.
+    """
+    weight = np.array([(100 - percent) * n for *_, n in chain], np.int64)
+    edits = [0] + [percent * (b[0] - a[0] + b[1] - a[1] - 2 * a[2]) for a, b in zip(chain, chain[1:], strict=False)]
+    ends = np.cumsum(weight - edits)
+    starts = ends - weight
+    out, todo = [], [(0, len(chain))]
+    while todo:
+        lo, hi = todo.pop()
+        if lo == hi:
+            continue
+        lowest = [lo]
+        for k in range(lo + 1, hi):
+            if starts[k] < starts[lowest[-1]]:
+                lowest.append(k)
+        best = (0, lo, lo)
+        for k in range(hi - 1, lo - 1, -1):
+            while lowest and starts[lowest[-1]] <= ends[k]:
+                first = lowest.pop()
+                best = max(best, (chain[k][0] + chain[k][2] - chain[first][0], first, k))
+        out.append(best[1:])
+        todo += [(lo, best[1]), (best[2] + 1, hi)]
+    return out
+
+
+def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int, bool]], passage: Passage, pair: Pair | None = None) -> list[tuple]:
     """Passages (start and end in x, then in y, as words; similarity) around the anchors.
 
-    An anchor that enough hash functions agree on is followed over edits, any other as an equal run.
+    Every anchor is followed over edits, those first that enough hash functions agree on; the shingle
+    sets decide. Where an anchor is in no passage then, equal passages at other places of y that
+    have its shingle are looked for.
     """
+    pair = pair or Pair(x, y)
     out: list[tuple] = []
-    for i, j, agreed in sorted(set(anchors), key=lambda a: (not a[2], a)):
-        if i >= len(x) or j >= len(y) or x[i] != y[j] or any(a <= i <= b - passage.size and a2 <= j <= b2 - passage.size for a, b, a2, b2, _ in out):
+    done: set[tuple[int, int]] = set()
+    covered = np.zeros(len(x), bool)
+
+    def keep(i0: int, i1: int, j0: int, j1: int) -> bool:
+        if min(i1 - i0, j1 - j0) < passage.width:
+            return False
+        s, t = np.unique(x[i0:i1]), np.unique(y[j0:j1])
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        union = len(s) + len(t) - both
+        if 100 * both < passage.percent * union:
+            return False
+        covered[i0:i1] = True
+        out.append((i0, i1 + passage.size - 1, j0, j1 + passage.size - 1, both / union))
+        return True
+
+    for i, j, _ in sorted(set(anchors), key=lambda a: (not a[2], a)):
+        if i >= len(x) or j >= len(y) or x[i] != y[j]:
             continue
-        before, after = equal_run(x, y, i, j)
-        for i0, i1, j0, j1 in ([follow(x, y, i, j)] if agreed else []) + [(i - before, i + after, j - before, j + after)]:
-            s, t = np.unique(x[i0:i1]), np.unique(y[j0:j1])
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            union = len(s) + len(t) - both
-            if min(i1 - i0, j1 - j0) >= passage.width and 100 * both >= passage.percent * union:
-                out.append((i0, i1 + passage.size - 1, j0, j1 + passage.size - 1, both / union))
-                break
+        lo, _ = pair.run(i, j)
+        if (lo, j - i) not in done:
+            chain = pair.chain(i, j)
+            done.update((p, q - p) for p, q, _ in chain)
+            for a, b in stretches(chain, passage.percent):
+                first, last = chain[a], chain[b]
+                if not keep(first[0], last[0] + last[2], first[1], last[1] + last[2]) and a < b:
+                    # Shingles that repeat count once in a set: the runs are left.
+                    for p, q, n in chain[a : b + 1]:
+                        keep(p, p + n, q, q + n)
+        if not covered[i]:
+            for at in pair.places(i).tolist():
+                lo, hi = pair.run(i, at)
+                if hi - lo >= passage.width and keep(lo, hi, lo + at - i, hi + at - i):
+                    break
     return out
 
 
-def partings(x: np.ndarray, y: np.ndarray, i: int, j: int) -> list[int]:
-    """Keys of where and how x leaves y behind and before an equal shingle at i, j."""
-    if i >= len(x) or j >= len(y) or x[i] != y[j]:
+def partings(pair: Pair, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For the equal shingles at ``places``: their place's number and a key of where and how x leaves y, behind and before."""
+    x, at, parts = pair.x, [], []
+    for n, (i, j) in enumerate(places):
+        if i >= len(x) or j >= len(pair.y) or x[i] != pair.y[j]:
+            continue
+        lo, hi = pair.run(i, j)
+        parts += [(i, hi - i, hi)] if hi < len(x) else []
+        parts += [(i, lo - i - 1, lo - 1)] if lo else []
+        at += [n] * (len(parts) - len(at))
+    if not parts:
         return []
-    before, after = equal_run(x, y, i, j)
-    keys = [(x[i], after, x[i + after])] if i + after < len(x) else []
-    keys += [(x[i], -before - 1, x[i - before - 1])] if i > before else []
-    return [int(mix(mix(np.array([g], np.uint64) + np.uint64(d % (1 << 64))) + w).view(np.int64)[0]) for g, d, w in keys]
+    i, far, way = np.array(parts, np.int64).T
+    keys = mix(mix(x[i] + far.astype(np.uint64)) + x[way]).view(np.int64)
+    return list(zip(at, keys.tolist(), strict=True))
 
 
 def agreeing(found: list[tuple], agree: int) -> list[bool]:
@@ -230,29 +324,33 @@ def agreeing(found: list[tuple], agree: int) -> list[bool]:
     return [len(v) >= agree for v in votes]
 
 
-def verify(pairs: DataFrame, texts: DataFrame, passage: Passage) -> DataFrame:
-    """What comparing ``pairs(doc, source, anchors)`` shows: passages, and new keys of the windows.
+def verify(pairs: DataFrame, asked: DataFrame, passage: Passage) -> DataFrame:
+    """What comparing ``pairs(doc, source, anchors)`` shows, given ``asked(doc, text)``: passages, and new keys of the windows.
 
-    Rows of passages have ``similarity``, those of windows have ``key``.
+    Rows of passages have ``similarity``, those of windows have ``key``. The pairs of one source come
+    one after another, so a task makes a source's shingles once.
     """
-    kind = texts.schema["doc"].dataType.simpleString()
-    ids = pairs.select("doc").unionByName(pairs.select(F.col("source").alias("doc"))).distinct()
+    kind = asked.schema["doc"].dataType.simpleString()
     # Joins are told to exchange both sides: what could be broadcast here grows with the input.
-    asked = materialize(texts.join(ids.hint("shuffle_hash"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
-    near = pairs.hint("merge").join(asked.select(F.col("doc").alias("source"), F.col("text").alias("source_text")), "source")
-    both = near.hint("merge").join(asked, "doc").select("doc", "source", "anchors", "text", "source_text")
+    near = pairs.hint("merge").join(asked, "doc").hint("merge").join(asked.select(F.col("doc").alias("source"), F.col("text").alias("source_text")), "source")
+    both = near.select("doc", "source", "anchors", "text", "source_text")
     fields = ["doc", "source", "start", "words", "source_start", "source_words", "similarity", "key", "hash_no", "l", "c", "r"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = Hashes()
+        known, last, y, order = Hashes(), None, None, None
         for batch in batches:
             rows: list[tuple] = []
-            for doc, source, anchors, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (shingles(known.of(words(t)), passage.size) for t in (text, other))
+            for n in range(batch.num_rows):
+                doc, source, anchors, text, other = (c[n].as_py() for c in batch.columns)
+                if last is None or source != last:
+                    last, y = source, shingles(known.of(words(other)), passage.size)
+                    order = np.argsort(y, kind="stable")
+                pair = Pair(shingles(known.of(words(text)), passage.size), y, order)
                 agreed = agreeing([(a["hash_no"], a["l"], a["r"], a["l2"], a["r2"]) for a in anchors], passage.agree)
-                found = verified(x, y, [(a["c"], a["c2"], g) for a, g in zip(anchors, agreed, strict=True)], passage)
+                found = verified(pair.x, y, [(a["c"], a["c2"], g) for a, g in zip(anchors, agreed, strict=True)], passage, pair)
                 rows += [(doc, source, a, b - a, c, d - c, s, None, None, None, None, None) for a, b, c, d, s in found]
-                left = {(k, a["hash_no"], a["l"], a["c"], a["r"]) for a in anchors for k in partings(x, y, a["c"], a["c2"])}
+                parted = partings(pair, [(a["c"], a["c2"]) for a in anchors])
+                left = {(k, *(anchors[m][f] for f in ("hash_no", "l", "c", "r"))) for m, k in parted}
                 rows += [(doc, None, None, None, None, None, None, *w) for w in sorted(left)]
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             own = batch.column(0).type
@@ -263,38 +361,68 @@ def verify(pairs: DataFrame, texts: DataFrame, passage: Passage) -> DataFrame:
     return arrow_map(both, check, f"doc {kind}, source {kind}, {longs}, similarity double, key bigint, hash_no int, l int, c int, r int")
 
 
+def digested(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def repeated(docs: DataFrame, passage: Passage = Passage(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified passages: ``doc, start, words`` and the smaller document ``source`` that has them too."""
-    texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    """Verified passages: ``doc, start, words`` and the smaller document ``source`` that has them too.
+
+    ``digest`` is that of the text of ``doc`` that was compared. Of documents with the same text the
+    smallest alone is compared with others; the rest are one passage of it.
+    """
+    texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"), digested(F.col(text)).alias("digest"))
+    n_words = F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')").cast("bigint")
+    marks = materialize(texts.select("doc", "digest", n_words.alias("words")).distinct())
+    own = materialize(marks.groupBy("doc").agg(F.min(F.struct("digest", "words")).alias("o")).select("doc", "o.*"))
+    copies = own.join(own.groupBy("digest").agg(F.min("doc").alias("source")).hint("merge"), "digest").where("doc <> source")
+    copies = materialize(copies.select("doc", "source", "digest", "words"))
+    others = marks.select("doc", "digest").exceptAll(own.select("doc", "digest"))
+    gone = materialize(others.unionByName(copies.select("doc", "digest")))
+    drop(marks)
+    texts = texts.join(gone, ["doc", "digest"], "left_anti").select("doc", "text")
     found = materialize(windows(texts, passage))
     left = found.select(F.explode(F.array("ahead", "back")).alias("key"), "hash_no", "doc", "l", "c", "r").where("key <> 0")
 
-    out = None
+    whole = copies.where(F.col("words") >= passage.min_words)
+    zero = F.lit(0).cast("bigint")
+    out = whole.select("doc", "source", zero.alias("start"), "words", zero.alias("source_start"), F.col("words").alias("source_words"), F.lit(1.0).alias("similarity"))
+    asked, before = None, [found]
     while True:
         # Most keys are of one document: they are told apart by two numbers each before more is moved.
         shared = left.groupBy("key").agg(F.min("doc").alias("source"), F.max("doc").alias("top")).where("source < top").select("key", "source")
-        met = materialize(left.join(shared.hint("shuffle_hash"), "key"))
+        met = materialize(left.join(shared.hint("merge"), "key"))
+        for table in before:
+            drop(table)
         if met.isEmpty():
+            drop(met)
             break
         first = met.where("doc = source").groupBy("key").agg(F.min(F.struct("c", "l", "r")).alias("first"))
-        met = met.where("doc <> source").join(first, "key").select("doc", "source", "hash_no", "l", "c", "r", F.col("first.l").alias("l2"), F.col("first.c").alias("c2"), F.col("first.r").alias("r2"))
+        near = met.where("doc <> source").join(first.hint("merge"), "key").select("doc", "source", "hash_no", "l", "c", "r", F.col("first.l").alias("l2"), F.col("first.c").alias("c2"), F.col("first.r").alias("r2"))
         # The windows of one document that meet those of another are at most its own.
         anchors = F.collect_set(F.struct("hash_no", "l", "c", "r", "l2", "c2", "r2")).alias("anchors")
-        pairs = materialize(met.groupBy("doc", "source").agg(anchors))
-        shown = materialize(verify(pairs, texts, passage))
-        left = shown.where("key is not null").select("key", "hash_no", "doc", "l", "c", "r")
-        proved = shown.where("similarity is not null").drop("key", "hash_no", "l", "c", "r")
-        out = proved if out is None else out.unionByName(proved)
-    if out is None:
-        columns = ["source_start", "source_words", "start", "words"]
-        out = found.where("false").select("doc", F.col("doc").alias("source"), *[F.col("ahead").alias(c) for c in columns], F.lit(0.0).alias("similarity"))
-    return out
+        pairs = materialize(near.groupBy("doc", "source").agg(anchors))
+        drop(met)
+        if asked is None:
+            # Later rounds ask for texts of these documents alone.
+            ids = pairs.select("doc").unionByName(pairs.select(F.col("source").alias("doc"))).distinct()
+            asked = materialize(texts.join(ids.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
+        shown = materialize(verify(pairs, asked, passage))
+        drop(pairs)
+        proved = materialize(shown.where("similarity is not null").drop("key", "hash_no", "l", "c", "r"))
+        out = out.unionByName(proved)
+        left, before = shown.where("key is not null").select("key", "hash_no", "doc", "l", "c", "r"), [shown]
+    for table in (asked, gone):
+        if table is not None:
+            drop(table)
+    return out.join(own.select("doc", "digest").hint("merge"), "doc")
 
 
 def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the passages ``found``, with ``words_removed``.
 
-    Of rows of one id, those with the text that was compared are cut: the smallest.
+    Of rows of one id, those with the text that was compared are cut, which ``digest`` tells; found
+    passages without that column are cut out of all of them.
     """
 
     @F.pandas_udf("struct<text:string,removed:bigint>")
@@ -317,11 +445,14 @@ def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
                 out.append(("".join([*parts, t[at:]]).strip() if len(edges) else t, int(gone.sum())))
             yield pd.DataFrame(out, columns=["text", "removed"])
 
-    work = unused(docs, "spans", "doc", "cut")
-    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "words")).alias("spans")).toDF(work["doc"], work["spans"])
+    work = unused(docs, "spans", "doc", "cut", "digest")
+    digest = F.first("digest") if "digest" in found.columns else F.lit(None).cast("binary")
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "words")), digest).toDF(work["doc"], work["spans"], work["digest"])
     joined = docs.join(spans.hint("merge"), named(key) == F.col(work["doc"]), "left")
+    compared = F.coalesce(digested(named(text)) == F.col(work["digest"]), F.col(work["digest"]).isNull())
     names = [c for c in docs.columns if c.lower() != "words_removed"]
     there, done = F.col(work["spans"]).isNotNull(), F.col(work["cut"])
+    joined = joined.withColumn(work["spans"], F.when(compared, F.col(work["spans"])))
     cutting = joined.withColumn(work["cut"], F.when(there, cut(named(text), F.col(work["spans"]))))
     shown = F.when(there, done["text"]).otherwise(named(text))
     return cutting.select(*[shown.alias(c) if c == text else named(c) for c in names], F.coalesce(done["removed"], F.lit(0)).alias("words_removed"))
