@@ -308,19 +308,35 @@ def partings(pair: Pair, places: list[tuple[int, int]]) -> list[tuple[int, int]]
 def agreeing(found: list[tuple], agree: int) -> list[bool]:
     """Which of the window pairs (hash_no, l, r, l2, r2) overlap, in both documents, those of enough hash functions.
 
-    A sweep over the intervals' starts keeps the open ones.
+    A sweep over the intervals' starts keeps the open ones, apart those that are still short of votes:
+    one that has enough votes only gives them, and to a new window only until that has enough as well.
     """
-    order = sorted(range(len(found)), key=lambda n: found[n][1])
-    open_: list[int] = []
     votes: list[set[int]] = [{w[0]} for w in found]
-    for n in order:
+    wanting: list[int] = []
+    content: list[int] = []
+    purge = 64
+    for n in sorted(range(len(found)), key=lambda n: found[n][1]):
         h, l, _, l2, r2 = found[n]
-        open_ = [m for m in open_ if found[m][2] >= l]
-        for m in open_:
-            if found[m][0] != h and found[m][3] <= r2 and l2 <= found[m][4]:
-                votes[n].add(found[m][0])
+        mine, still = votes[n], []
+        for m in wanting:
+            other = found[m]
+            if other[2] < l:
+                continue
+            if other[0] != h and other[3] <= r2 and l2 <= other[4]:
+                mine.add(other[0])
                 votes[m].add(h)
-        open_.append(n)
+            (content if len(votes[m]) >= agree else still).append(m)
+        wanting = still
+        for m in reversed(content):
+            if len(mine) >= agree:
+                break
+            other = found[m]
+            if other[2] >= l and other[0] != h and other[3] <= r2 and l2 <= other[4]:
+                mine.add(other[0])
+        (content if len(mine) >= agree else wanting).append(n)
+        if len(content) > purge:
+            content = [m for m in content if found[m][2] >= l]
+            purge = 64 + 2 * len(content)
     return [len(v) >= agree for v in votes]
 
 

@@ -146,3 +146,68 @@ def test_cutting_columns_of_any_name(spark):
     got = without_passages(docs, found)
     assert got.columns == ["doc_id", "text", "_spans", "_doc", "_cut", "words_removed"]
     assert sorted(map(tuple, got.collect())) == [(1, "a b c", "x", "y", 7, 0), (2, "c", "x", "y", 7, 2)]
+
+
+def test_agreement_by_definition():
+    rng = random.Random(1)
+    for _ in range(500):
+        found = []
+        for _ in range(rng.randrange(40)):
+            a, b = rng.randrange(200), rng.randrange(200)
+            found.append((rng.randrange(3), a, a + rng.randrange(40), b, b + rng.randrange(40)))
+        for agree in (1, 2, 3):
+            met = [{w[0] for w in found if w[1] <= v[2] and v[1] <= w[2] and w[3] <= v[4] and v[3] <= w[4]} for v in found]
+            assert agreeing(found, agree) == [len(m) >= agree for m in met]
+
+
+def changed(rng, p):
+    return [*p[: len(p) // 2], "changed", *p[len(p) // 2 + 1 :]]
+
+
+def inserted(rng, p):
+    return [*p[: len(p) // 2], *text(rng, 5), *p[len(p) // 2 :]]
+
+
+def test_recall_of_short_edited_passages(spark):
+    """Passages at a similarity of 0.8 or a little more, edited in the middle: at least 0.95 of each kind are found whole."""
+    rng, rows, kinds = random.Random(11), [], {}
+    for edit, n in ((changed, 50), (changed, 60), (inserted, 60), (inserted, 80)):
+        for _ in range(40):
+            i, p = len(rows), text(rng, n, 20000)
+            rows += [(i, " ".join(text(rng, 50) + p + text(rng, 60))), (i + 1, " ".join(text(rng, 70) + edit(rng, p) + text(rng, 40)))]
+            kinds[i + 1] = edit, n
+    found = repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    whole = {r.doc for r in found if r.source == r.doc - 1 and r.words >= kinds[r.doc][1] - 1}
+    for kind in set(kinds.values()):
+        of = {i for i, k in kinds.items() if k == kind}
+        assert len(of & whole) >= 38, kind
+    assert all(r.similarity >= 0.8 for r in found)
+
+
+def test_longest_stretch_of_a_chain():
+    """A bad tail does not take a good passage with it."""
+    rng = random.Random(12)
+    good = text(rng, 90, 20000)
+    tail = text(rng, 100, 20000)
+    worse = [w if i % 6 else f"z{i}" for i, w in enumerate(tail)]
+    h = Hashes()
+    x, y = (shingles(h.of(words(" ".join(t))), 5) for t in (changed(rng, good) + worse, good + tail))
+    found = verified(x, y, [(0, 0, False)], Passage())
+    assert found and found[0][0] == 0 and found[0][1] >= 90 and found[0][4] >= 0.8
+
+
+def test_place_beside_the_first_in_the_source(spark):
+    """The source has the passage's beginning once more, before the passage."""
+    rng = random.Random(13)
+    p = text(rng, 60, 20000)
+    rows = [(1, " ".join(p[:30] + text(rng, 20) + p[30:45] + text(rng, 20) + p + text(rng, 9))), (2, " ".join(text(rng, 40) + p + text(rng, 40)))]
+    found = repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc, r.source, r.words) for r in found} == {(2, 1, 60)}
+
+
+def test_other_texts_of_one_id_stay(spark):
+    rng = random.Random(14)
+    p, other = " ".join(text(rng, 60)), " ".join(text(rng, 90))
+    docs = spark.createDataFrame([(1, p), (2, "a " + p), (2, other)], "doc_id int, text string")
+    got = {r.text for r in without_passages(docs, repeated(docs)).collect() if r.doc_id == 2}
+    assert other in got and got <= {other, "a", "a " + p}
