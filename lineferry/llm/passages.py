@@ -16,10 +16,11 @@ which the two texts part are known, and a passage that the other documents have
 either lies within what is shared with the smallest one or goes on where they part, in the same way;
 so their windows are dealt into new buckets by where and how they part, without the smallest
 document, until no bucket holds two documents. Equal passages are all found this way, whatever the sizes of the buckets.
-Edited ones are followed where enough hash functions agree, and found with high probability.
+Every anchor is followed over edits, those first that enough hash functions agree on; edited passages
+are found with high probability. Documents with equal texts are compared once, by the smallest of them.
 
 Null and empty texts have no passages. Passages within one document don't count, nor do those of
-rows of one id among themselves: of such rows the smallest text is compared. Rows with a null id are
+rows of one id among themselves: of such rows the text of the smallest digest is compared. Rows with a null id are
 left as they are. Other columns are passed through. A text that is all repeated becomes empty; its
 row stays.
 """
