@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,14 @@ class Tokenizer:
 
     def __init__(self, record: str) -> None:
         self.start, self.end = f"<{record}", f"</{record}"
+        # All pieces of a text that do something begin a tag such as these, or one with a quote.
+        name = re.sub(r"([^\w-])", r"\\\1", record)
+        self.marked = rf"\A[^<]*<(?:!--|!\[CDATA\[|\?|/?{name}(?:[ \t\r\n/]|\z)|[^'\"]*['\"])"
+        self._known = lru_cache(4096)(self.step)
+
+    def step_known(self, state: int, piece: str) -> tuple[int, bool, bool, int]:
+        """:meth:`step`, which short pieces that come again need not take again."""
+        return self._known(state, piece) if len(piece) <= 64 else self.step(state, piece)
 
     def _is(self, tag: str, mark: str) -> bool:
         return tag.startswith(mark) and (len(tag) == len(mark) or tag[len(mark)] in " \t\r\n/")
@@ -88,19 +99,55 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Rows of one split after the other, a batch at a time: (file, block) and the batch's rows of it."""
     for batch in batches:
-        rows: list = []
-        key = None
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:2] != key and rows:
-                yield key, rows
-                rows = []
-            key = row[:2]
-            rows.append(row[2:])
-        if rows:
-            yield key, rows
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(i) for i in (0, 1)]
+        other = [pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in columns]
+        edges = [0, *(np.flatnonzero(other[0] | other[1]) + 1).tolist(), n]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield (columns[0][lo].as_py(), columns[1][lo].as_py()), batch.slice(lo, hi - lo)
+
+
+class Walk:
+    """The pieces of one batch at which something may happen; what lies between is passed over unread."""
+
+    def __init__(self, tokens: Tokenizer, values: pa.Array) -> None:
+        values.validate(full=True)
+        self.tokens, self.values, self.n, self.found = tokens, values, len(values), {}
+
+    def _stops(self, state: int) -> tuple[list[int], list[str]]:
+        """The pieces that a state doesn't pass over, in order, as places (the last one the end) and texts."""
+        if state not in self.found:
+            if state in ENDS:
+                stops = pc.ends_with(self.values, ENDS[state])
+            else:
+                stops = pc.match_substring_regex(self.values, self.tokens.marked)
+            places = np.flatnonzero(stops.to_numpy(zero_copy_only=False))
+            self.found[state] = [*places.tolist(), self.n], self.values.take(pa.array(places)).to_pylist()
+        return self.found[state]
+
+    def run(self, state: int) -> Iterator[tuple[int, int, bool, bool, int]]:
+        """From ``state`` before the batch: each stop's place, and what :meth:`Tokenizer.step` says of it."""
+        at, step = 0, self.tokens.step_known
+        turn = dict.fromkeys(STATES, 0)
+        while at < self.n:
+            if state == TEXT or state in ENDS:
+                (stops, texts), i = self._stops(state), turn[state]
+                while stops[i] < at:
+                    i += 1
+                turn[state], at = i, stops[i]
+                if at == self.n:
+                    return
+                piece = texts[i]
+            else:  # a quote ends soon: its pieces are read one by one
+                piece = self.values[at].as_py()
+            state, begins, ends, start = step(state, piece)
+            yield at, state, begins, ends, start
+            at += 1
 
 
 def _changes(pieces: DataFrame, record: str) -> DataFrame:
@@ -121,12 +168,16 @@ def _changes(pieces: DataFrame, record: str) -> DataFrame:
                 if key is not None:
                     yield shown()
                 key, now = at, {s: (s, 0, 0) for s in STATES}
-            for _, piece in rows:
-                step = {s: tokens.step(s, piece) for s in {x[0] for x in now.values()}}
-                for s, (state, by, low) in now.items():
-                    state, begins, ends, _at = step[state]
+            walk, done = Walk(tokens, rows.column("value")), {}
+            for first in {x[0] for x in now.values()}:
+                state, by, low = first, 0, 0
+                for _, state, begins, ends, _at in walk.run(first):
                     by += begins - ends
-                    now[s] = state, by, min(low, by)
+                    low = min(low, by)
+                done[first] = state, by, low
+            for s, (state, by, low) in now.items():
+                behind, more, lowest = done[state]
+                now[s] = behind, by + more, min(low, by + lowest)
         if key is not None:
             yield shown()
 
@@ -151,6 +202,12 @@ def _beginnings(changes: DataFrame) -> DataFrame:
     return changes.groupBy("file").applyInPandas(order, "file string, block bigint, state int, depth bigint, opener bigint")
 
 
+def _joined(values: pa.Array, bounds: list[int]) -> list[str]:
+    """The pieces from each even bound to the next odd one, with ``>`` between them."""
+    lists = pa.ListArray.from_arrays(pa.array([0, *bounds, len(values)], pa.int32()), values)
+    return pc.binary_join(lists, ">").take(pa.array(range(1, len(bounds), 2), pa.int32())).to_pylist()
+
+
 def _cut(pieces: DataFrame, record: str) -> DataFrame:
     """Records, and parts of those that go over splits, of ``file, block, id, value, state, depth, opener``."""
     names = ["file", "block", "n", "part", "record"]
@@ -170,19 +227,30 @@ def _cut(pieces: DataFrame, record: str) -> DataFrame:
             if at != key:
                 if held:
                     out.append((key[0], opener, LAST, key[1], "".join(held)))
-                key, held, n, (state, depth, opener) = at, [], 0, rows[0][2:]
-            for row in rows:
-                piece = row[1]
-                state, begins, ends, start = tokens.step(state, piece)
+                key, held, n = at, [], 0
+                state, depth, opener = (rows.column(c)[0].as_py() for c in ("state", "depth", "opener"))
+            values = rows.column("value")
+            # Where records begin and end in the batch, from one that is open before it to one that is open behind.
+            bounds, starts = [0] if depth > 0 else [], [0] if depth > 0 else []
+            openers = [opener] if depth > 0 else []
+            for i, state, begins, ends, start in Walk(tokens, values).run(state):
                 if begins and depth == 0:
-                    opener, piece = key[1], piece[start:]
+                    opener = key[1]
+                    bounds.append(i)
+                    starts.append(start)
+                    openers.append(opener)
                 inside = begins or depth > 0
                 depth = max(0, depth + begins - ends)
-                if inside:
-                    held.append(piece + ">")
                 if inside and depth == 0:
-                    whole = opener == key[1]
-                    out.append((key[0], opener, n if whole else LAST, -1 if whole else key[1], "".join(held)))
+                    bounds.append(i + 1)
+            if depth > 0:
+                bounds.append(len(values))
+            texts = [t[at:] + ">" for t, at in zip(_joined(values, bounds), starts, strict=True)]
+            for k, (text, begun) in enumerate(zip(texts, openers, strict=True)):
+                held.append(text)
+                if k + 1 < len(texts) or depth == 0:
+                    whole = begun == key[1]
+                    out.append((key[0], begun, n if whole else LAST, -1 if whole else key[1], "".join(held)))
                     held, n = [], n + 1
             yield shown()
         if held:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lineferry import Field, LoadSpec, load_summary, route
 from lineferry.sources.lines import read_delimited, read_fixed, read_lines, split_marks, with_line_no
-from lineferry.sources.xmlsplit import split_records
+from lineferry.sources.xmlsplit import Tokenizer, Walk, split_records
 from lineferry.sources.records import extract_source, read_xml, read_xml_records
 from lineferry.spec import DELIMITED, XML
 
@@ -162,6 +165,43 @@ def test_split_xml_of_files_that_end_early(spark, tmp_path):
     assert [(r.KEY, r._status) for r in rows] == [(1, "ok"), (None, "parse")]
 
 
+def plain_records(text: str, record: str) -> list[str]:
+    """The records of a file, piece by piece."""
+    tokens, state, depth, held, out = Tokenizer(record), 0, 0, "", []
+    pieces = text.split(">")
+    for piece in pieces if pieces[-1] else pieces[:-1]:
+        state, begins, ends, start = tokens.step(state, piece)
+        if begins and depth == 0:
+            held, piece = "", piece[start:]
+        inside, depth = begins or depth > 0, max(0, depth + begins - ends)
+        held += (piece + ">") * inside
+        if inside and depth == 0:
+            out, held = [*out, held], ""
+    return out + [held] * (depth > 0)
+
+
+@pytest.mark.parametrize("record", ["order", "a.b", "ö-r"])
+def test_split_xml_steps_over_no_piece_that_matters(spark, tmp_path, small_splits, record):
+    rng = random.Random(5)
+    parts = [f"<{record}", f"</{record}", record, ">", ">", ">", "'", '"', "<!--", "-->", "<![CDATA[", "]]>", "<?", "?>", "/", " ", "\n", "x", "<", "é", f"<{record}>"]
+    for k in range(3):
+        text = "".join(rng.choices(parts, k=400))
+        path = tmp_path / f"{k}.xml"
+        path.write_text(text)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(rng.choice([90, 300, 5000])))
+        got = [r.record for r in split_records(spark, str(path), record).orderBy("file", "block", "n").collect()]
+        assert got == plain_records(text, record)
+
+
+def test_split_xml_takes_few_steps(monkeypatch):
+    """Tags that are no records, and texts, are passed over unread."""
+    taken, step = [], Tokenizer.step
+    monkeypatch.setattr(Tokenizer, "step", lambda self, state, piece: taken.append(piece) or step(self, state, piece))
+    pieces = [p for i in range(1000) for p in ("<order", "<ID", f"{i}</ID", "<!-- no --", "</order")]
+    walked = [p for p, *_ in Walk(Tokenizer("order"), pa.array(pieces)).run(0)]
+    assert walked == [i for i in range(5000) if i % 5 in (0, 3, 4)] and len(taken) < 10
+
+
 def test_xml_load(spark, tmp_path):
     (tmp_path / "o.xml").write_text(XML_TEXT)
     spec = LoadSpec("T", [
