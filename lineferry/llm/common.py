@@ -158,17 +158,18 @@ def labelled(df: DataFrame, comps: DataFrame, node: str, out: str) -> DataFrame:
 
 def link_buckets(
     members: DataFrame,
+    details: DataFrame,
     contents: Callable[[DataFrame], DataFrame],
     compare: Callable[[DataFrame], DataFrame],
     reach: float,
     may: Callable[[str, str], Column],
-    carried: tuple[str, ...],
 ) -> DataFrame:
     """Links ``a, b`` between members of common buckets, enough of them for the right components.
 
-    ``members(key, id, *carried)`` has each bucket's members. ``contents(ids)`` gives what is compared,
-    ``id`` and further columns, for the members of buckets that are shared; it is asked once and written.
-    ``may`` is a condition on the carried columns of two members that every link meets, and ``compare``
+    ``members(key, id)`` has each bucket's members. ``contents(ids)`` gives what is compared, ``id`` and
+    further columns, for the members of buckets that are shared; it is asked once and written.
+    ``may`` is a condition on the columns that ``details`` has beside ``id``, of two members, that every
+    link meets; only members of shared buckets are joined to them. ``compare``
     adds to pairs with the contents of both, as ``x_`` and ``y_`` columns, ``dist`` (a metric) and
     ``linked``, which holds only where dist <= reach.
 
@@ -185,7 +186,8 @@ def link_buckets(
     """
     # Most buckets have one member: they are told apart by two numbers each before more is moved.
     crowded = members.groupBy("key").agg(F.min("id").alias("x_id"), F.max("id").alias("_top")).where("x_id < _top").drop("_top")
-    shared = materialize(members.join(crowded.hint("merge"), "key"))
+    carried = [c for c in details.columns if c != "id"]
+    shared = materialize(members.join(crowded.hint("merge"), "key").join(details.hint("merge"), "id"))
     drop(members)
     known = materialize(contents(shared.select("id").distinct()))
 

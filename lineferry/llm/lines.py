@@ -131,9 +131,11 @@ def with_edits(pairs: DataFrame) -> DataFrame:
 
 def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """Links between different lines ``id, norm, simhash``, enough for their groups."""
-    ws = F.split("norm", " ")
-    keys = distinct.select("id", "simhash", F.length("norm").alias("chars"), fuzzy.keys(F.col("simhash"), ws).alias("keys"))
-    members = materialize(keys.select(F.explode("keys").alias("key"), "id", "simhash", "chars"))
+    # A line's words come out of a one-element generator: each key would split the line again.
+    split = distinct.select("id", "simhash", F.inline(F.array(F.struct(F.split("norm", " ").alias("ws")))))
+    keys = fuzzy.keys(F.col("simhash"), F.col("ws"))
+    members = materialize(split.select(F.explode(keys).alias("key"), "id"))
+    details = distinct.select("id", "simhash", F.length("norm").alias("chars"))
 
     def may(x: str, y: str) -> Column:
         near = F.bit_count(F.col(x + "simhash").bitwiseXOR(F.col(y + "simhash"))) <= fuzzy.bits
@@ -148,7 +150,7 @@ def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
         # The similarity is no metric: it rules out no pair by what is known of two others.
         return with_edits(both.drop("x_norm", "y_norm")).withColumns({"dist": F.lit(0.0), "linked": F.col("edits") >= 0})
 
-    return link_buckets(members, contents, compare, 0.0, may, ("simhash", "chars"))
+    return link_buckets(members, details, contents, compare, 0.0, may)
 
 
 def dedup_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -112,9 +112,10 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
     signed = materialize(signatures(docs, near, key, text))
     full = signed.where("n_shingles > 0 and id is not null")
     nodes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("node"))
-    # A bucket's members: each distinct set once, with its size.
+    # A bucket's members: each distinct set once. Only those of shared buckets are joined to their sizes.
     chosen = full.join(nodes.withColumnRenamed("node", "id").hint("shuffle_hash"), ["s1", "s2", "n_shingles", "id"], "left_semi")
-    members = materialize(chosen.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("size")).distinct())
+    members = materialize(chosen.select(F.explode("bands").alias("key"), "id").distinct())
+    details = full.select("id", F.col("n_shingles").alias("size")).distinct()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def contents(ids: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
         small, large = F.least(x + "size", y + "size"), F.greatest(x + "size", y + "size")
         return 100 * small >= near.percent * large
 
-    links = link_buckets(members, contents, compare, 1 - near.percent / 100, may, ("size",))
+    links = link_buckets(members, details, contents, compare, 1 - near.percent / 100, may)
     # Rows of one id may hold different sets: they are one document.
     same = full.join(nodes, ["s1", "s2", "n_shingles"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
     comps = components(links.unionByName(same))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lineferry.llm import common
 from lineferry.llm import lines as lines_module
-from lineferry.llm.lines import Fuzzy, dedup_lines, with_edits, with_simhash
+from lineferry.llm.lines import Fuzzy, dedup_lines, links_of, with_edits, with_simhash
 
 
 def edits(a, b):
@@ -169,3 +169,14 @@ def test_edits_without_what_is_shared(spark):
     for r in with_edits(df).collect():
         n = edits(" ".join(r.x), " ".join(r.y))
         assert r.edits == (n if n <= r.most else -1), r
+
+def test_a_line_has_its_words_split_once_and_its_keys_travel_alone(spark, monkeypatch):
+    """What pairs are told apart by is joined to shared keys only, not written with every key."""
+    written, real = [], lines_module.materialize
+    monkeypatch.setattr(lines_module, "materialize", lambda df: written.append(df) or real(df))
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    distinct = spark.createDataFrame([(1, text, 7), (2, text + "s", 7), (3, "another line of other words altogether", 9)], "id bigint, norm string, simhash bigint")
+    links = links_of(distinct, Fuzzy())
+    assert {tuple(r) for r in links.distinct().collect()} == {(1, 2)}
+    assert written[0].columns == ["key", "id"]
+    assert written[0]._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
