@@ -21,7 +21,7 @@ __all__ = [
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short rather than wide.
 BATCH_ROWS = "512"
 #: Pivots that each bucket takes in the first of its later rounds, and by how many times more in each next one.
-PIVOTS, GROWTH = 2, 4
+PIVOTS, GROWTH = 4, 32
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -163,14 +163,17 @@ def link_buckets(
     compare: Callable[[DataFrame], DataFrame],
     reach: float,
     may: Callable[[str, str], Column],
+    marks: tuple[str, ...] = (),
+    close: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """Links ``a, b`` between members of common buckets, enough of them for the right components.
 
     ``members(key, id)`` has each bucket's members. ``contents(ids)`` gives what is compared, ``id`` and
     further columns, for the members of buckets that are shared; it is asked once and written.
     ``may`` is a condition on the columns that ``details`` has beside ``id``, of two members, that every
-    link meets; only members of shared buckets are joined to them. ``compare``
-    adds to pairs with the contents of both, as ``x_`` and ``y_`` columns, ``dist`` (a metric) and
+    link meets; only members of shared buckets are joined to them. ``close`` is another such condition, on
+    the columns ``marks`` of the contents, which are not compared; only members that the rounds measure
+    carry them. ``compare`` adds to pairs with the contents of both, as ``x_`` and ``y_`` columns, ``dist`` (a metric) and
     ``linked``, which holds only where dist <= reach.
 
     Not all pairs of a bucket are made. First each member is measured against the bucket's smallest
@@ -180,7 +183,7 @@ def link_buckets(
     are known, they differ by no more than ``reach`` if there is a link. A round takes a few such
     members of each bucket as pivots, drawn by a hash of their ids, so that members of the same buckets
     have the same pivots; what they join leaves fewer for the next round, which takes several times as
-    many. So rounds are a logarithm of the largest bucket's size, and no two members of a bucket that
+    many. Members that meet in several buckets are measured in the one of the smallest key. So rounds are a logarithm of the largest bucket's size, and no two members of a bucket that
     are linked end in different components. Joins exchange both sides at every size. A written table of
     ``members`` is deleted when it has been read.
     """
@@ -195,7 +198,7 @@ def link_buckets(
         """Pairs ``a, b`` and more columns, compared and written."""
         asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         part = known.join(asked.hint("merge"), "id", "left_semi")
-        fields = [c for c in known.columns if c != "id"]
+        fields = [c for c in known.columns if c != "id" and c not in marks]
         x = part.select(F.col("id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in fields])
         y = part.select(F.col("id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in fields])
         return materialize(compare(pairs.hint("merge").join(x, "a").hint("merge").join(y, "b")).select(*pairs.columns, "dist", "linked"))
@@ -211,7 +214,7 @@ def link_buckets(
     dists = first.groupBy(F.col("a").alias("x_id"), F.col("b").alias("id")).agg(F.when(F.count("*") == 1, F.min("dist")).alias("dist"))
     far = shared.where("id <> x_id").join(dists.hint("merge"), ["x_id", "id"], "left").withColumn("used", F.lit(False))
     far = labelled(labelled(far, comps, "id", "comp"), comps, "x_id", "main").drop("x_id")
-    before, pivots = [shared, comps], PIVOTS
+    before, pivots, own = [shared, comps], PIVOTS, []
     while True:
         # Buckets in which nothing is apart any more have been done with.
         apart = F.expr("comp <> main and not used")
@@ -222,12 +225,22 @@ def link_buckets(
             drop(table)
         if now.isEmpty():
             break
-        fields = ["id", "comp", "dist", *carried]
+        if not own:
+            # A bucket that is done with joins all of its members: the others tell where two of them meet first.
+            own, bare = ["_keys", *marks], now
+            keys = bare.groupBy("id").agg(F.collect_set("key").alias("_keys"))
+            now = bare.join(keys.hint("merge"), "id").join(known.select("id", *marks).distinct().hint("merge"), "id")
+            now = materialize(now)
+            drop(bare)
+        fields = ["id", "comp", "dist", *carried, *own]
         x = now.where("pivot").select("key", *[F.col(c).alias(f"x_{c}") for c in fields])
         y = now.where("not used").select("key", *[F.col(c).alias(f"y_{c}") for c in fields])
         near = F.coalesce(F.abs(F.col("x_dist") - F.col("y_dist")) <= reach + 1e-9, F.lit(True))
         ends = [F.when(F.col("x_id") < F.col("y_id"), F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")) for p, q in ("xy", "yx") for c in ("id", "comp")]
-        rest = x.join(y.hint("merge"), "key").where(near & may("x_", "y_") & F.expr("x_comp <> y_comp"))
+        wanted = F.expr("x_comp <> y_comp") & near & may("x_", "y_")
+        if close is not None:
+            wanted &= close("x_", "y_")
+        rest = x.join(y.hint("merge"), "key").where(wanted & F.expr("key = array_min(array_intersect(x__keys, y__keys))"))
         rest = materialize(rest.select(*[e.alias(n) for e, n in zip(ends, ("a", "ca", "b", "cb"), strict=True)]).distinct())
         far = now.withColumn("used", F.expr("used or pivot")).drop("pivot")
         before = [now, rest]

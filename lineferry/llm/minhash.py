@@ -31,6 +31,8 @@ from lineferry.llm.common import Hashes, arrow_map, components, labelled, link_b
 #: Of two documents at similarity 0.8, one pair in 300,000 agrees in none of 32 bands of 5 slots.
 BANDS, ROWS = 32, 5
 GOLDEN = 0x9E3779B97F4A7C15
+#: Bits of a set's parities, and the words that hold them.
+PARITIES, LONG = 1024, 64
 
 
 @dataclass(frozen=True)
@@ -94,17 +96,28 @@ def signatures(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
     return arrow_map(docs.select(key, text), sign, f"id {kind}, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of distinct elements falls on each of ``PARITIES`` bits.
+
+    An element of one set alone turns one bit, one of both sets none: the bits of two sets differ in no
+    more places than the sets have elements that are not in both.
+    """
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets(docs: DataFrame, near: Near) -> DataFrame:
-    """``id, grams`` from ``id, text``."""
+    """``id, grams, odd`` from ``id, text``: the set and its parities."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known = Hashes()
         for batch in batches:
-            found = [np.unique(shingles(known.of(words(t)), near.size)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield {"id": batch.column(0), "grams": pa.array(found, pa.list_(pa.int64()))}
+            found = [np.unique(shingles(known.of(words(t)), near.size)) for t in batch.column(1).to_pylist()]
+            longs = pa.list_(pa.int64())
+            yield {"id": batch.column(0), "grams": pa.array([f.view(np.int64) for f in found], longs), "odd": pa.array(map(parities, found), longs)}
 
     kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs.select("id", "text"), gather, f"id {kind}, grams array<bigint>")
+    return arrow_map(docs.select("id", "text"), gather, f"id {kind}, grams array<bigint>, odd array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,7 +144,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
         small, large = F.least(x + "size", y + "size"), F.greatest(x + "size", y + "size")
         return 100 * small >= near.percent * large
 
-    links = link_buckets(members, details, contents, compare, 1 - near.percent / 100, may)
+    def close(x: str, y: str) -> Column:
+        differ = sum((F.bit_count(F.get(x + "odd", F.lit(i)).bitwiseXOR(F.get(y + "odd", F.lit(i)))) for i in range(PARITIES // LONG)), F.lit(0))
+        # Of sets that link, (size + size - different) / 2 elements are in both, (size + size + different) / 2 in either.
+        return (100 + near.percent) * differ <= (100 - near.percent) * (F.col(x + "size") + F.col(y + "size"))
+
+    links = link_buckets(members, details, contents, compare, 1 - near.percent / 100, may, ("odd",), close)
     # Rows of one id may hold different sets: they are one document.
     same = full.join(nodes, ["s1", "s2", "n_shingles"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
     comps = components(links.unionByName(same))

@@ -5,8 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from lineferry.llm import common
-from lineferry.llm.minhash import Near, near_duplicates, superminhash
+from lineferry.llm import common, minhash
+from lineferry.llm.minhash import Near, near_duplicates, parities, superminhash
 
 
 def shingle_set(text, size):
@@ -107,3 +107,48 @@ def test_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = by_hand(rows, 2)
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, Near(2)).collect()} == want
+
+
+def edited_copies(n, seed=7):
+    """Copies of one text with up to a tenth of their words changed: about a third link with few others or none."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        other = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(0, 15)):
+            other[at] = f"e{i}x{at}"
+        rows.append((i + 1, " ".join(other)))
+    return rows
+
+
+def test_members_far_apart_are_not_compared_one_by_one(spark, monkeypatch):
+    rows, compared, plain = edited_copies(300), [], minhash.link_buckets
+
+    def counting(members, details, contents, compare, *more):
+        def counted(pairs):
+            compared.append(pairs.count())
+            return compare(pairs)
+
+        return plain(members, details, contents, counted, *more)
+
+    monkeypatch.setattr(minhash, "link_buckets", counting)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), Near(2)).collect()}
+    want = by_hand(rows, 2)
+    assert got == want and 50 < sum(i == c for i, c in want.items()) < 250
+    # Those before were measured against the smallest ids of their buckets.
+    assert sum(compared[1:]) < 5 * len(rows)
+
+
+def test_parities_differ_in_no_more_places_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 150, 3000):
+        e = np.unique(rng.integers(0, 2**63, 3 * n).astype(np.uint64))
+        for shift in (1, n // 7, n):
+            x, y = e[: 2 * n], e[shift : 2 * n + shift]
+            differ = sum(bin(v).count("1") for v in (parities(x) ^ parities(y)).view(np.uint64).tolist())
+            most = len(np.setxor1d(x, y))
+            assert differ <= most and (most - differ) % 2 == 0
+            if most < 64:
+                assert differ >= 0.8 * most
+        assert not parities(x[:0]).any()
