@@ -5,8 +5,9 @@ lines shrink to one each; the SimHash of its words has 64 bits in blocks, and li
 choice of ``agree`` blocks, which finds all that differ in so few bits that as many blocks are left. An
 edit in a line of few words changes more bits than that, so the words have pigeonhole blocks of their
 own: the first and the second half, of which an edit in one place leaves the other as it was. Joined
-lines whose lengths allow it and whose SimHashes differ in at most ``bits`` bits, far more than an edit
-changes and fewer than unrelated lines do, are compared; their edit similarity alone decides. Of each
+lines whose lengths and, after the first round, letters allow it and whose SimHashes differ in at most
+``bits`` bits, far more than an edit changes and fewer than unrelated lines do, are compared; their edit
+similarity alone decides. Of each
 connected group of lines, and of each repeated line, the occurrence in the smallest (id, position) is
 kept.
 
@@ -34,6 +35,8 @@ BITS = 64
 #: Words that one sum of eight counters goes over, a byte each; the highest has the sign of the sum.
 CHUNK = 127
 LANES = sum(1 << 8 * i for i in range(8))
+#: Characters that are counted one by one; all others are one kind.
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
 
 
 @dataclass(frozen=True)
@@ -129,6 +132,12 @@ def with_edits(pairs: DataFrame) -> DataFrame:
     return out.select(*pairs.columns, F.when(within, F.col("_edits") + F.col("_alone")).otherwise(-1).alias("edits"))
 
 
+def letters(norm: Column) -> Column:
+    """How often a normalised line has each of ``LETTERS``, and any other character."""
+    counts = [F.length(norm) - F.length(F.translate(norm, c, "")) for c in LETTERS]
+    return F.array(*counts, F.length(F.translate(norm, LETTERS, "")))
+
+
 def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """Links between different lines ``id, norm, simhash``, enough for their groups."""
     # A line's words come out of a one-element generator: each key would split the line again.
@@ -142,7 +151,7 @@ def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
         return near & (F.least(x + "chars", y + "chars") >= fuzzy.similarity * F.greatest(x + "chars", y + "chars"))
 
     def contents(ids: DataFrame) -> DataFrame:
-        return distinct.select("id", "norm").hint("merge").join(ids, "id", "left_semi")
+        return distinct.select("id", "norm").hint("merge").join(ids, "id", "left_semi").withColumn("letters", letters(F.col("norm")))
 
     def compare(pairs: DataFrame) -> DataFrame:
         most = F.floor((1 - fuzzy.similarity) * F.greatest(F.length("x_norm"), F.length("y_norm")) + 1e-9).cast("int")
@@ -150,7 +159,13 @@ def links_of(distinct: DataFrame, fuzzy: Fuzzy) -> DataFrame:
         # The similarity is no metric: it rules out no pair by what is known of two others.
         return with_edits(both.drop("x_norm", "y_norm")).withColumns({"dist": F.lit(0.0), "linked": F.col("edits") >= 0})
 
-    return link_buckets(members, details, contents, compare, 0.0, may)
+    def close(x: str, y: str) -> Column:
+        """Each edit takes one character away at most and adds one at most."""
+        kinds = [[F.get(w + "letters", F.lit(i)) for w in (x, y)] for i in range(len(LETTERS) + 1)]
+        most = F.floor((1 - fuzzy.similarity) * F.greatest(x + "chars", y + "chars") + 1e-9)
+        return F.greatest(*(sum((F.greatest(a - b, F.lit(0)) for a, b in way), F.lit(0)) for way in (kinds, [k[::-1] for k in kinds]))) <= most
+
+    return link_buckets(members, details, contents, compare, 0.0, may, ("letters",), close)
 
 
 def dedup_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), key: str = "doc_id", text: str = "text") -> DataFrame:

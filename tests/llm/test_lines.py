@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lineferry.llm import common
 from lineferry.llm import lines as lines_module
-from lineferry.llm.lines import Fuzzy, dedup_lines, links_of, with_edits, with_simhash
+from lineferry.llm.lines import Fuzzy, dedup_lines, letters, links_of, with_edits, with_simhash
 
 
 def edits(a, b):
@@ -180,3 +180,40 @@ def test_a_line_has_its_words_split_once_and_its_keys_travel_alone(spark, monkey
     assert {tuple(r) for r in links.distinct().collect()} == {(1, 2)}
     assert written[0].columns == ["key", "id"]
     assert written[0]._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_lines_of_other_letters_are_not_compared_one_by_one(spark, monkeypatch):
+    rng, compared, plain = random.Random(4), [], lines_module.link_buckets
+
+    def counting(members, details, contents, compare, *more):
+        def counted(pairs):
+            compared.append(pairs.count())
+            return compare(pairs)
+
+        return plain(members, details, contents, counted, *more)
+
+    monkeypatch.setattr(lines_module, "link_buckets", counting)
+    head, rows = "what every line of this group begins with", []
+    for i in range(150):
+        few = rng.sample("bcdfghjklmnpqrstvwxyz", 5)
+        tail = " ".join("".join(rng.choice(few) for _ in range(5)) for _ in range(8))
+        rows.append((i, f"{head} {tail}"))
+    rows += [(1000 + i, t[:-1] + "e") for i, t in rows[:20]]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {i for i, _ in rows if i >= 1000}
+    # Those before were measured against the smallest ids of their buckets.
+    assert sum(compared[1:]) < 5 * len(rows)
+
+
+def test_letters_rule_out_no_line_within_the_edits(spark):
+    rng, rows = random.Random(6), []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdeé字0 ") for _ in range(rng.randint(5, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "é", "7", " "])
+        rows.append((a, "".join(b), edits(a, "".join(b))))
+    found = spark.createDataFrame(rows, "a string, b string, edits int").select("edits", *(letters(F.col(c)).alias(c) for c in "ab")).collect()
+    for r in found:
+        assert max(sum(max(0, x - y) for x, y in zip(*way, strict=True)) for way in ((r.a, r.b), (r.b, r.a))) <= r.edits
