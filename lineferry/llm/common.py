@@ -15,7 +15,7 @@ from lineferry import session
 from lineferry.session import configure, drop
 
 __all__ = [
-    "Hashes", "arrow_map", "components", "link_buckets", "materialize", "mix", "named", "prepare", "read", "shingles", "unused", "words",
+    "Hashes", "arrow_map", "components", "link_buckets", "materialize", "mix", "named", "prepare", "read", "shingles", "unused", "word_hashes", "words",
 ]
 
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short rather than wide.
@@ -100,6 +100,32 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+#: Bytes by their small letter, and those that separate words.
+SMALL = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, as in :class:`Hashes`, of the :func:`words` of all texts, and where those of each text end; distinct words are hashed once."""
+    filled = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = filled.buffers()
+    at = np.frombuffer(offsets, np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    said = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    inside = ~BLANK[said]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = at[:-1][at[:-1] < len(said)]
+    first[begins] = inside[begins]
+    # Words one behind the other, without the blanks.
+    bare = SMALL[said[inside]]
+    cuts = np.r_[np.flatnonzero(first[inside]), len(bare)]
+    each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(bare)]).dictionary_encode()
+    distinct = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return hashes[each.indices.to_numpy()], np.r_[0, np.cumsum(first)][at[1:]]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -11,13 +11,15 @@ edits, and a passage counts if it is long enough and its shingle sets are simila
 
 A window's bucket is its smallest shingle with the run of ``RUN`` words that starts or ends there:
 of any passage of ``min_words`` at least one of the two lies inside. Of a bucket, which a third of
-all documents may share, each document is compared with the smallest one alone. Then the words at
-which the two texts part are known, and a passage that the other documents have among themselves
-either lies within what is shared with the smallest one or goes on where they part, in the same way;
-so their windows are dealt into new buckets by where and how they part, without the smallest
-document, until no bucket holds two documents. Equal passages are all found this way, whatever the sizes of the buckets.
-Every anchor is followed over edits, those first that enough hash functions agree on; edited passages
-are found with high probability. Documents with equal texts are compared once, by the smallest of them.
+all documents may share, each document is compared with the smallest one alone. What the other documents of
+a bucket share among themselves, and not with the smallest, is looked for once more, by whole runs
+of words: each run of ``min_words`` around the windows that were compared, and each of half as many,
+is a key, and a document is compared with the smallest one that has the same run, unless the passages
+found hold the run already. Every equal passage of ``min_words`` lies in a found one then, whatever the sizes of
+the buckets, and documents are compared twice, not once for each member of a bucket.
+Every anchor is followed over edits, those first that enough hash functions agree on, unless all that could
+be found around it has been; edited passages are found with high probability. A passage that lies in another one found for its
+document need not be told again with each further source or place that has it. Documents with equal texts are compared once, by the smallest of them.
 
 Null and empty texts have no passages. Passages within one document don't count, nor do those of
 rows of one id among themselves: of such rows the text of the smallest digest is compared. Rows with a null id are
@@ -34,10 +36,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineferry.llm.common import Hashes, arrow_map, drop, materialize, mix, named, shingles, unused, words
+from lineferry.llm.common import Hashes, arrow_map, drop, materialize, mix, named, shingles, unused, word_hashes, words
 
 #: What separates words, as in :func:`common.words`.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +48,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDIT, SURE = 16, 3
 #: Words of a bucket's run: one word changed in the middle of the shortest passage leaves one before or behind each other place.
 RUN = 12
+#: Bytes of texts whose windows are made at once.
+PART = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -63,36 +68,56 @@ class Passage:
 
 
 def compact_windows(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows (l, c, r) of the Cartesian tree's nodes that span at least ``width`` positions.
+    """Rows (l, c, r) of the Cartesian tree's nodes that span at least ``width`` positions."""
+    return all_windows(values, np.array([0]), np.array([len(values)]), width)
+
+
+def all_windows(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """:func:`compact_windows` of the stretches ``starts`` to ``ends`` of ``values``, which follow one another; by places in ``values``.
 
     A node spans ``width`` positions exactly if it is the first smallest of some run of so many, and
-    the node that bounds it on either side spans more than it does. So the minima of all such runs
-    are taken first, and the tree is built over them alone.
+    the node that bounds it on either side spans more than it does. So the first minima of all such runs
+    are taken first, and the trees are built over them alone.
     """
-    n = len(values)
-    if n < width:
+    long = ends - starts >= width
+    starts, ends = starts[long], ends[long]
+    if not len(starts):
         return np.empty((0, 3), np.int64)
     # Smallest of each run: the smaller of a suffix minimum and a prefix minimum of blocks.
-    blocks = -(-n // width) * width
-    padded = np.full(blocks, np.iinfo(np.uint64).max, np.uint64)
+    n = int(ends[-1])
+    values = values[:n]
+    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = values
     grid = padded.reshape(-1, width)
     left = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     right = np.minimum.accumulate(grid, axis=1).ravel()
     low = np.minimum(left[: n - width + 1], right[width - 1 : n])
-    change = np.ones(len(low), bool)
-    np.not_equal(low[1:], low[:-1], out=change[1:])
-    spots = np.flatnonzero(np.isin(values, low[change]))
-    at, val = spots.tolist(), values[spots].tolist()
-    out, stack = [], []  # stack: (position, value, left end), values growing
-    for p, v in zip([*at, n], [*val, -1], strict=True):
-        start = stack[-1][0] + 1 if stack else 0
-        while stack and stack[-1][1] > v:
-            c, _, lo = stack.pop()
-            if p - lo >= width:
-                out.append((lo, c, p - 1))
-            start = lo
-        stack.append((p, v, start))
+    # Where a run's first minimum is not that of the run before: it comes in behind, or the other falls out before.
+    step = np.zeros(n - width + 2, np.int8)
+    np.add.at(step, starts + 1, 1)
+    np.add.at(step, ends - width + 1, -1)
+    later = np.cumsum(step[: n - width + 1], dtype=np.int8)[1:] > 0
+    fresh = np.flatnonzero(later & (low[1:] < low[:-1])) + width
+    fallen = np.flatnonzero(later & (values[: n - width] == low[:-1])) + 1
+    seek = np.r_[starts, fallen]
+    first = seek + np.lib.stride_tricks.sliding_window_view(values, width)[seek].argmin(1)
+    spot = np.zeros(n, bool)
+    spot[fresh] = spot[first] = True
+    spots = np.flatnonzero(spot)
+    at, val, out = spots.tolist(), values[spots].tolist(), []
+    bounds = zip(starts.tolist(), ends.tolist(), np.searchsorted(spots, starts).tolist(), np.searchsorted(spots, ends).tolist(), strict=True)
+    for lo_end, hi_end, i, j in bounds:
+        stack: list[tuple[int, int, int]] = []  # (position, value, left end), values growing
+        for p, v in zip(at[i:j], val[i:j], strict=True):
+            start = stack[-1][0] + 1 if stack else lo_end
+            while stack and stack[-1][1] > v:
+                c, _, start = stack.pop()
+                if p - start >= width:
+                    out += (start, c, p - 1)
+            stack.append((p, v, start))
+        for c, _, start in stack:
+            if hi_end - start >= width:
+                out += (start, c, hi_end - 1)
     return np.array(out, np.int64).reshape(-1, 3)
 
 
@@ -107,37 +132,49 @@ def runs(grams: np.ndarray, size: int, length: int) -> np.ndarray:
     return mix(out)
 
 
-def run_keys(run: np.ndarray, at: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs that start at, and that end with, the shingles ``at``; 0 beyond the text's ends."""
-    n = len(run)
-    if not n:
+def run_keys(run: np.ndarray, at: np.ndarray, ahead: np.ndarray, back: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs that start at, and that end with, the shingles ``at``; 0 where the text has none there, as ``ahead`` and ``back`` tell."""
+    if not len(run):
         return np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    ahead = np.where(at < n, run[np.minimum(at, n - 1)], 0)
-    back = np.where(at >= far, ~run[np.maximum(at - far, 0)], 0)
-    return ahead.view(np.int64), back.view(np.int64)
+    on = np.where(ahead, run[np.minimum(at, len(run) - 1)], 0)
+    off = np.where(back, ~run[np.clip(at - far, 0, len(run) - 1)], 0)
+    return on.view(np.int64), off.view(np.int64)
+
+
+def parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in pieces of about ``PART`` bytes, one text at least, each with its first row: what is made of a piece has its size."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // PART)) + 1).tolist(), len(texts)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield i, texts.slice(i, j - i)
 
 
 def windows(docs: DataFrame, passage: Passage) -> DataFrame:
     """``hash_no, ahead, back, doc, l, c, r`` of ``docs(doc, text)``."""
+    length = min(RUN, passage.min_words // 2)
+    far = length - passage.size
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = Hashes()
         for batch in batches:
-            parts = []
-            for row, t in enumerate(batch.column(1).to_pylist()):
-                grams = shingles(known.of(words(t)), passage.size)
-                length = min(RUN, passage.min_words // 2)
-                run = runs(grams, passage.size, length) if len(grams) >= passage.width else grams[:0]
-                for h in range(passage.hashes if len(grams) >= passage.width else 0):
-                    found = compact_windows(mix(grams + np.uint64((h + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), passage.width)
-                    ahead, back = run_keys(run, found[:, 1], length - passage.size)
-                    parts.append(np.column_stack([np.full(len(found), row), np.full(len(found), h), ahead, back, found]))
-            all_ = np.concatenate(parts) if parts else np.empty((0, 7), np.int64)
-            yield {
-                "hash_no": pa.array(all_[:, 1], pa.int32()), "ahead": pa.array(all_[:, 2]), "back": pa.array(all_[:, 3]),
-                "doc": batch.column(0).take(pa.array(all_[:, 0])),
-                "l": pa.array(all_[:, 4], pa.int32()), "c": pa.array(all_[:, 5], pa.int32()), "r": pa.array(all_[:, 6], pa.int32()),
-            }
+            for row, texts in parts(batch.column(1)):
+                hashes, ends = word_hashes(texts)
+                starts = np.r_[0, ends[:-1]]
+                # Shingles of the whole piece; a text's own are those that end in it.
+                grams = shingles(hashes, passage.size) if len(hashes) >= passage.min_words else hashes[:0]
+                run = runs(grams, passage.size, length)
+                made = []
+                for h in range(passage.hashes if len(grams) else 0):
+                    found = all_windows(mix(grams + np.uint64((h + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), starts, ends - passage.size + 1, passage.width)
+                    of = np.searchsorted(ends, found[:, 1], "right")
+                    c, n = found[:, 1] - starts[of], ends[of] - starts[of]
+                    ahead, back = run_keys(run, found[:, 1], c + length <= n, c >= far, far)
+                    made.append(np.column_stack([of + row, np.full(len(found), h), ahead, back, found - starts[of][:, None]]))
+                all_ = np.concatenate(made) if made else np.empty((0, 7), np.int64)
+                yield {
+                    "hash_no": pa.array(all_[:, 1], pa.int32()), "ahead": pa.array(all_[:, 2]), "back": pa.array(all_[:, 3]),
+                    "doc": batch.column(0).take(pa.array(all_[:, 0])),
+                    "l": pa.array(all_[:, 4], pa.int32()), "c": pa.array(all_[:, 5], pa.int32()), "r": pa.array(all_[:, 6], pa.int32()),
+                }
 
     kind = docs.schema["doc"].dataType.simpleString()
     return arrow_map(docs.select("doc", "text"), make, f"hash_no int, ahead bigint, back bigint, doc {kind}, l int, c int, r int")
@@ -149,11 +186,13 @@ def windows(docs: DataFrame, passage: Passage) -> DataFrame:
 class Pair:
     """Two texts as shingles, with the equal runs between them that have been looked at."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, order: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, y: np.ndarray):
         self.x, self.y = x, y
-        #: Places of y by shingle.
-        self.order = np.argsort(y, kind="stable") if order is None else order
+        #: Places of y by shingle, when asked for.
+        self.order: np.ndarray | None = None
         self.known: dict[int, list[tuple[int, int]]] = {}
+        #: Where texts part for good: place in y, reach, and the shingles of x up to there.
+        self.ends: set[tuple[int, int, bytes]] = set()
 
     def run(self, i: int, j: int) -> tuple[int, int]:
         """Start and end, in x, of the equal run around the equal shingles at i, j."""
@@ -167,6 +206,8 @@ class Pair:
 
     def places(self, i: int) -> np.ndarray:
         """Where y has the shingle i of x."""
+        if self.order is None:
+            self.order = np.argsort(self.y, kind="stable")
         lo, hi = (np.searchsorted(self.y, self.x[i], side, sorter=self.order) for side in ("left", "right"))
         return self.order[lo:hi]
 
@@ -174,11 +215,22 @@ class Pair:
         """Equal runs (place in x, in y, length) that follow one another over edits, around i, j."""
         lo, hi = self.run(i, j)
         shift, matched = j - i, hi - lo
-        ahead = resumed(self.x[hi:], self.y[hi + shift :], matched)
-        back = resumed(self.x[:lo][::-1], self.y[: lo + shift][::-1], matched)
+        ahead = self.beyond(self.x[hi:], self.y[hi + shift :], matched, hi + shift)
+        back = self.beyond(self.x[:lo][::-1], self.y[: lo + shift][::-1], matched, ~(lo + shift))
         left = [(lo - p - n, lo + shift - q - n, n) for p, q, n in back]
         return [*left[::-1], (lo, lo + shift, matched), *((hi + p, hi + shift + q, n) for p, q, n in ahead)]
 
+    def beyond(self, x: np.ndarray, y: np.ndarray, matched: int, place: int) -> list[tuple[int, int, int]]:
+        """:func:`resumed`, once for all places of x with the same shingles ahead: repeated words have many."""
+        reach = EDIT + matched // 4
+        told = (place, reach, x[: reach + SURE].tobytes())
+        if told in self.ends:
+            return []
+        out = resumed(x, y, matched)
+        if not out:
+            self.ends.add(told)
+        return out
+
 
 def equal(x: np.ndarray, y: np.ndarray) -> int:
     """How many shingles are equal from the beginning on, looked at in growing pieces."""
@@ -201,14 +253,21 @@ def resumed(x: np.ndarray, y: np.ndarray, matched: int) -> list[tuple[int, int,
     """
     out, i, j = [], 0, 0
     while i < len(x) and j < len(y):
-        reach = EDIT + matched // 4
-        _, p, q = np.intersect1d(x[i : i + reach], y[j : j + reach], return_indices=True)
-        for n in np.argsort(p + q, kind="stable").tolist():
-            a, b = i + int(p[n]), j + int(q[n])
-            long = equal(x[a:], y[b:])
-            if long >= min(SURE, len(x) - a, len(y) - b):
-                break
-        else:
+        reach, near, least = EDIT + matched // 4, 2 * EDIT, 0
+        while True:
+            # What is nearest is looked for in a small part first. By shingle its first place, which is the last one written.
+            ours, theirs = (dict(zip(z[::-1].tolist(), range(len(z) - 1, -1, -1), strict=True)) for z in (x[i : i + min(near, reach)], y[j : j + min(near, reach)]))
+            most = near if near < reach else 2 * reach
+            for _, v in sorted((d, v) for v in ours.keys() & theirs.keys() if least <= (d := ours[v] + theirs[v]) < most):
+                a, b = i + ours[v], j + theirs[v]
+                long = equal(x[a:], y[b:])
+                if long >= min(SURE, len(x) - a, len(y) - b):
+                    break
+            else:
+                if near < reach:
+                    near, least = 4 * near, near
+                    continue
+                return out
             break
         out.append((a, b, long))
         i, j, matched = a + long, b + long, matched + long
@@ -249,12 +308,16 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int, bool]],
 
     Every anchor is followed over edits, those first that enough hash functions agree on; the shingle
     sets decide. Where an anchor is in no passage then, equal passages at other places of y that
-    have its shingle are looked for.
+    have its shingle are looked for. An anchor is not followed if passages found before hold every word
+    that a passage of ``min_words`` around it could.
     """
     pair = pair or Pair(x, y)
     out: list[tuple] = []
     done: set[tuple[int, int]] = set()
     covered = np.zeros(len(x), bool)
+    held = np.zeros(len(x) + passage.size - 1, bool)
+    elsewhere = None
+    before, behind = passage.width - 1, passage.min_words
 
     def keep(i0: int, i1: int, j0: int, j1: int) -> bool:
         if min(i1 - i0, j1 - j0) < passage.width:
@@ -265,23 +328,28 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int, bool]],
         if 100 * both < passage.percent * union:
             return False
         covered[i0:i1] = True
+        held[i0 : i1 + passage.size - 1] = True
         out.append((i0, i1 + passage.size - 1, j0, j1 + passage.size - 1, both / union))
         return True
 
     for i, j, _ in sorted(set(anchors), key=lambda a: (not a[2], a)):
-        if i >= len(x) or j >= len(y) or x[i] != y[j]:
+        if i >= len(x) or j >= len(y) or x[i] != y[j] or held[max(0, i - before) : i + behind].all():
             continue
         lo, _ = pair.run(i, j)
         if (lo, j - i) not in done:
             chain = pair.chain(i, j)
             done.update((p, q - p) for p, q, _ in chain)
-            for a, b in stretches(chain, passage.percent):
+            for a, b in stretches(chain, passage.percent) if len(chain) > 1 else [(0, 0)]:
                 first, last = chain[a], chain[b]
                 if not keep(first[0], last[0] + last[2], first[1], last[1] + last[2]) and a < b:
                     # Shingles that repeat count once in a set: the runs are left.
                     for p, q, n in chain[a : b + 1]:
                         keep(p, p + n, q, q + n)
-        if not covered[i]:
+        if not covered[i] and elsewhere is None:
+            mine = np.isin(runs(x, passage.size, passage.min_words), runs(y, passage.size, passage.min_words))
+            elsewhere = np.r_[0, np.cumsum(mine)]
+        # Only if a run of ``min_words`` that holds the anchor is in y at all.
+        if not covered[i] and elsewhere[min(max(0, i - before), len(elsewhere) - 1)] < elsewhere[min(i + 1, len(elsewhere) - 1)]:
             for at in pair.places(i).tolist():
                 lo, hi = pair.run(i, at)
                 if hi - lo >= passage.width and keep(lo, hi, lo + at - i, hi + at - i):
@@ -289,21 +357,30 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int, bool]],
     return out
 
 
-def partings(pair: Pair, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """For the equal shingles at ``places``: their place's number and a key of where and how x leaves y, behind and before."""
-    x, at, parts = pair.x, [], []
-    for n, (i, j) in enumerate(places):
-        if i >= len(x) or j >= len(pair.y) or x[i] != pair.y[j]:
-            continue
-        lo, hi = pair.run(i, j)
-        parts += [(i, hi - i, hi)] if hi < len(x) else []
-        parts += [(i, lo - i - 1, lo - 1)] if lo else []
-        at += [n] * (len(parts) - len(at))
-    if not parts:
-        return []
-    i, far, way = np.array(parts, np.int64).T
-    keys = mix(mix(x[i] + far.astype(np.uint64)) + x[way]).view(np.int64)
-    return list(zip(at, keys.tolist(), strict=True))
+def grams(x: np.ndarray, places: np.ndarray, found: list[tuple], passage: Passage) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of words around the shingles at ``places`` of x: key, length, start, and whether passages ``found`` hold all that could be in one.
+
+    They are all runs of ``min_words`` that hold one of the places, and of half as many, which an edit in the
+    middle leaves. A held run is looked for by other texts only, so one place of it is enough.
+    """
+    n = len(x) + passage.size - 1
+    depth = np.zeros(n + 1, np.int64)
+    for start, end, *_ in found:
+        depth[start] += 1
+        depth[end] -= 1
+    bare = np.r_[0, np.cumsum(np.cumsum(depth[:-1]) == 0)]
+    out = []
+    for length in (passage.min_words, max(passage.size, passage.min_words // 2 - 1)):
+        key = runs(x, passage.size, length).view(np.int64)
+        begun, done = (np.bincount(np.clip(p, 0, len(key)), minlength=len(key) + 1) for p in (places - (length - passage.size), places + 1))
+        at = np.flatnonzero(np.cumsum(begun - done)[:-1] > 0)
+        around = passage.min_words - length
+        held = bare[np.maximum(at - around, 0)] == bare[np.minimum(at + length + around, n)]
+        first = np.zeros(len(at), bool)
+        first[np.unique(key[at], return_index=True)[1]] = True
+        at, held = at[first | ~held], held[first | ~held]
+        out.append((key[at], np.full(len(at), length), at, held))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def agreeing(found: list[tuple], agree: int) -> list[bool]:
@@ -341,41 +418,67 @@ def agreeing(found: list[tuple], agree: int) -> list[bool]:
     return [len(v) >= agree for v in votes]
 
 
-def verify(pairs: DataFrame, asked: DataFrame, passage: Passage) -> DataFrame:
-    """What comparing ``pairs(doc, source, anchors)`` shows, given ``asked(doc, text)``: passages, and new keys of the windows.
+def meeting(windows: DataFrame, before: DataFrame) -> DataFrame:
+    """Pairs ``doc, source, anchors`` of ``windows(key, hash_no, doc, l, c, r, held)``: documents with the smallest one that has a key of theirs.
 
-    Rows of passages have ``similarity``, those of windows have ``key``. The pairs of one source come
+    Windows that are held already ask for nothing. The table ``before``, which the windows come from, is deleted when it has been read.
+    """
+    # Most keys are of one document: they are told apart by two numbers each before more is moved.
+    top = F.max(F.when(~F.col("held"), F.col("doc"))).alias("top")
+    shared = windows.groupBy("key").agg(F.min("doc").alias("source"), top).where("source < top").select("key", "source")
+    met = materialize(windows.join(shared.hint("merge"), "key").where("doc = source or not held"))
+    drop(before)
+    first = met.where("doc = source").groupBy("key").agg(F.min(F.struct("c", "l", "r")).alias("first"))
+    near = met.where("doc <> source").join(first.hint("merge"), "key").select("doc", "source", "hash_no", "l", "c", "r", F.col("first.l").alias("l2"), F.col("first.c").alias("c2"), F.col("first.r").alias("r2"))
+    # The windows of one document that meet those of another are at most its own.
+    anchors = F.collect_set(F.struct("hash_no", "l", "c", "r", "l2", "c2", "r2")).alias("anchors")
+    pairs = materialize(near.groupBy("doc", "source").agg(anchors))
+    drop(met)
+    return pairs
+
+
+def verify(pairs: DataFrame, asked: DataFrame, passage: Passage, further: bool = True) -> DataFrame:
+    """What comparing ``pairs(doc, source, anchors)`` shows, given ``asked(doc, text)``: passages, and runs of words around the anchors.
+
+    Rows of passages have ``similarity``, those of runs have ``key``. The pairs of one source come
     one after another, so a task makes a source's shingles once.
     """
     kind = asked.schema["doc"].dataType.simpleString()
     # Joins are told to exchange both sides: what could be broadcast here grows with the input.
     near = pairs.hint("merge").join(asked, "doc").hint("merge").join(asked.select(F.col("doc").alias("source"), F.col("text").alias("source_text")), "source")
     both = near.select("doc", "source", "anchors", "text", "source_text")
-    fields = ["doc", "source", "start", "words", "source_start", "source_words", "similarity", "key", "hash_no", "l", "c", "r"]
+    fields = ["doc", "source", "start", "words", "source_start", "source_words", "similarity", "key", "length", "c", "held"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known, last, y, order = Hashes(), None, None, None
+        known, last, y = Hashes(), None, None
         for batch in batches:
             rows: list[tuple] = []
+            near, of = [np.empty((0, 4), np.int64)], []
+            cuts, met = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            columns = {f.name: met.field(f.name).to_numpy() for f in met.type}
             for n in range(batch.num_rows):
-                doc, source, anchors, text, other = (c[n].as_py() for c in batch.columns)
+                source, text, other = (batch.column(c)[n].as_py() for c in (1, 3, 4))
                 if last is None or source != last:
                     last, y = source, shingles(known.of(words(other)), passage.size)
-                    order = np.argsort(y, kind="stable")
-                pair = Pair(shingles(known.of(words(text)), passage.size), y, order)
-                agreed = agreeing([(a["hash_no"], a["l"], a["r"], a["l2"], a["r2"]) for a in anchors], passage.agree)
-                found = verified(pair.x, y, [(a["c"], a["c2"], g) for a, g in zip(anchors, agreed, strict=True)], passage, pair)
-                rows += [(doc, source, a, b - a, c, d - c, s, None, None, None, None, None) for a, b, c, d, s in found]
-                parted = partings(pair, [(a["c"], a["c2"]) for a in anchors])
-                left = {(k, *(anchors[m][f] for f in ("hash_no", "l", "c", "r"))) for m, k in parted}
-                rows += [(doc, None, None, None, None, None, None, *w) for w in sorted(left)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            own = batch.column(0).type
-            kinds = [own, own, *[pa.int64()] * 4, pa.float64(), pa.int64(), *[pa.int32()] * 4]
-            yield dict(zip(fields, map(pa.array, map(list, columns), kinds), strict=True))
-
+                pair = Pair(shingles(known.of(words(text)), passage.size), y)
+                a = {f: v[cuts[n] : cuts[n + 1]] for f, v in columns.items()}
+                agreed = agreeing(list(zip(*(a[f].tolist() for f in ("hash_no", "l", "r", "l2", "r2")), strict=True)), passage.agree)
+                found = verified(pair.x, y, list(zip(a["c"].tolist(), a["c2"].tolist(), agreed, strict=True)), passage, pair)
+                rows += [(n, i, j - i, p, q - p, s) for i, j, p, q, s in found]
+                if further:
+                    near.append(np.column_stack(grams(pair.x, a["c"], found, passage)))
+                    of.append(np.full(len(near[-1]), n))
+            at, *proved = zip(*rows, strict=True) if rows else [()] * 6
+            doc, source = batch.column(0), batch.column(1)
+            yield dict(zip(fields, [doc.take(pa.array(at, pa.int64())), source.take(pa.array(at, pa.int64())), *map(pa.array, proved, kinds[:5]), *[pa.nulls(len(at), k) for k in kinds[5:]]], strict=True))
+            key, length, start, held = np.concatenate(near).T
+            at = pa.array(np.concatenate([[], *of]).astype(np.int64))
+            nothing = [pa.nulls(len(at), k) for k in kinds[:5]]
+            yield dict(zip(fields, [doc.take(at), pa.nulls(len(at), source.type), *nothing, *map(pa.array, (key, length.astype(np.int32), start.astype(np.int32), held.astype(bool)))], strict=True))
+
+    kinds = [*[pa.int64()] * 4, pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
     longs = ", ".join(f"{f} bigint" for f in fields[2:6])
-    return arrow_map(both, check, f"doc {kind}, source {kind}, {longs}, similarity double, key bigint, hash_no int, l int, c int, r int")
+    return arrow_map(both, check, f"doc {kind}, source {kind}, {longs}, similarity double, key bigint, length int, c int, held boolean")
 
 
 def digested(text: Column) -> Column:
@@ -399,39 +502,23 @@ def repeated(docs: DataFrame, passage: Passage = Passage(), key: str = "doc_id",
     drop(marks)
     texts = texts.join(gone, ["doc", "digest"], "left_anti").select("doc", "text")
     found = materialize(windows(texts, passage))
-    left = found.select(F.explode(F.array("ahead", "back")).alias("key"), "hash_no", "doc", "l", "c", "r").where("key <> 0")
-
     whole = copies.where(F.col("words") >= passage.min_words)
     zero = F.lit(0).cast("bigint")
     out = whole.select("doc", "source", zero.alias("start"), "words", zero.alias("source_start"), F.col("words").alias("source_words"), F.lit(1.0).alias("similarity"))
-    asked, before = None, [found]
-    while True:
-        # Most keys are of one document: they are told apart by two numbers each before more is moved.
-        shared = left.groupBy("key").agg(F.min("doc").alias("source"), F.max("doc").alias("top")).where("source < top").select("key", "source")
-        met = materialize(left.join(shared.hint("merge"), "key"))
-        for table in before:
-            drop(table)
-        if met.isEmpty():
-            drop(met)
-            break
-        first = met.where("doc = source").groupBy("key").agg(F.min(F.struct("c", "l", "r")).alias("first"))
-        near = met.where("doc <> source").join(first.hint("merge"), "key").select("doc", "source", "hash_no", "l", "c", "r", F.col("first.l").alias("l2"), F.col("first.c").alias("c2"), F.col("first.r").alias("r2"))
-        # The windows of one document that meet those of another are at most its own.
-        anchors = F.collect_set(F.struct("hash_no", "l", "c", "r", "l2", "c2", "r2")).alias("anchors")
-        pairs = materialize(near.groupBy("doc", "source").agg(anchors))
-        drop(met)
-        if asked is None:
-            # Later rounds ask for texts of these documents alone.
-            ids = pairs.select("doc").unionByName(pairs.select(F.col("source").alias("doc"))).distinct()
-            asked = materialize(texts.join(ids.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
-        shown = materialize(verify(pairs, asked, passage))
+    pairs = meeting(found.select(F.explode(F.array("ahead", "back")).alias("key"), "hash_no", "doc", "l", "c", "r", F.lit(False).alias("held")).where("key <> 0"), found)
+    ids = pairs.select("doc").unionByName(pairs.select(F.col("source").alias("doc"))).distinct()
+    asked = materialize(texts.join(ids.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
+    drop(gone)
+    for further in (True, False):
+        shown = materialize(verify(pairs, asked, passage, further))
         drop(pairs)
-        proved = materialize(shown.where("similarity is not null").drop("key", "hash_no", "l", "c", "r"))
-        out = out.unionByName(proved)
-        left, before = shown.where("key is not null").select("key", "hash_no", "doc", "l", "c", "r"), [shown]
-    for table in (asked, gone):
-        if table is not None:
-            drop(table)
+        out = out.unionByName(materialize(shown.where("similarity is not null").select(*out.columns)))
+        if further:
+            runs_ = shown.where("key is not null").select("key", F.col("length").alias("hash_no"), "doc", F.col("c").alias("l"), "c", F.expr(f"int(c + length - {passage.size})").alias("r"), "held")
+            pairs = meeting(runs_, shown)
+        else:
+            drop(shown)
+    drop(asked)
     return out.join(own.select("doc", "digest").hint("merge"), "doc")
 
 

@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lineferry.llm.common import Hashes, shingles, words
-from lineferry.llm.passages import Passage, agreeing, compact_windows, repeated, verified, without_passages
+from lineferry.llm import passages
+from lineferry.llm.common import Hashes, shingles, word_hashes, words
+from lineferry.llm.passages import Passage, agreeing, all_windows, compact_windows, repeated, resumed, verified, without_passages
 
 
 def plain_windows(values, width):
@@ -211,3 +213,73 @@ def test_other_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame([(1, p), (2, "a " + p), (2, other)], "doc_id int, text string")
     got = {r.text for r in without_passages(docs, repeated(docs)).collect() if r.doc_id == 2}
     assert other in got and got <= {other, "a", "a " + p}
+
+
+@pytest.mark.parametrize("top", [4, 2**63])
+def test_windows_of_many_stretches(top):
+    rng = np.random.default_rng(2)
+    for width in (1, 4, 46):
+        ends = np.cumsum(rng.integers(0, 150, 30))
+        starts, stops = np.r_[0, ends[:-1]], np.maximum(np.r_[0, ends[:-1]], ends - 4)
+        v = rng.integers(0, top, int(ends[-1])).astype(np.uint64)
+        want = [tuple(a + i for i in w) for a, b in zip(starts.tolist(), stops.tolist(), strict=True) for w in plain_windows(v[a:b].tolist(), width)]
+        assert sorted(map(tuple, all_windows(v, starts, stops, width).tolist())) == sorted(want)
+
+
+def test_hashes_of_many_texts():
+    texts = ["left out", "  a b  C\td\n", None, "", "É x y z Ü", "\x0b\x0cq\x1cw r", "one", " "]
+    hashes, ends = word_hashes(pa.array(texts).slice(1))
+    assert [h.tolist() for h in np.split(hashes, ends[:-1])] == [Hashes().of(words(t)).tolist() for t in texts[1:]]
+
+
+def plain_resumed(x, y, matched):
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        reach = passages.EDIT + matched // 4
+        _, p, q = np.intersect1d(x[i : i + reach], y[j : j + reach], return_indices=True)
+        for n in np.argsort(p + q, kind="stable").tolist():
+            a, b = i + int(p[n]), j + int(q[n])
+            long = next((k for k, (v, w) in enumerate(zip(x[a:], y[b:], strict=False)) if v != w), min(len(x) - a, len(y) - b))
+            if long >= min(passages.SURE, len(x) - a, len(y) - b):
+                break
+        else:
+            break
+        out.append((a, b, long))
+        i, j, matched = a + long, b + long, matched + long
+    return out
+
+
+def test_resuming_by_definition():
+    rng = np.random.default_rng(3)
+    for n in range(400):
+        x, y = (rng.integers(0, (4, 40, 400)[n % 3], rng.integers(0, 300)).astype(np.uint64) for _ in range(2))
+        if n % 2:
+            y = np.r_[rng.integers(500, 600, rng.integers(0, 90)).astype(np.uint64), x[rng.random(len(x)) < 0.9]]
+        assert resumed(x, y, 40 * (n % 20)) == plain_resumed(x, y, 40 * (n % 20))
+
+
+def test_rounds_do_not_grow_with_a_bucket(spark, monkeypatch):
+    """Documents that say one word more and more often, and near copies of a text: compared twice, and all that is repeated is found."""
+    rng, tables = random.Random(15), []
+    materialize = passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df: tables.append(df) or materialize(df))
+    rows = [(i, " ".join(text(rng, 30, 20000) + ["and"] * (20 + 4 * i) + text(rng, 30, 20000))) for i in range(24)]
+    base = text(rng, 200, 20000)
+    rows += [(100 + i, " ".join(w if rng.random() > 0.04 else f"z{rng.randrange(9**9)}" for w in base)) for i in range(24)]
+    found = repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(tables) <= 16
+    got = {}
+    for r in found:
+        got.setdefault(r.doc, set()).update(range(r.start, r.start + r.words))
+    for i, w in plain_repeated(rows, Passage()).items():
+        assert w <= got[i]
+
+
+def test_source_that_is_held_by_another(spark):
+    """A passage that an edited one holds in its source is still found for a text in which none does."""
+    rng = random.Random(16)
+    p, ahead, behind = text(rng, 50, 20000), text(rng, 150, 20000), text(rng, 150, 20000)
+    edited = [*p[:14], "e1", *p[15:32], "e2", *p[33:]]
+    rows = [(1, " ".join(ahead + edited + behind)), (2, " ".join(ahead + p + behind)), (3, " ".join(text(rng, 90, 20000) + p + text(rng, 90, 20000)))]
+    found = repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc, r.source) for r in found} == {(2, 1), (3, 2)}
