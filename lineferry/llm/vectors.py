@@ -31,6 +31,8 @@ SHARD, CENTRES = 2048, 64
 SAMPLE = 1024
 #: Neighbours of a vector in one shard, candidates they are pruned from, pruning slack, beam of the search.
 DEGREE, CANDIDATES, SLACK, BEAM = 16, 48, 1.2, 32
+#: Bytes that one step of a search, or of verifying what it found, works on at once.
+WORK = 32 << 20
 #: Vectors that the audit compares with all others.
 AUDIT = 256
 
@@ -117,37 +119,61 @@ def neighbours(rows: pd.DataFrame) -> pd.DataFrame:
     """A shard's pruned graph with its reverse edges."""
     x = unit(matrix(rows["vector"]))
     ids, n = rows["id"].to_numpy(), len(rows)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2)
     k = min(CANDIDATES, n - 1)
     lists: list[set[int]] = [set() for _ in range(n)]
-    near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    np.fill_diagonal(sims, 1)
-    for i in range(n):
-        for j in robust_prune(near[i], sims[np.ix_(np.r_[i, near[i]], near[i])]) if k else []:
-            lists[i].add(j)
-            if len(lists[j]) < 2 * DEGREE:
-                lists[j].add(i)
+    step = max(1, SHARD * SHARD // n)
+    for at in range(0, n if k else 0, step):
+        # Rows of similarities with all others, as many as a full shard's at once.
+        sims = x[at : at + step] @ x.T
+        sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
+        near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        for i, own in enumerate(near, at):
+            among = x[own] @ x[own].T
+            np.fill_diagonal(among, 1)
+            for j in robust_prune(own, np.vstack([sims[i - at, own], among])):
+                lists[i].add(j)
+                if len(lists[j]) < 2 * DEGREE:
+                    lists[j].add(i)
     return pd.DataFrame({"id": ids, "out": [ids[sorted(s)].tolist() for s in lists]})
 
 
-def search(ids: np.ndarray, raw: np.ndarray, edges: np.ndarray, least: float) -> list[tuple]:
-    """Pairs with cosine >= ``least`` that searches from the medoid find for every vector.
+def search(ids: np.ndarray, raw: np.ndarray, edges: np.ndarray, least: float) -> pd.DataFrame:
+    """Pairs ``a, b`` with cosine >= ``least`` that searches from the medoid find for every vector.
 
-    ``edges`` holds each vector's neighbours by position, -1 behind the last. All searches take
-    their steps together.
+    ``edges`` holds each vector's neighbours by position, -1 behind the last. Searches take their steps
+    together, as many as ``WORK`` allows; so do the vectors in range that are gone on from, and the pairs
+    that are verified, of which a shard of near copies has as many as the square of its size.
     """
     x = unit(raw)
-    n = len(x)
-    mean = x.mean(0)
-    medoid = int((x @ mean).argmax())
-    seen, found = np.zeros((n, n), bool), np.zeros((n, n), bool)
-    beam = np.full((n, BEAM), -1)
-    score = np.full((n, BEAM), -np.inf)
-    done = np.ones((n, BEAM), bool)
-    beam[:, 0], score[:, 0], done[:, 0], seen[:, medoid] = medoid, x @ x[medoid], False, True
-    found[:, medoid] = score[:, 0] >= least - 1e-9
-    active = np.arange(n)
+    n, (degree, size) = len(x), (edges.shape[1], x.shape[1])
+    medoid = int((x @ x.mean(0)).argmax())
+    found = np.zeros((n, n), bool)
+    together = max(1, WORK // max(n, 8 * (BEAM + degree), 8 * degree * size))
+    for at in range(0, n, together):
+        _reach(x, edges, medoid, np.arange(at, min(n, at + together)), found, least)
+    found |= found.T
+    out, step = [], max(1, together, WORK // max(n, 32 * size))
+    for at in range(0, n, rows := max(1, step // n)):
+        a, b = np.nonzero(found[at : at + rows])
+        a += at
+        a, b = a[ids[a] < ids[b]], b[ids[a] < ids[b]]
+        sure = [np.empty(0, bool), *(cosine(raw[a[i : i + step]], raw[b[i : i + step]]) >= least for i in range(0, len(a), step))]
+        sure = np.concatenate(sure)
+        out.append(np.stack([ids[a[sure]], ids[b[sure]]], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+
+def _reach(x: np.ndarray, edges: np.ndarray, medoid: int, asked: np.ndarray, found: np.ndarray, least: float) -> None:
+    """Marks in ``found`` what the searches for the vectors ``asked`` find."""
+    n, m = len(x), len(asked)
+    y, got = x[asked], found[asked[0] : asked[-1] + 1]
+    seen = np.zeros((m, n), bool)
+    beam = np.full((m, BEAM), -1)
+    score = np.full((m, BEAM), -np.inf)
+    done = np.ones((m, BEAM), bool)
+    beam[:, 0], score[:, 0], done[:, 0], seen[:, medoid] = medoid, y @ x[medoid], False, True
+    got[:, medoid] = score[:, 0] >= least - 1e-9
+    active = np.arange(m)
     while len(active):
         open_scores = np.where(done[active], -np.inf, score[active])
         at = open_scores.argmax(1)
@@ -157,29 +183,35 @@ def search(ids: np.ndarray, raw: np.ndarray, edges: np.ndarray, least: float) ->
         done[active, at] = True
         next_ = edges[beam[active, at]]
         fresh = (next_ >= 0) & ~seen[active[:, None], next_]
-        sims = np.where(fresh, np.einsum("qrd,qd->qr", x[next_], x[active]), -np.inf)
+        sims = np.where(fresh, np.einsum("qrd,qd->qr", x[next_], y[active]), -np.inf)
         q, r = np.nonzero(fresh)
         seen[active[q], next_[q, r]] = True
         hit = sims[q, r] >= least - 1e-9
-        found[active[q[hit]], next_[q[hit], r[hit]]] = True
+        got[active[q[hit]], next_[q[hit], r[hit]]] = True
         ids_, all_, closed = (np.concatenate(p, axis=1) for p in ((beam[active], next_), (score[active], sims), (done[active], ~fresh)))
         best = np.argsort(-all_, axis=1, kind="stable")[:, :BEAM]
         rows = np.arange(len(active))[:, None]
         beam[active], score[active], done[active] = ids_[rows, best], all_[rows, best], closed[rows, best]
     # From every vector in range to its neighbours, as long as more come into range.
-    q, v = np.nonzero(found)
-    while len(q):
-        next_ = edges[v]
-        p, r = np.nonzero((next_ >= 0) & ~seen[q[:, None], next_])
-        new = np.unique(np.stack([q[p], next_[p, r]]), axis=1)
-        seen[new[0], new[1]] = True
-        hit = np.einsum("ij,ij->i", x[new[0]], x[new[1]]) >= least - 1e-9
-        q, v = new[:, hit]
-        found[q, v] = True
-    a, b = np.nonzero(found | found.T)
-    a, b = a[ids[a] < ids[b]], b[ids[a] < ids[b]]
-    sure = cosine(raw[a], raw[b]) >= least
-    return list(zip(ids[a[sure]].tolist(), ids[b[sure]].tolist(), strict=True))
+    step = max(1, WORK // (8 * max(edges.shape[1], 1) * 4))
+    todo = [np.flatnonzero(got)]
+    while todo:
+        part = todo.pop()
+        if len(part) > step:
+            todo.append(part[step:])
+            part = part[:step]
+        next_ = edges[part % n]
+        from_ = np.broadcast_to((part // n)[:, None], next_.shape)
+        fresh = (next_ >= 0) & ~seen[from_, next_]
+        new = np.unique(from_[fresh] * n + next_[fresh])
+        seen.ravel()[new] = True
+        near = max(1, WORK // (32 * x.shape[1]))
+        for at in range(0, len(new), near):
+            pairs = new[at : at + near]
+            pairs = pairs[np.einsum("ij,ij->i", y[pairs // n], x[pairs % n]) >= least - 1e-9]
+            if len(pairs):
+                got.ravel()[pairs] = True
+                todo.append(pairs)
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -202,7 +234,7 @@ def links_of(nodes: DataFrame, least: float) -> DataFrame:
         edges = np.full((len(ids), max(1, *map(len, lists))), -1)
         for i, near in enumerate(lists):
             edges[i, : len(near)] = near
-        return pd.DataFrame(search(ids, matrix(rows["vector"]), edges, least), columns=["a", "b"]).astype(ids.dtype)
+        return search(ids, matrix(rows["vector"]), edges, least).astype(ids.dtype)
 
     found = placed.join(united, "id").groupBy("shard").applyInPandas(walk, f"a {kind}, b {kind}")
     return found.distinct()

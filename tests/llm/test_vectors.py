@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 
 from lineferry.llm import vectors as V
@@ -77,3 +79,29 @@ def test_pruning_keeps_the_nearest():
     for j in set(near.tolist()) - set(kept):
         if len(kept) < V.DEGREE:
             assert any(V.SLACK * (1 - sims[c, j]) <= 1 - sims[0, j] for c in kept)
+
+
+def test_memory_of_a_shard_of_near_copies():
+    """All pairs of a shard link; what is worked on at once does not grow with them."""
+    rng, n = np.random.default_rng(6), 700
+    raw = rng.normal(size=64) + 0.05 * rng.normal(size=(n, 64))
+    edges = np.stack([np.r_[(i + 1 + np.arange(16)) % n, rng.integers(0, n, 32)] for i in range(n)])
+    tracemalloc.start()
+    try:
+        found = V.search(np.arange(n), raw, edges, 0.98)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == n * (n - 1) // 2 and peak < 200 << 20
+
+
+def test_searches_in_parts(monkeypatch):
+    """The same links, however little is worked on at once."""
+    rng = np.random.default_rng(7)
+    raw = np.array(clusters(3, 150))
+    edges = rng.integers(-1, 150, (150, 12))
+    ids = rng.permutation(1000)[:150]
+    want = {tuple(p) for p in np.asarray(V.search(ids, raw, edges, 0.9)).tolist()}
+    monkeypatch.setattr(V, "WORK", 3000)
+    got = V.search(ids, raw, edges, 0.9)
+    assert want and {tuple(p) for p in np.asarray(got).tolist()} == want and len(got) == len(want)
